@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, quality_rules
+from . import byte_bpe, exact_dedup, mixing, quality_rules, substring_dedup
 from .common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), *tokenizer(), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_mixing, op8_exact_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op6_mixing, op8_exact_dedup, op9_byte_bpe)}
 
 OP6_SQL = r"""
 WITH sized AS (
