@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, quality_rules, substring_dedup
+from . import byte_bpe, exact_dedup, jaccard_join, mixing, quality_rules, substring_dedup
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("set")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), *tokenizer(), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op6_mixing, op8_exact_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op6_mixing, op7_jaccard_join, op8_exact_dedup, op9_byte_bpe)}
 
 OP6_SQL = r"""
 WITH sized AS (
