@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard_join, mixing, quality_rules, substring_dedup
+from . import byte_bpe, exact_dedup, jaccard_join, language_id, mixing, pii, quality_rules, substring_dedup
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -42,7 +46,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), *tokenizer(), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op6_mixing, op7_jaccard_join, op8_exact_dedup, op9_byte_bpe)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op5_language_id, op6_mixing, op7_jaccard_join, op8_exact_dedup, op9_byte_bpe, op10_pii)}
 
 OP6_SQL = r"""
 WITH sized AS (
