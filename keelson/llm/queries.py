@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard_join, language_id, mixing, pii, quality_rules, substring_dedup
+from . import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, mixing, pii, quality_rules, substring_dedup, url_filter
 from .common import table
 
 
@@ -13,6 +13,40 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+#: The dated host list: (host, day, action, reason).
+HOST_LIST = (
+    ("spam-farm.example.org", "2024-02-10", "add", "spam"),
+    ("cheap-pills.example.com", "2024-01-05", "add", "spam"),
+    ("cheap-pills.example.com", "2024-09-01", "remove", "spam"),
+    ("cheap-pills.example.com", "2025-01-15", "add", "spam"),
+    ("tionsh.example.net", "2024-05-01", "add", "malware"),
+    ("tionsh.example.net", "2024-05-20", "remove", "malware"),
+    ("example.net", "2025-03-01", "add", "parked"),
+    ("example.net", "2025-04-01", "remove", "parked"),
+    ("tionble.example.com", "2024-11-11", "add", "adult"),
+    ("ththth.example.org", "2024-07-01", "add", "malware"),
+    ("m.ththin.example.org", "2024-03-03", "add", "phishing"),
+    ("m.ththin.example.org", "2024-03-03", "remove", "phishing"),
+)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no date of their own: the fetch day runs through two years with the page's number."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(DATE'2024-01-01', cast(pmod(page_id * 37, 730) as int))").alias("fetch_day"))
+    values = ", ".join(f"('{h}', DATE'{d}', '{a}', '{r}')" for h, d, a, r in HOST_LIST)
+    out = url_filter.evaluate(pages, spark.sql(f"SELECT * FROM VALUES {values} AS list(host, day, action, reason)"))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("fetch_day", "valid_from", "valid_to")})
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text")
+    )
+    return chat_format.digests(chat_format.windows(turns.unionByName(extra)))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -50,7 +84,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op5_language_id, op6_mixing, op7_jaccard_join, op8_exact_dedup, op9_byte_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_quality_rules, op4_chat_format, op5_language_id, op6_mixing, op7_jaccard_join, op8_exact_dedup, op9_byte_bpe, op10_pii)}
+
+OP2_SQL = """
+WITH list(host, day, action, reason) AS (VALUES %s),
+dated AS (
+  SELECT host, day, max(action) AS action, min(reason) AS reason FROM list GROUP BY host, day
+), intervals AS (
+  SELECT host AS entry, action, reason, day AS valid_from, coalesce(lead(day) OVER (PARTITION BY host ORDER BY day), DATE '9999-12-31') AS valid_to FROM dated
+), seen AS (
+  SELECT page_id, nullif(lower(regexp_replace(regexp_extract(trim(url), '^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)', 1), '[.]+$', '')), '') AS host,
+    (DATE '2024-01-01' + (page_id * 37 %% 730)::INT)::DATE AS fetch_day
+  FROM pages
+), ranked AS (
+  SELECT s.*, i.entry, i.reason, i.valid_from, i.valid_to, row_number() OVER (PARTITION BY s.page_id ORDER BY length(i.entry) DESC NULLS LAST) AS place
+  FROM seen s LEFT JOIN intervals i
+    ON i.action = 'add' AND (s.host = i.entry OR (ends_with(s.host, '.' || i.entry) AND contains(i.entry, '.'))) AND i.valid_from <= s.fetch_day AND s.fetch_day < i.valid_to
+)
+SELECT page_id, host, fetch_day::VARCHAR AS fetch_day, entry IS NOT NULL AS blocked, entry, reason, valid_from::VARCHAR AS valid_from, valid_to::VARCHAR AS valid_to FROM ranked WHERE place = 1
+""" % ", ".join(f"('{h}', DATE '{d}', '{a}', '{r}')" for h, d, a, r in HOST_LIST)
 
 OP6_SQL = r"""
 WITH sized AS (
@@ -100,4 +152,4 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, place = 1 AS kept, text_sha256 FROM ranked
 """
 
-ORACLES = {"op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL}
