@@ -236,30 +236,31 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(i) for t, i in (line.split() for line in lines.splitlines() if line)}
 
 
-def encode(docs: DataFrame, rank_lines: bytes, pattern: str, *, digests: bool = False) -> DataFrame:
-    """docs: doc_id and text. Per row: doc_id and ids; with digests n_tokens, ids_sha256 and decoded_sha256 instead of ids."""
-    shape = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
+def encode(docs: DataFrame, rank_lines: bytes, pattern: str, *, ids: bool = True, digests: bool = False) -> DataFrame:
+    """docs: doc_id and text. Per row doc_id and n_tokens; with ids also ids, with digests also ids_sha256 and decoded_sha256."""
+    shape = [("n_tokens", "long")] + [("ids_sha256", "string"), ("decoded_sha256", "string")] * digests + [("ids", "array<int>")] * ids
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *dict(shape)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(rank_lines)
         coder = ByteBPE(ranks, pattern)
-        decode = Speller({i: t for t, i in ranks.items()})
+        spell = Speller({i: t for t, i in ranks.items()})
         number = Speller({i: b"%d " % i for i in ranks.values()})
         for batch in batches:
             for start, end in _rows(batch, "text"):
                 part = batch.slice(start, end - start)
-                coded = coder.encode_batch([t or "" for t in part.column("text").to_pylist()])
+                coded = list(coder.encode_batch([t or "" for t in part.column("text").to_pylist()]))
+                columns = [part.column("doc_id"), pa.array(map(len, coded), pa.int64())]
                 if digests:
-                    rows = [(len(ids), hashlib.sha256(number(ids)[:-1]).hexdigest(), hashlib.sha256(decode(ids)).hexdigest()) for ids in coded]
-                    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    ids = pa.array(list(coded), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
-
-    return docs.mapInArrow(work, f"doc_id {kind}, {shape}")
+                    columns.append(pa.array([hashlib.sha256(number(x)[:-1]).hexdigest() for x in coded], pa.string()))
+                    columns.append(pa.array([hashlib.sha256(spell(x)).hexdigest() for x in coded], pa.string()))
+                if ids:
+                    columns.append(pa.array(coded, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(work, ", ".join([f"doc_id {kind}", *(f"{n} {t}" for n, t in shape)]))
 
 
 def decode(coded: DataFrame, rank_lines: bytes) -> DataFrame:

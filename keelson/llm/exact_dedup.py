@@ -72,8 +72,8 @@ def compact(runs: DataFrame, pages: int) -> DataFrame:
     return alone.unionByName(merged)
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", memtables: int = 4, digest_bits: int = 256) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256.
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", memtables: int = 4, digest_bits: int = 256, keys: bool = False) -> DataFrame:
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256; with keys also key, the row_key of id and text.
 
     digest_bits below 256 shortens the digests of the index (tests force collisions with it); the result is the same.
     """
@@ -82,7 +82,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", me
     text, ident = F.col(text_col), F.col(id_col)
     norm = normalised(text)
     light = common.keep(
-        docs.select(ident.alias("id"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"), F.sha2(norm, 256).alias("sha")),
+        docs.select(common.row_key(id_col, text_col).alias("key"), ident.alias("id"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"), F.sha2(norm, 256).alias("sha")),
         f"{home}/digests",
     )
     digest = F.unhex(F.substring("sha", 1, digest_bits // 4))
@@ -128,4 +128,4 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", me
     once = F.row_number().over(W.partitionBy("sha", "id", "chars").orderBy(F.lit(1)))
     best, rest = out.filter(at_best), out.filter(~at_best)
     out = best.withColumn("kept", once == 1).unionByName(rest.withColumn("kept", F.lit(False)))
-    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), *["key"] * keys)

@@ -161,9 +161,9 @@ def _prefix_rows(bits: int, heavy, limit: int):
         edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
         # 32 bits beside the bucket: lists that fall together only add candidates
         low = ((key >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return [(None, None, None, None, int(bucket[s]), low[s:e].tobytes(), sets[s:e].tobytes(), size[s:e].tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+        return [(None, None, None, None, None, int(bucket[s]), low[s:e].tobytes(), sets[s:e].tobytes(), size[s:e].tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
 
-    shape = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("family", pa.list_(pa.int64())), ("bucket", pa.int64()), ("keys", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary())])
+    shape = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("family", pa.list_(pa.int64())), ("bucket", pa.int64()), ("keys", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary())])
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(shape)], schema=shape)
@@ -173,7 +173,7 @@ def _prefix_rows(bits: int, heavy, limit: int):
         keys, owners, size = [], [], 0
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for row_key, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), strict=True):
                 tokens = tokens_of(text)
                 n = len(tokens)
                 own = set_id(tokens)
@@ -197,7 +197,7 @@ def _prefix_rows(bits: int, heavy, limit: int):
                         keys.append(mine)
                         owners.append((own, n, len(mine)))
                         size += len(mine)
-                rows.append((doc_id, n, own, family, None, None, None, None))
+                rows.append((row_key, doc_id, n, own, family, None, None, None, None))
                 if size >= GATHER:
                     rows += deal(keys, owners)
                     keys, owners, size = [], [], 0
@@ -207,7 +207,7 @@ def _prefix_rows(bits: int, heavy, limit: int):
     return work
 
 
-def _scan_lists(limit: int):
+def _scan_lists():
     """Pairs of different sets that meet in enough of a bucket's lists, with the number of lists; sizes must be compatible."""
 
     def scan(table: pa.Table) -> pa.Table:
@@ -301,9 +301,9 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """docs: doc_id (an integer) and text. Per row: doc_id, n_shingles, component_id, and set, the same for equal sets."""
+    """docs: doc_id (an integer) and text. Per row: doc_id, n_shingles, component_id, label (one for each component) and key (the row_key of id and text)."""
     spark, home = docs.sparkSession, common.shared_dir(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
+    texts = docs.select(common.row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
     bits = max(4, math.ceil(math.log2(max(1, texts.count() * 512 / BUCKET))))
 
     counted = texts.select("text").mapInArrow(_count_rows(bits), "bucket long, packed binary").groupBy("bucket").applyInArrow(_count_bucket, "code long, docs long")
@@ -316,11 +316,11 @@ def join(docs: DataFrame) -> DataFrame:
     heavy = spark.sparkContext.broadcast(np.sort(hot))
 
     entries = common.keep(
-        texts.mapInArrow(_prefix_rows(bits, heavy, limit), "doc_id long, n long, set long, family array<long>, bucket long, keys binary, sets binary, sizes binary"),
+        texts.mapInArrow(_prefix_rows(bits, heavy, limit), "key binary, doc_id long, n long, set long, family array<long>, bucket long, keys binary, sets binary, sizes binary"),
         f"{home}/entries",
     )
-    rows = entries.filter("bucket IS NULL").select("doc_id", "n", "set", "family")
-    met = entries.filter("bucket IS NOT NULL").select("bucket", "keys", "sets", "sizes").groupBy("bucket").applyInArrow(_scan_lists(limit), "a long, b long, least long, lists long")
+    rows = entries.filter("bucket IS NULL").select("key", "doc_id", "n", "set", "family")
+    met = entries.filter("bucket IS NOT NULL").select("bucket", "keys", "sets", "sizes").groupBy("bucket").applyInArrow(_scan_lists(), "a long, b long, least long, lists long")
     met = met.groupBy("a", "b").agg(F.min("least").alias("least"), F.sum("lists").alias("lists"))
     # two small sets may meet in a subset only; all others must meet in shared_lists(n) lists
     candidates = common.keep(met.filter((F.col("lists") >= 1 + F.floor(F.col("least") / 40)) | (F.col("least") < limit)).select("a", "b"), f"{home}/candidates")
@@ -348,10 +348,10 @@ def join(docs: DataFrame) -> DataFrame:
     # a set goes to the task of each pair of blocks that its own block is in
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select(F.col("node").alias("set"), "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.col("own").alias("side"))
-    heavy_links = members.join(sets, "set").groupBy("label", "i", "j").applyInArrow(lambda t: _compare_blocks(t), "a long, b long")
+    heavy_links = members.join(sets, "set").groupBy("label", "i", "j").applyInArrow(_compare_blocks, "a long, b long")
 
     groups = components(light_links.unionByName(heavy_links), f"{home}/groups")
     labelled = rows.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     joined = labelled.join(smallest, "label")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "set")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label", "key")

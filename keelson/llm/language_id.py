@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FOLDS = 5
 PIECES, PIECE = 600, 256
@@ -233,21 +234,24 @@ def read(net: Network | None, texts: list[str | None]) -> Iterator[tuple[str, fl
         yield (net.langs[int(row.argmax())], min(1.0, float(row.max() / row.sum()))) if ok else (UNKNOWN, 0.0)
 
 
-def predict(docs: DataFrame, net: Network | None, carry: bool = False) -> DataFrame:
-    """docs: doc_id and text. Per row doc_id, held_out, lang_pred, score; with carry all columns of docs before the last two."""
-    frame = docs if carry else docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+def predict(docs: DataFrame, net: Network | None, carry: list[str] | None = None) -> DataFrame:
+    """docs: text and the columns to carry (doc_id and held_out if none are named). Per row these columns, lang_pred, score."""
+    if carry is None:
+        docs = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+        carry = ["doc_id", "held_out"]
+    frame = docs.select(*carry, "text") if "text" not in carry else docs.select(*carry)
+    names = [*carry, "lang_pred", "score"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
                 found = list(read(net, part.column("text").to_pylist()))
-                rest = {n: part.column(n) for n in part.schema.names if carry or n != "text"}
-                rest |= {"lang_pred": pa.array([f[0] for f in found], pa.string()), "score": pa.array([f[1] for f in found], pa.float64())}
-                yield pa.RecordBatch.from_arrays(list(rest.values()), list(rest))
+                columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in carry), *columns], names)
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if carry or f.name != "text"]
-    return frame.mapInArrow(work, ", ".join([*kept, "lang_pred string", "score double"]))
+    schema = T.StructType([frame.schema[n] for n in carry]).add("lang_pred", "string").add("score", "double")
+    return frame.mapInArrow(work, schema)
 
 
 def identify(docs: DataFrame, **how) -> DataFrame:

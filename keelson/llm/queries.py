@@ -61,7 +61,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("set")
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.encode(table(spark, sf_dir, "documents"), *tokenizer(), digests=True)
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), *tokenizer(), ids=False, digests=True)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
