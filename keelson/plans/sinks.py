@@ -1,0 +1,32 @@
+"""Ranked rows as lines of text: what the sinks write, one expression for each format."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def d4(x: Column | str) -> Column:
+    return F.format_string("%.4f", F.col(x) if isinstance(x, str) else x)
+
+
+def percent(coverage: Column, status: Column | None = None) -> Column:
+    """Whole percent; a dash for a file that the report lacks, n/a without a report."""
+    missing = F.lit("—") if status is None else F.when(status == "unavailable", "n/a").otherwise("—")
+    return F.coalesce(F.concat(F.floor(coverage * F.lit(100.0) + F.lit(0.5)).cast("string"), F.lit("%")), missing)
+
+
+def csv_line() -> Column:
+    coverage = F.coalesce(d4(F.floor(F.col("coverage") * F.lit(10000.0) + F.lit(0.5)).cast("double") / F.lit(10000.0)), F.lit(""))
+    # format_string writes the word null for nulls
+    coverage = F.when(F.col("coverage").isNull(), F.lit("")).otherwise(coverage)
+    return F.concat_ws(",", F.col("rank").cast("string"), "path", d4("score"), "class", "escalation", F.col("fan_in").cast("string"), d4("instability"), coverage)
+
+
+def markdown_line() -> Column:
+    cells = F.concat_ws(" | ", F.col("rank").cast("string"), "path", d4("score"), "class", "escalation", F.col("fan_in").cast("string"), d4("instability"), percent(F.col("coverage")))
+    return F.concat(F.lit("| "), cells, F.lit(" |"))
+
+
+def json_line() -> Column:
+    return F.to_json(F.struct("rank", "path", "class", "escalation", "fan_in", "fan_out", "complexity"))

@@ -1,0 +1 @@
+"""Nothing streams here: every operator is a batch plan over bounded tables."""
