@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql import Window as W
 
 from ..functions.paths import DEFAULT_EXCLUDES, LANGUAGES, language, language_group, matches_any
@@ -44,7 +45,7 @@ def contents(files: DataFrame, root: str) -> DataFrame:
             frame["content"] = held
             yield frame
 
-    return files.mapInPandas(work, files.schema.add("content", "binary"))
+    return files.mapInPandas(work, StructType([*files.schema, StructField("content", BinaryType())]))
 
 
 def collect(files: DataFrame, excludes: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
