@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 
@@ -18,16 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="keelson-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder, under the one the cluster names in spark.checkpoint.dir, that executors and driver share.
 
     Where the setting is absent, as in local tests, a temporary folder of this machine takes its place.
     The folder goes when the driver's process ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="keelson-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or local_dir()
     path = f"{base.rstrip('/')}/keelson-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
