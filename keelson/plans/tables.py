@@ -28,8 +28,8 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_changes(spark: SparkSession, sf_dir: str, days: int = LOOKBACK) -> DataFrame:
     """Lines of orders in the last `days` days as changes of parts."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    latest = orders.agg(F.max("o_orderdate").alias("latest"))
-    recent = orders.join(F.broadcast(latest)).filter(F.col("o_orderdate") >= F.col("latest") - F.expr(f"INTERVAL {days} DAYS"))  # one row
+    latest = orders.agg(F.max("o_orderdate")).scalar()
+    recent = orders.filter(F.col("o_orderdate") >= latest - F.expr(f"INTERVAL {days} DAYS"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     return lines.join(recent.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").select(
         F.lit(REPO).alias("repo_id"), F.concat(F.lit("part/"), "l_partkey").alias("path"), F.col("l_quantity").cast("long").alias("added"), F.lit(0).cast("long").alias("deleted"),
