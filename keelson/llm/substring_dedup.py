@@ -270,7 +270,8 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, group: int = GROUP,
     keyed = docs.select(common.row_key("doc_id", "text").alias("row"), "doc_id", F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"))
     anchors = common.keep(keyed.select("row", "text").mapInArrow(_anchor_rows(window, group), "row binary, anchors array<bigint>"), f"{home}/anchors")
     each = anchors.select("row", F.explode("anchors").alias("anchor"))
-    counted = each.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") > heavy).alias("heavy"))
+    # kept as tables, so that the joins that follow are between two plain exchanges and Spark can split a common key
+    counted = common.keep(each.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") > heavy).alias("heavy")), f"{home}/counted")
     of_row = each.join(counted, "anchor").groupBy("row").agg(
         F.collect_set("anchor").alias("repeated"), F.collect_set(F.when(F.col("heavy"), F.col("anchor"))).alias("heavy")
     )
@@ -285,7 +286,8 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, group: int = GROUP,
         .mapInArrow(_automaton_rows(window), "passage_hash binary, spans array<int>")
     )
     single = distinct.filter("heavy").select("passage_hash", "passage", "times").mapInArrow(_window_rows(window), "passage_hash binary, offset int, window binary, times bigint")
-    many = single.groupBy("window").agg(F.sum("times").alias("all_times")).filter("all_times > 1")
+    many = single.groupBy("window").agg(F.sum("times").alias("all_times")).filter("all_times > 1").select("window")
+    many = common.keep(many, f"{home}/many")
     cut = single.join(many, "window").groupBy("passage_hash").agg(F.flatten(F.collect_list(F.array(F.col("offset"), F.col("offset") + window))).alias("spans"))
     answers = common.keep(light.unionByName(cut), f"{home}/answers")
     shifted = F.transform("spans", lambda x: x + F.col("start"))
