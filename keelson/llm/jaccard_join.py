@@ -124,12 +124,18 @@ def _count_bucket(table: pa.Table) -> pa.Table:
     if bucket == -1:
         sizes = sum(np.frombuffer(b, np.int64) for b in packed)
         return pa.table({"code": pa.array(-1 - np.arange(128), pa.int64()), "docs": pa.array(sizes, pa.int64())})
-    planes = [np.frombuffer(b, np.uint8).reshape(3, -1).astype(np.int32) for b in packed]
-    count = np.bincount(np.concatenate([(p[0] << 16) | (p[1] << 8) | p[2] for p in planes]), minlength=1)
-    hot = np.flatnonzero(count >= HEAVY)
-    light = count[count < HEAVY].astype(np.int64)
-    codes = np.concatenate([hot + (bucket << SLOT_BITS), [-200]])
-    return pa.table({"code": pa.array(codes, pa.int64()), "docs": pa.array(np.concatenate([count[hot], [int((light * light).sum())]]), pa.int64())})
+    parts = []
+    for b in packed:
+        high, middle, low = np.frombuffer(b, np.uint8).reshape(3, -1)
+        parts.append((high.astype(np.int32) << 16) | (middle.astype(np.int32) << 8) | low)
+    slots = np.concatenate(parts)
+    del parts, packed
+    slots.sort()
+    edges = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1], [True]]))
+    count, slots = np.diff(edges), slots[edges[:-1]]
+    hot = count >= HEAVY
+    codes = np.concatenate([slots[hot] + (bucket << SLOT_BITS), [-200]])
+    return pa.table({"code": pa.array(codes, pa.int64()), "docs": pa.array(np.concatenate([count[hot], [int((count[~hot] ** 2).sum())]]), pa.int64())})
 
 
 def boundary(sizes: list[int], total: int, list_length: float) -> int:
