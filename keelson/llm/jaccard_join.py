@@ -358,6 +358,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     groups = components(light_links.unionByName(heavy_links), f"{home}/groups")
     labelled = rows.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own, so that the join is between two plain exchanges and Spark can split a large component
+    smallest = common.keep(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), f"{home}/smallest")
     joined = labelled.join(smallest, "label")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label", "key")
