@@ -267,13 +267,6 @@ def _fetch(marks, bits: int):
     return work
 
 
-def _find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
 def _compare_blocks(table: pa.Table) -> pa.Table:
     """A spanning forest of the links between the sets of one block, or of two."""
     sets, side = np.array(table.column("set").to_pylist(), np.int64), np.array(table.column("side").to_pylist())
@@ -292,17 +285,23 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
         stripe = np.zeros((len(held), min(4096, width - start)), np.float32)
         stripe[row[part], column[part] - start] = 1
         common_tokens += stripe @ stripe.T
-    union = size[:, None] + size[None, :] - common_tokens
-    link = (DEN * common_tokens >= NUM * union) & (np.arange(len(held))[:, None] < np.arange(len(held))[None, :])
-    if len(set(side.tolist())) > 1:
-        link &= side[:, None] != side[None, :]
-    parent, a, b = list(range(len(held))), [], []
-    for i, j in np.argwhere(link).tolist():
-        x, y = _find(parent, i), _find(parent, j)
-        if x != y:
-            parent[x] = y
-            a.append(int(sets[i]))
-            b.append(int(sets[j]))
+    # rows of links are made one at a time, and a set that has been reached is not reached again
+    block = np.unique(side, return_inverse=True)[1]
+    one_block, fresh, a, b = block.max() == 0, np.ones(len(held), bool), [], []
+    for root in range(len(held)):
+        if not fresh[root]:
+            continue
+        fresh[root], todo = False, [root]
+        while todo:
+            i = todo.pop()
+            link = fresh & ((DEN + NUM) * common_tokens[i].astype(np.int64) >= NUM * (size[i] + size))
+            if not one_block:
+                link &= block != block[i]
+            reached = np.flatnonzero(link)
+            fresh[reached] = False
+            todo += reached.tolist()
+            a += [int(sets[i])] * len(reached)
+            b += sets[reached].tolist()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
