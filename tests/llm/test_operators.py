@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import byte_bpe, chat_format, common, exact_dedup, jaccard_join, language_id, mixing, pii, quality_rules, substring_dedup, url_filter
+from keelson.llm import byte_bpe, chat_format, common, components, exact_dedup, jaccard_join, language_id, mixing, pii, quality_rules, substring_dedup, url_filter
 from keelson.llm.queries import tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -329,6 +329,20 @@ def test_boundary_is_where_costs_meet():
     assert jaccard_join.boundary(small, 5000, 50.0) > 4  # long lists make subsets cheap
 
 
+def test_components_of_long_chains(spark):
+    """Chains take far more rounds than 63 when a label moves one link a round."""
+    r, chains, links = random.Random(8), {}, []
+    for length in (600, 2, 37):
+        ids = [r.getrandbits(63) - (1 << 62) for _ in range(length)]
+        chains |= dict.fromkeys(ids, min(ids))
+        links += zip(ids, ids[1:], strict=False)
+    frame = spark.createDataFrame([*links, (5, 5)], "a long, b long")
+    assert dict(map(tuple, components.components(frame, common.shared_dir(spark)).select("node", "label").collect())) == chains
+    ordered = spark.range(600).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.label for r in components.components(ordered, common.shared_dir(spark)).collect()} == {0}
+    assert components.components(frame.limit(0), common.shared_dir(spark)).count() == 0
+
+
 # ---- 8
 
 
