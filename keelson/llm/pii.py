@@ -6,7 +6,7 @@ and the signs attached to it. Patterns and identifiers form a graph over the cor
 
 1. Every identifier-like word (a digit, `least` characters) gives an edge between its pattern and itself.
 2. Patterns met with SUPPORT different seeds or more are candidates, and a second reading counts all words that follow
-   them, identifiers or not. SUPPORT rises with the number of seeds, so candidates stay under PATTERNS_MOST.
+   them, identifiers or not. SUPPORT is the same for every corpus.
 3. Rounds of scoring, as joins over the graph: a pattern is worth the mean score of what follows it (seeds 1, ordinary
    words 0), an identifier that isn't a seed the most that one of its patterns is worth.
 4. Patterns worth CONFIDENCE or more extract: identifiers after them become spans of the pattern's kind, the one that
@@ -14,6 +14,9 @@ and the signs attached to it. Patterns and identifiers form a graph over the cor
 
 "Of the" may stand before some cards but mostly before words, so it never extracts; `token = "` does.
 
+Candidates and patterns that extract are tables, of any length, and are joined to what is counted and found. Only a
+bitmap of their contexts, of fixed size, is broadcast; it spares most words the join.
+
 Defined results: a null text counts as an empty one and has no spans; equal rows get equal spans, and count twice in the
 graph; offsets are code points; other columns never matter. All searches are linear in the length of a text.
 """
@@ -25,16 +28,20 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import common
+from .substring_dedup import _mix
 
 KINDS = ("email", "ip", "card", "phone")
 SECRET = "secret"
-LEAST, SUPPORT, PATTERNS_MOST, CONFIDENCE, ROUNDS = 8, 5, 100_000, 0.8, 4
+LEAST, SUPPORT, CONFIDENCE, ROUNDS = 8, 5, 0.8, 4
+#: Bits of the bitmap of contexts: 8 MB.
+MARK_BITS = 26
 #: Longest word that counts as context.
 CONTEXT = 30
 
@@ -127,42 +134,66 @@ def _edges(least: int):
     return work
 
 
-def _followers(patterns):
-    """How many words follow each candidate pattern."""
+def _places(words: list[str]) -> np.ndarray:
+    """The bit of each two adjacent words."""
+    from xxhash import xxh3_64_intdigest
+
+    w = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    h = w[:-1] * np.uint64(_mix(301) | 1) + w[1:] * np.uint64(_mix(302) | 1)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_mix(303) | 1)
+    return (h >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = [int(_places(p.split("\t")[:2])[0]) for p in batch.column("pattern").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], ["at"])
+
+
+def _marks(patterns: DataFrame) -> np.ndarray | None:
+    """The bitmap of the patterns' contexts; None without patterns."""
+    at = F.col("at")
+    places = patterns.select("pattern").mapInArrow(_mark_rows, "at long")
+    pages = places.groupBy(F.floor(at / 32768).cast("int").alias("page")).agg(F.bitmap_construct_agg(at % 32768).alias("bits")).collect()
+    marks = bytearray(1 << (MARK_BITS - 3))
+    for p in pages:
+        marks[p["page"] * 4096 : (p["page"] + 1) * 4096] = p["bits"]
+    return np.frombuffer(bytes(marks), np.uint8) if pages else None
+
+
+def _marked(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return marks[at >> 3] >> (at & 7).astype(np.uint8) & 1
+
+
+def _followers(marks):
+    """How many words of a batch follow each pattern of a marked context."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: dict[tuple[str, str], set[str]] = {}
-        for p in patterns.value:
-            a, b, lead = p.split("\t")
-            wanted.setdefault((a, b), set()).add(lead)
-        count: Counter[str] = Counter()
         for batch in batches:
+            count: Counter[str] = Counter()
             for text in batch.column("text").to_pylist():
                 words = ["", "", *(text or "").lower().split()]
-                for i, pair in enumerate(zip(words, words[1:-1], strict=False)):
-                    if pair in wanted:
-                        lead = EDGE.match(words[i + 2])[0]
-                        if lead in wanted[pair]:
-                            count["\t".join([*pair, lead])] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["pattern", "followers"])
+                for i in np.flatnonzero(_marked(marks.value, _places(words[:-1]))).tolist():
+                    count["\t".join([words[i], words[i + 1], EDGE.match(words[i + 2])[0]])] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["pattern", "followers"])
 
     return work
 
 
-def learn(docs: DataFrame, *, least: int = LEAST, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> dict[str, str]:
-    """Patterns that extract, each with its kind. PATTERNS_MOST at most."""
+def learn(docs: DataFrame, *, least: int = LEAST, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """Patterns that extract, each with its kind."""
     spark, home = docs.sparkSession, common.shared_dir(docs.sparkSession)
     texts = docs.select("text")
     met = texts.mapInArrow(_edges(least), "pattern string, instance binary, kind string")
     edges = common.keep(met.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("times")), f"{home}/edges")
     seeds = edges.filter("kind IS NOT NULL").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds"))
-    total = edges.filter("kind IS NOT NULL").count()
-    least_seeds = max(support, -(-total // PATTERNS_MOST))
-    candidates = sorted(r["pattern"] for r in seeds.filter(F.col("seeds") >= least_seeds).select("pattern").collect())
-    if not candidates:
-        return {}
-    sent = spark.sparkContext.broadcast(candidates)
-    followers = common.keep(texts.mapInArrow(_followers(sent), "pattern string, followers long").groupBy("pattern").agg(F.sum("followers").alias("followers")), f"{home}/followers")
+    candidates = common.keep(seeds.filter(F.col("seeds") >= support).select("pattern"), f"{home}/candidates")
+    marks = _marks(candidates)
+    if marks is None:
+        return candidates.withColumn("kind", F.lit(None).cast("string"))
+    counted = texts.mapInArrow(_followers(spark.sparkContext.broadcast(marks)), "pattern string, followers long").groupBy("pattern").agg(F.sum("followers").alias("followers"))
+    followers = common.keep(counted.join(candidates, "pattern", "left_semi"), f"{home}/followers")
     graph = common.keep(edges.join(followers.select("pattern"), "pattern").select("pattern", "instance", "times", F.col("kind").isNotNull().alias("seed"), "kind"), f"{home}/graph")
     worth = None
     for turn in range(rounds):
@@ -177,18 +208,16 @@ def learn(docs: DataFrame, *, least: int = LEAST, support: int = SUPPORT, confid
     counted = graph.filter("seed").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
     first = F.row_number().over(W.partitionBy("pattern").orderBy(F.desc("n"), "kind"))
     kinds = counted.withColumn("place", first).filter("place = 1")
-    return {r["pattern"]: r["kind"] for r in kinds.join(worth.filter(F.col("worth") >= confidence), "pattern").select("pattern", "kind").collect()}
+    return common.keep(kinds.join(worth.filter(F.col("worth") >= confidence), "pattern").select("pattern", "kind"), f"{home}/patterns")
 
 
-def spans_of(text: str, base: list[Span], patterns: dict[str, str], least: int = LEAST) -> list[Span]:
-    """The base spans and what the patterns add."""
-    added = []
+def _free(text: str, base: list[Span], marks: np.ndarray, least: int) -> list[tuple[str, int, int]]:
+    """(pattern, start, end) of the identifiers in marked contexts that no base span overlaps."""
+    out = []
     for start, end, pattern in identifiers(text, least):
-        kind = patterns.get(pattern)
-        if kind and not any(s < end and start < e for _, s, e in base):
-            added.append((kind, start, end))
-    order = {k: i for i, k in enumerate((*KINDS, SECRET))}
-    return sorted(base + added, key=lambda x: (order[x[0]], x[1])) if added else base
+        if _marked(marks, _places(pattern.split("\t")[:2]))[0] and not any(s < end and start < e for _, s, e in base):
+            out.append((pattern, start, end))
+    return out
 
 
 def _joined(spans: list[Span]) -> str:
@@ -198,9 +227,10 @@ def _joined(spans: list[Span]) -> str:
 def find(docs: DataFrame, **how) -> DataFrame:
     """docs: doc_id and text. Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
     docs = docs.select("doc_id", "text")
-    patterns = docs.sparkSession.sparkContext.broadcast(learn(docs, **how))
-    least = how.get("least", LEAST)
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
+    spark, home = docs.sparkSession, common.shared_dir(docs.sparkSession)
+    patterns = learn(docs, **how)
+    marks, least = spark.sparkContext.broadcast(_marks(patterns)), how.get("least", LEAST)
+    names = ["key", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "free"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,11 +238,27 @@ def find(docs: DataFrame, **how) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                every = spans_of(text, base, patterns.value, least) if patterns.value else base
                 count = Counter(k for k, _, _ in base)
-                rows.append((*(count[k] for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every) - len(base)))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names)
+                free = _free(text, base, marks.value, least) if marks.value is not None else []
+                text = _joined(base)
+                rows.append((*(count[k] for k in KINDS), hashlib.sha256(text.encode()).hexdigest(), text, free))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(pa.struct([("pattern", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    shape = f"key binary, doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, free array<struct<pattern:string,start:long,end:long>>"
+    read = docs.select(common.row_key("doc_id", "text").alias("key"), "doc_id", "text").mapInArrow(work, shape)
+    counts = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256"]
+    if marks.value is None:
+        return read.select(*counts, F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_added"))
+    read = common.keep(read, f"{home}/read")
+    free = read.filter(F.size("free") > 0).select("key", F.explode("free").alias("word")).select("key", "word.*")
+    added = free.join(patterns, "pattern").groupBy("key").agg(F.collect_set(F.concat_ws(":", "kind", "start", "end")).alias("added"))
+    added = common.keep(added, f"{home}/added")
+    every = read.drop("free").join(added, "key", "left")
+    # in the order of kinds, then by start
+    order = F.array(*[F.lit(k) for k in (*KINDS, SECRET)])
+    spans = F.concat(F.filter(F.split("base", ","), lambda x: x != ""), F.col("added"))
+    sortable = F.transform(spans, lambda x: F.struct(F.array_position(order, F.split_part(x, F.lit(":"), F.lit(1))), F.split_part(x, F.lit(":"), F.lit(2)).cast("long"), x.alias("span")))
+    listed = F.array_join(F.array_sort(sortable)["span"], ",")
+    return every.select(*counts, F.when(F.col("added").isNull(), F.col("base")).otherwise(listed).alias("spans"), F.when(F.col("added").isNull(), 0).otherwise(F.size("added")).cast("long").alias("n_added"))

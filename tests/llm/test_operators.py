@@ -419,5 +419,15 @@ def test_contexts_discover_unseen_identifiers(spark, awkward, empty):
     assert found[11].n_email == 1 and found[1].spans == "" and pii.find(empty).count() == 0
 
 
+def test_support_does_not_rise_with_the_corpus(spark):
+    """More than 500,000 different seeds elsewhere leave a pattern with five."""
+    ip = F.concat_ws(".", *[F.lit(100) + F.shiftright("id", k) % 128 for k in (14, 7, 0)])
+    lists = spark.range(520_000).groupBy(F.expr("id div 1000").alias("doc_id")).agg(F.array_join(F.collect_list(F.concat(F.lit("1."), ip)), " ").alias("text"))
+    keys = [(-i - 2, f"{prose(5, i)} api key: {hashlib.sha1(str(i).encode()).hexdigest()}") for i in range(5)]
+    few = spark.createDataFrame([*keys, (-1, "my api key: ZXCV-1234-unseen, yes")], "doc_id long, text string")
+    got = pii.find(lists.unionByName(few)).filter("doc_id = -1").collect()
+    assert [(r.spans, r.n_added) for r in got] == [("secret:12:28", 1)]
+
+
 def test_shared_folder_follows_the_session(spark):
     assert common.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
