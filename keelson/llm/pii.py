@@ -4,7 +4,8 @@ The base finds e-mail addresses, IP addresses, payment cards and phone numbers.
 hexadecimal digits) they are the seeds. A lexical pattern is what stands before an identifier: the two words to its left
 and the signs attached to it. Patterns and identifiers form a graph over the corpus:
 
-1. Every identifier-like word (a digit, `least` characters) gives an edge between its pattern and itself.
+1. Every seed, and every other identifier-like word (a digit, `least` characters), gives an edge between its pattern and
+   itself. A seed inside a word, after letters or digits, has no pattern.
 2. Patterns met with SUPPORT different seeds or more are candidates, and a second reading counts all words that follow
    them, identifiers or not. SUPPORT is the same for every corpus.
 3. Rounds of scoring, as joins over the graph: a pattern is worth the mean score of what follows it (seeds 1, ordinary
@@ -54,6 +55,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WITH_DIGIT = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
 KEY = re.compile(r"[0-9a-f]{32,}")
 EDGE = re.compile(r"[^\w]*")
+SIGNS = re.compile(r"[^\w\s]*")
 
 Span = tuple[str, int, int]
 
@@ -93,6 +95,10 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def words_before(text: str, at: int) -> list[str]:
+    return text[max(0, at - 2 * CONTEXT - 8) : at].split()[-2:]
+
+
 def identifiers(text: str, least: int = LEAST) -> Iterator[tuple[int, int, str]]:
     """(start, end, pattern) of identifier-like words, stripped of the signs around them."""
     for m in WITH_DIGIT.finditer(text):
@@ -102,7 +108,7 @@ def identifiers(text: str, least: int = LEAST) -> Iterator[tuple[int, int, str]]
         if len(body) < least or len(body) > 4096 or not any("0" <= c <= "9" for c in body):
             continue
         start = m.start() + lead
-        left = text[max(0, m.start() - 2 * CONTEXT - 8) : m.start()].split()[-2:]
+        left = words_before(text, m.start())
         if all(len(w) <= CONTEXT for w in left):
             yield start, start + len(body), pattern_of(left, word[:lead])
 
@@ -111,6 +117,34 @@ def pattern_of(left: list[str], lead: str) -> str:
     return "\t".join([*([""] * (2 - len(left)) + left), lead]).lower()
 
 
+def edges_of(text: str, least: int = LEAST) -> Iterator[tuple[str, str, str | None]]:
+    """(pattern, instance, kind) of the base spans that only signs attach to what is before them, and of other identifiers."""
+    spans, seeds = base_spans(text), {}
+    for kind, s, e in spans:
+        word = s
+        while word and not text[word - 1].isspace() and EDGE.fullmatch(text[word - 1]):
+            word -= 1
+        if not word or text[word - 1].isspace():
+            # signs that a span begins with count as attached, as they do for all words
+            seeds.setdefault(SIGNS.match(text, word).end(), (word, s, e, kind))
+    longer, others = {}, []
+    order, k, reach = sorted((s, e) for _, s, e in spans), 0, 0
+    for start, end, pattern in identifiers(text, least):
+        while k < len(order) and order[k][0] < start:
+            reach = max(reach, order[k][1])
+            k += 1
+        if start in seeds:
+            longer[start] = end
+        elif start >= reach:  # not a part of a span
+            body = text[start:end]
+            others.append((pattern, body, SECRET if KEY.fullmatch(body) and not body.isdigit() else None))
+    for start, (word, s, e, kind) in seeds.items():
+        left = words_before(text, word)
+        if all(len(w) <= CONTEXT for w in left):
+            yield pattern_of(left, text[word:start]), text[s : max(e, longer.get(start, e))], kind
+    yield from others
+
+
 def _edges(least: int):
     shape = ["pattern", "instance", "kind"]
 
@@ -120,15 +154,7 @@ def _edges(least: int):
             for text in batch.column("text").to_pylist():
                 if not text:
                     continue
-                spans = base_spans(text)
-                at = {s: (e, k) for k, s, e in reversed(spans)}
-                for start, end, pattern in identifiers(text, least):
-                    kind = None
-                    if start in at and at[start][0] <= end + 40:
-                        end, kind = max(end, at[start][0]), at[start][1]
-                    elif KEY.fullmatch(body := text[start:end]) and not body.isdigit():
-                        kind = SECRET
-                    rows.append((pattern, hashlib.sha256(text[start:end].encode()).digest()[:16], kind))
+                rows += [(pattern, hashlib.sha256(instance.encode()).digest()[:16], kind) for pattern, instance, kind in edges_of(text, least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.string()))], shape)
 
     return work

@@ -419,6 +419,17 @@ def test_contexts_discover_unseen_identifiers(spark, awkward, empty):
     assert found[11].n_email == 1 and found[1].spans == "" and pii.find(empty).count() == 0
 
 
+def test_all_kinds_are_seeds():
+    for span, sign, kind in [
+        ("john.smith@example.com", "", "email"), ("192.168.10.20", "", "ip"), ("4111 1111 1111 1111", "", "card"), ("4111111111111111", "", "card"),
+        ("+15551234567", "+", "phone"), ("+1 (555) 123-4567", "+", "phone"),
+    ]:
+        for lead in ("", "("):
+            found = list(pii.edges_of(f"so Call me {lead}{span}, or not"))
+            assert found == [(f"call\tme\t{lead}{sign}", span, kind)]
+    assert list(pii.edges_of("a b mail:john@example.com")) == [] and list(pii.edges_of("a b 1234-5678x")) == [("a\tb\t", "1234-5678x", None)]
+
+
 def test_support_does_not_rise_with_the_corpus(spark):
     """More than 500,000 different seeds elsewhere leave a pattern with five."""
     ip = F.concat_ws(".", *[F.lit(100) + F.shiftright("id", k) % 128 for k in (14, 7, 0)])
