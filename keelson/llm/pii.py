@@ -96,7 +96,13 @@ def base_spans(text: str) -> list[Span]:
 
 
 def words_before(text: str, at: int) -> list[str]:
-    return text[max(0, at - 2 * CONTEXT - 8) : at].split()[-2:]
+    """The two words before a word, whole, however far they are."""
+    size = 2 * CONTEXT + 8
+    while True:
+        words = text[max(0, at - size) : at].split()
+        if size >= at or len(words) > 2:  # the first of three may have been cut
+            return words[-2:]
+        size *= 2
 
 
 def identifiers(text: str, least: int = LEAST) -> Iterator[tuple[int, int, str]]:
@@ -105,7 +111,7 @@ def identifiers(text: str, least: int = LEAST) -> Iterator[tuple[int, int, str]]
         word = m[0]
         lead = EDGE.match(word).end()
         body = word[lead:].rstrip("\"'`.,;:!?)]}>#$%&*|=")
-        if len(body) < least or len(body) > 4096 or not any("0" <= c <= "9" for c in body):
+        if len(body) < least or not any("0" <= c <= "9" for c in body):
             continue
         start = m.start() + lead
         left = words_before(text, m.start())

@@ -430,6 +430,14 @@ def test_all_kinds_are_seeds():
     assert list(pii.edges_of("a b mail:john@example.com")) == [] and list(pii.edges_of("a b 1234-5678x")) == [("a\tb\t", "1234-5678x", None)]
 
 
+def test_contexts_are_whole_words():
+    gap, long = " " * 200, "1" + "x" * 5000
+    assert [p for _, _, p in pii.identifiers(f"my key:{gap}1234-5678x")] == ["my\tkey:\t"]
+    assert [p for _, _, p in pii.identifiers(f"my{gap}key:{gap}1234-5678x")] == ["my\tkey:\t"]
+    assert not list(pii.identifiers(f"{'y' * 50} key:{' ' * 50}1234-5678x"))
+    assert list(pii.identifiers(f"my key: {long}")) == [(8, 8 + len(long), "my\tkey:\t")]
+
+
 def test_support_does_not_rise_with_the_corpus(spark):
     """More than 500,000 different seeds elsewhere leave a pattern with five."""
     ip = F.concat_ws(".", *[F.lit(100) + F.shiftright("id", k) % 128 for k in (14, 7, 0)])
