@@ -6,7 +6,7 @@ document's. Texts are read whole, cut into chunks of CHUNK bytes that run side b
 start anew at each chunk.
 
 Training reads a bounded sample, whatever the size of the corpus: PIECES pieces of PIECE characters for each language,
-from documents picked by a hash of their id among those that are labelled and not held out. Documents with crc32(doc_id
+from documents picked by a hash of their id and text among those that are labelled and not held out. Documents with crc32(doc_id
 as text) mod FOLDS = 0 are held out. Only text and label are learnt from; a prediction sees the text alone.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without any labelled document everything is
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 FOLDS = 5
 PIECES, PIECE = 600, 256
@@ -200,22 +201,14 @@ def train(samples: list[tuple[str, str]], *, hidden: int = HIDDEN, steps: int =
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """At most PIECES pieces of PIECE characters for each language."""
     own = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    # ids alone decide which documents; xxhash64 is even over the signed 64-bit numbers
-    draw = (F.xxhash64(F.col("doc_id"), F.lit(11)) / F.lit(2.0**64) + 0.5).alias("draw")
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * PIECES / n)))])
+    # ids and texts decide which documents, so that rows that share an id are drawn apart
+    draw = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(11)).alias("draw")
     room = F.greatest(F.length("text") - PIECE, F.lit(0)) + 1
     piece = F.substring(F.col("text"), F.pmod(F.xxhash64("doc_id", F.lit(12)), room).cast("int") + 1, F.lit(PIECE))
-    rows = own.select("doc_id", "lang", draw, piece.alias("piece")).filter(F.col("draw") < share[F.col("lang")]).collect()
-    rows.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"] is None, r["doc_id"] or 0, r["piece"]))
-    out, taken = [], dict.fromkeys(counts, 0)
-    for r in rows:
-        if taken[r["lang"]] < PIECES:
-            taken[r["lang"]] += 1
-            out.append((r["lang"], r["piece"]))
-    return out
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "piece"))
+    rows = own.select("doc_id", "lang", draw, piece.alias("piece")).withColumn("place", place).filter(F.col("place") <= PIECES).collect()
+    rows.sort(key=lambda r: (r["lang"], r["place"]))
+    return [(r["lang"], r["piece"]) for r in rows]
 
 
 def read(net: Network | None, texts: list[str | None]) -> Iterator[tuple[str, float]]:

@@ -238,6 +238,12 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
 
 
+def test_sample_with_one_id_for_all(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("lang"))
+    found = language_id.sample(rows)
+    assert len(found) == len(set(found)) == 2 * language_id.PIECES and {lang for lang, _ in found} == {"a", "b"}
+
+
 # ---- 6
 
 
