@@ -13,28 +13,32 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-#: The dated host list: (host, day, action, reason).
-HOST_LIST = (
-    ("spam-farm.example.org", "2024-02-10", "add", "spam"),
-    ("cheap-pills.example.com", "2024-01-05", "add", "spam"),
-    ("cheap-pills.example.com", "2024-09-01", "remove", "spam"),
-    ("cheap-pills.example.com", "2025-01-15", "add", "spam"),
-    ("tionsh.example.net", "2024-05-01", "add", "malware"),
-    ("tionsh.example.net", "2024-05-20", "remove", "malware"),
-    ("example.net", "2025-03-01", "add", "parked"),
-    ("example.net", "2025-04-01", "remove", "parked"),
-    ("tionble.example.com", "2024-11-11", "add", "adult"),
-    ("ththth.example.org", "2024-07-01", "add", "malware"),
-    ("m.ththin.example.org", "2024-03-03", "add", "phishing"),
-    ("m.ththin.example.org", "2024-03-03", "remove", "phishing"),
-)
+#: The first day of the host list and of the pages.
+FIRST_DAY = "2024-01-01"
+
+
+def host_list(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts and parent domains of all pages: half of them are added some day, half of these removed later, a quarter of those added again."""
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).filter("host IS NOT NULL").distinct()
+    known = hosts.select(F.explode(url_filter.suffixes(F.col("host"))).alias("host")).distinct()
+    digest = F.md5(F.concat(F.lit("list/"), "host"))
+    number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("int")
+    added = F.date_add(F.lit(FIRST_DAY).cast("date"), number(2, 3) % 600)
+    removed, again = F.date_add(added, number(6, 2) + 1), F.date_add(added, number(6, 2) + number(9, 2) + 2)
+    reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), number(11, 2) % len(REASONS) + 1)
+    entry = lambda when, day, action: F.when(when, F.struct(day.alias("day"), F.lit(action).alias("action"), reason.alias("reason")))
+    goes, returns = number(5, 1) < 8, number(8, 1) < 4
+    dated = F.array_compact(F.array(entry(F.lit(True), added, "add"), entry(goes, removed, "remove"), entry(goes & returns, again, "add")))
+    return known.filter(number(1, 1) < 8).select("host", F.explode(dated).alias("x")).select("host", "x.*")
+
+
+REASONS = ("spam", "malware", "phishing", "adult", "parked")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages carry no date of their own: the fetch day runs through two years with the page's number."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(DATE'2024-01-01', cast(pmod(page_id * 37, 730) as int))").alias("fetch_day"))
-    values = ", ".join(f"('{h}', DATE'{d}', '{a}', '{r}')" for h, d, a, r in HOST_LIST)
-    out = url_filter.evaluate(pages, spark.sql(f"SELECT * FROM VALUES {values} AS list(host, day, action, reason)"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(f"date_add(DATE'{FIRST_DAY}', cast(pmod(page_id * 37, 730) as int))").alias("fetch_day"))
+    out = url_filter.evaluate(pages, host_list(pages))
     return out.withColumns({c: F.col(c).cast("string") for c in ("fetch_day", "valid_from", "valid_to")})
 
 
@@ -86,23 +90,37 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_quality_rules, op4_chat_format, op5_language_id, op6_mixing, op7_jaccard_join, op8_exact_dedup, op9_byte_bpe, op10_pii)}
 
-OP2_SQL = """
-WITH list(host, day, action, reason) AS (VALUES %s),
-dated AS (
-  SELECT host, day, max(action) AS action, min(reason) AS reason FROM list GROUP BY host, day
-), intervals AS (
-  SELECT host AS entry, action, reason, day AS valid_from, coalesce(lead(day) OVER (PARTITION BY host ORDER BY day), DATE '9999-12-31') AS valid_to FROM dated
-), seen AS (
-  SELECT page_id, nullif(lower(regexp_replace(regexp_extract(trim(url), '^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)', 1), '[.]+$', '')), '') AS host,
-    (DATE '2024-01-01' + (page_id * 37 %% 730)::INT)::DATE AS fetch_day
+_N = "('0x' || substr(d, {}, {}))::INT"
+
+OP2_SQL = rf"""
+WITH seen AS (
+  SELECT page_id, (DATE '{FIRST_DAY}' + (page_id * 37 % 730)::INT)::DATE AS fetch_day,
+    regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*:', ''), '^//([^/?#\\]*)', 1) AS authority
   FROM pages
+), bare AS (
+  SELECT *, string_split(authority, '@')[-1] AS place FROM seen
+), hosted AS (
+  SELECT page_id, fetch_day, nullif(lower(rtrim(CASE WHEN starts_with(place, '[') THEN split_part(place, ']', 1) || ']' ELSE split_part(place, ':', 1) END, '.')), '') AS host FROM bare
+), labels AS (
+  SELECT DISTINCT host, string_split(host, '.') AS l, regexp_matches(host, '^([0-9.]+|\[.*)$') AS address FROM hosted WHERE host IS NOT NULL
+), known AS (
+  SELECT DISTINCT array_to_string(l[g.i:], '.') AS entry FROM labels JOIN range(1, 200) g(i) ON g.i <= CASE WHEN address THEN 1 ELSE greatest(len(l) - 1, 1) END
+), coded AS (
+  SELECT entry, md5('list/' || entry) AS d FROM known
+), picked AS (
+  SELECT entry, (DATE '{FIRST_DAY}' + {_N.format(2, 3)} % 600)::DATE AS added, {_N.format(6, 2)} + 1 AS gap, {_N.format(9, 2)} + 1 AS second_gap, {_N.format(5, 1)} < 8 AS goes, {_N.format(8, 1)} < 4 AS returns,
+    [{", ".join(f"'{r}'" for r in REASONS)}][{_N.format(11, 2)} % {len(REASONS)} + 1] AS reason
+  FROM coded WHERE {_N.format(1, 1)} < 8
+), intervals AS (
+  SELECT entry, reason, added AS valid_from, CASE WHEN goes THEN (added + gap)::DATE ELSE DATE '9999-12-31' END AS valid_to FROM picked
+  UNION ALL SELECT entry, reason, (added + gap + second_gap)::DATE, DATE '9999-12-31' FROM picked WHERE goes AND returns
 ), ranked AS (
   SELECT s.*, i.entry, i.reason, i.valid_from, i.valid_to, row_number() OVER (PARTITION BY s.page_id ORDER BY length(i.entry) DESC NULLS LAST) AS place
-  FROM seen s LEFT JOIN intervals i
-    ON i.action = 'add' AND (s.host = i.entry OR (ends_with(s.host, '.' || i.entry) AND contains(i.entry, '.'))) AND i.valid_from <= s.fetch_day AND s.fetch_day < i.valid_to
+  FROM hosted s LEFT JOIN intervals i
+    ON (s.host = i.entry OR (ends_with(s.host, '.' || i.entry) AND contains(i.entry, '.') AND NOT regexp_matches(s.host, '^([0-9.]+|\[.*)$'))) AND i.valid_from <= s.fetch_day AND s.fetch_day < i.valid_to
 )
 SELECT page_id, host, fetch_day::VARCHAR AS fetch_day, entry IS NOT NULL AS blocked, entry, reason, valid_from::VARCHAR AS valid_from, valid_to::VARCHAR AS valid_to FROM ranked WHERE place = 1
-""" % ", ".join(f"('{h}', DATE '{d}', '{a}', '{r}')" for h, d, a, r in HOST_LIST)
+"""
 
 OP6_SQL = r"""
 WITH sized AS (

@@ -9,6 +9,9 @@ A host with a third of all captures is no hot key: captures are first reduced to
 which a host has one for each day at most; these meet the intervals by domain and month, and only the verdicts are joined
 back to the captures.
 
+Hosts are read as browsers read them: user and password end at the last `@` before the path, an IPv6 address stands in
+brackets, a backslash ends the host like a slash. Addresses have no parent domains.
+
 Defined results: a null URL or one without a host is never blocked; a null fetch day matches no interval; entries with a
 null host or day are ignored; of entries of one host and day the removal wins; equal captures get equal verdicts; other
 columns never matter; an empty list blocks nothing.
@@ -27,7 +30,7 @@ FOREVER = "9999-12-31"
 
 def host_of(url: Column) -> Column:
     """Lower-case host, without user, port and final dots; null if there is none."""
-    found = F.regexp_extract(F.trim(url), r"^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    found = F.regexp_extract(F.trim(url), r"^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#\\]*@)?(\[[^\]/?#\\@]*\]|[^/?#\\:@\[\]]+)(?::[^/?#\\@]*)?(?:[/?#\\]|$)", 1)
     host = F.lower(F.regexp_replace(found, r"\.+$", ""))
     return F.when(host != "", host)
 
@@ -45,7 +48,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 def suffixes(host: Column) -> Column:
     """The host and its parent domains of two labels or more, longest first."""
     parts = F.split(host, r"\.")
-    count = F.greatest(F.size(parts) - 1, F.lit(1))
+    count = F.when(host.rlike(r"^([0-9.]+|\[.*)$"), 1).otherwise(F.greatest(F.size(parts) - 1, F.lit(1)))
     return F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
@@ -64,5 +67,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     tried = asked.select("host", "fetch_day", month(F.col("fetch_day")).alias("month"), F.explode(suffixes(F.col("host"))).alias("entry"))
     hits = tried.join(cut, ["entry", "month"]).filter("valid_from <= fetch_day AND fetch_day < valid_to")
     best = hits.groupBy("host", "fetch_day").agg(F.max(F.struct(F.length("entry").alias("size"), "entry", "reason", "valid_from", "valid_to")).alias("hit"))
+    # a table of its own, so that the join is between two plain exchanges and Spark can split a host's day
+    best = common.keep(best, f"{home}/best")
     out = seen.join(best, ["host", "fetch_day"], "left")
     return out.select("page_id", "host", "fetch_day", F.col("hit").isNotNull().alias("blocked"), *[F.col(f"hit.{c}").alias(c) for c in ("entry", "reason", "valid_from", "valid_to")])
