@@ -1,36 +1,40 @@
 """Quality rules by compression bands: how far zstandard shrinks a document, as a whole and chunk by chunk.
 
-A text that repeats itself shrinks too much, one without structure (encoded binary, keys) too little. What is usual
-depends on the length, so the limits of a whole document go by its bytes; chunks have one fixed size and one band. A
-document fails when its whole ratio leaves its band, or when chunks outside their band hold more than CHUNK_SHARE of its
-chunked bytes, so that one odd passage in a long text doesn't condemn it. Beside the verdict stand the base counts.
-
-Defined results: a null text counts as an empty one, which has no words and so fails the base; other columns never
-matter. Texts of any length go through whole.
+A text that repeats itself or is full of marks shrinks too much, one without structure (encoded binary, keys) too little.
+What is usual depends on the length, so each length has limits of its own: lengths are grouped STEPS to a doubling, and
+the limits of a group come from the corpus. They lie HIGH and LOW spreads above and below the median of the logarithm of
+the ratio; the spread is the distance from the median down to the quantile QUANTILE, and SPREAD_LEAST at least. Median
+and lower spread hardly move when a few percent of the texts are junk, most of which shrinks too much.
+
+The limits are learnt from all documents that pass the base rules: their whole texts and all their chunks, as a chunk of
+some length shrinks like a text of that length. Only a histogram (length group, step of the ratio) leaves the tasks; its
+size is bounded by the number of groups and steps, whatever the corpus holds.
+
+A document fails when its whole ratio leaves the limits of its length, or when the chunks that leave theirs hold more
+than CHUNK_SHARE of its bytes, so that one odd passage in a long text doesn't condemn it. Every chunk is judged, the last
+and shorter one too; a text no longer than a chunk is its own only chunk. Beside the verdict stand the base counts.
+
+Defined results: a null text counts as an empty one, which has no words and so fails the base; equal rows get equal rows;
+an empty table gives an empty result; null ids and other columns never matter. Texts of any length go through whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LEVEL = 3
-#: (bytes up to, least ratio, greatest ratio)
-BANDS = (
-    (100, 0.0, 1.8),
-    (200, 0.8, 2.2),
-    (400, 1.0, 2.3),
-    (800, 1.2, 2.4),
-    (1_600, 1.3, 2.6),
-    (3_200, 1.4, 2.8),
-    (12_800, 1.4, 3.0),
-    (float("inf"), 1.4, 3.5),
-)
-#: Bytes of a chunk, its band, the shortest last chunk that is judged, and the share of bytes that may lie outside.
-CHUNK, CHUNK_BAND, CHUNK_LEAST, CHUNK_SHARE = 1024, (1.25, 2.6), 512, 0.25
+#: Length groups to a doubling, and steps of the histogram to a factor e of the ratio.
+STEPS, FINE = 4, 200
+#: Spreads above and below the median, the quantile that gives the spread, and the least spread.
+HIGH, LOW, QUANTILE, SPREAD_LEAST = 3.0, 4.0, 0.16, 0.015
+#: Bytes of a chunk, and the share of bytes that may lie in chunks outside their limits.
+CHUNK, CHUNK_SHARE = 1024, 0.25
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -38,6 +42,9 @@ SPACES = " \t\n\v\f\r"
 SCHEMA = """doc_id {id}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,
 base_failed boolean, kept boolean, ratio double, odd_chunk_share double"""
 
+#: Limits of the logarithm of the ratio, by length group.
+Limits = dict[int, tuple[float, float]]
+
 
 def repeat_words(words: list[bytes]) -> int:
     """Words in three-word windows that the text has twice or more."""
@@ -58,25 +65,91 @@ def dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def verdict(data: bytes, compress, *, bands=BANDS, chunk=CHUNK, chunk_band=CHUNK_BAND, share=CHUNK_SHARE) -> tuple[bool, float, float]:
-    """(passed, ratio of the whole, share of the chunked bytes outside the chunks' band)."""
+def base_failed(n_words: int, repeats: int) -> bool:
+    return n_words < 50 or 100 * repeats > 50 * n_words
+
+
+def group_of(size: int) -> int:
+    return int(STEPS * math.log2(size))
+
+
+def chunks(data: bytes, compress, chunk: int = CHUNK) -> list[tuple[int, float]]:
+    """(bytes, ratio) of each."""
+    return [(len(part), len(part) / len(compress(part))) for part in (data[at : at + chunk] for at in range(0, len(data), chunk))]
+
+
+def measured(data: bytes, compress, chunk: int = CHUNK) -> tuple[float, list[tuple[int, float]]]:
+    """(ratio of the whole, (bytes, ratio) of each chunk)."""
+    each = chunks(data, compress, chunk)
+    return each[0][1] if len(each) == 1 else len(data) / len(compress(data)) if data else 0.0, each
+
+
+def limits_of(histogram: dict[tuple[int, int], int]) -> Limits:
+    """histogram: (length group, step of the ratio) to the number of texts and chunks."""
+    held: dict[int, list[tuple[int, int]]] = {}
+    for (group, step), n in sorted(histogram.items()):
+        held.setdefault(group, []).append((step, n))
+
+    def quantile(steps: list[tuple[int, int]], share: float) -> float:
+        left = share * sum(n for _, n in steps)
+        for step, n in steps:
+            left -= n
+            if left <= 0:
+                return (step + 0.5) / FINE
+        return (steps[-1][0] + 0.5) / FINE
+
+    out = {}
+    for group, steps in held.items():
+        middle = quantile(steps, 0.5)
+        spread = max(middle - quantile(steps, QUANTILE), SPREAD_LEAST)
+        out[group] = (middle - LOW * spread, middle + HIGH * spread)
+    return out
+
+
+def odd(size: int, ratio: float, limits: Limits) -> bool:
+    """A length group that the corpus has no good text of has no limits."""
+    low, high = limits.get(group_of(size), (-math.inf, math.inf))
+    return not low <= math.log(ratio) <= high
+
+
+def verdict(data: bytes, compress, limits: Limits, share: float = CHUNK_SHARE) -> tuple[bool, float, float]:
+    """(passed, ratio of the whole, share of the bytes in chunks outside their limits)."""
     if not data:
         return True, 0.0, 0.0
-    ratio = len(data) / len(compress(data))
-    low, high = next((low, high) for most, low, high in bands if len(data) <= most)
-    odd = every = 0
-    for at in range(0, len(data), chunk):
-        part = data[at : at + chunk]
-        if len(part) >= min(CHUNK_LEAST, chunk):
-            every += len(part)
-            odd += 0 if chunk_band[0] <= len(part) / len(compress(part)) <= chunk_band[1] else len(part)
-    odd_share = odd / every if every else 0.0
-    return low <= ratio <= high and odd_share <= share, ratio, odd_share
+    ratio, each = measured(data, compress)
+    odd_share = sum(n for n, r in each if odd(n, r, limits)) / len(data)
+    return not odd(len(data), ratio, limits) and odd_share <= share, ratio, odd_share
+
+
+def learn(docs: DataFrame, *, level: int = LEVEL) -> Limits:
+    """The limits that the documents which pass the base rules give."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=level).compress
+        seen: Counter[tuple[int, int]] = Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                data = (text.as_py() or "").encode()
+                words = data.split()
+                if base_failed(len(words), repeat_words(words)):
+                    continue
+                ratio, each = measured(data, compress)
+                for n, r in each if len(each) == 1 else [(len(data), ratio), *each]:
+                    seen[group_of(n), math.floor(math.log(r) * FINE)] += 1
+        rows = list(seen.items())
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.int32()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], ["grp", "step", "n"])
+
+    counted = docs.select("text").mapInArrow(work, "grp int, step int, n long").groupBy("grp", "step").agg(F.sum("n").alias("n"))
+    return limits_of({(r["grp"], r["step"]): r["n"] for r in counted.collect()})
 
 
 def judge(docs: DataFrame, *, level: int = LEVEL) -> DataFrame:
     """docs: doc_id and text. One row of SCHEMA for each."""
     docs = docs.select("doc_id", "text")
+    limits = learn(docs, level=level)
+    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -84,18 +157,18 @@ def judge(docs: DataFrame, *, level: int = LEVEL) -> DataFrame:
         compress = zstandard.ZstdCompressor(level=level).compress
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
+            for held in batch.column("text"):
+                text = held.as_py() or ""
                 data = text.encode()
                 words = data.split()
                 repeats = repeat_words(words)
-                failed = len(words) < 50 or 100 * repeats > 50 * len(words)
-                passed, ratio, share = verdict(data, compress)
+                failed = base_failed(len(words), repeats)
+                passed, ratio, share = verdict(data, compress, limits)
                 rows.append((
                     len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup_lines(text), repeats,
                     failed, passed and not failed, ratio, share,
                 ))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2, strict=True)] if rows else [pa.array([], t) for t in [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], [x.split()[0] for x in SCHEMA.split(",")])
 
     return docs.mapInArrow(work, SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString()))
