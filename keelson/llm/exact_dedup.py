@@ -1,11 +1,12 @@
 """Exact deduplication with a log-structured merge index of digests; DataFrame operations only.
 
-Documents are spread over memtables. Each memtable is flushed as one sorted run: a row per digest with the row that
-stays so far (most code points, then smallest id) and the number of copies. Every run carries a filter, a bitmap of the
-digests that it holds. Compaction looks at the filters first: a digest whose bit is set in one run only is final as it
-is; the others merge, and the best identifier over all runs stays. A digest that ends with more than one copy is a hit,
-and every hit is compared byte by byte with the text of the row that stays. Rows that differ from it although their
-digests agree are grouped again by their text.
+Documents are dealt by a hash into memtables of about MEMTABLE rows, so their number follows the corpus. Each memtable
+is flushed as one sorted run of level 0: a row per digest with the row that stays so far (most code points, then smallest
+id) and the number of copies. Every run carries a filter, a bitmap of the digests that it holds. Compaction merges FANOUT
+runs of a level into one run of the next, until one run is left. It looks at the filters first: a digest whose bit no
+other run of the merge has set moves up as it is; the others are merged, and the best identifier stays. A digest that
+ends with more than one copy is a hit, and every hit is compared byte by byte with the text of the row that stays. Rows
+that differ from it although their digests agree are grouped again by their text.
 
 Defined results: a null text counts as an empty one; null ids are allowed and sort last; of rows that are equal in all
 of id and text, one stays; columns of the input other than id and text never matter, whatever their names.
@@ -21,8 +22,11 @@ from . import common
 
 #: Bits in the bitmap of one filter row, as Spark's bitmap functions fix it.
 PAGE = 32_768
-#: Pages of the bitmap that picks the rows whose text is fetched: 64 pages are 256 KB, whatever the corpus holds.
-HIT_PAGES = 64
+#: Rows of a memtable, and runs that a compaction merges.
+MEMTABLE, FANOUT = 1 << 16, 8
+#: Pages, at most, of the bitmap that picks the rows whose text is fetched: 16 MB are broadcast. Beyond some 8 million
+#: hits it lets through more rows that aren't hits; the join that follows drops them.
+HIT_PAGES = 4096
 
 
 def normalised(text: Column) -> Column:
@@ -43,7 +47,7 @@ def bit(page: Column, offset: Column) -> Column:
 def flush(rows: DataFrame, path: str, memtables: int) -> DataFrame:
     """One sorted run per memtable: the digests it has seen, each with its best row and its number of copies."""
     runs = (
-        rows.withColumn("run", F.pmod(F.xxhash64("id", "chars"), F.lit(memtables)).cast("int"))
+        rows.withColumn("run", F.pmod(F.xxhash64("key"), F.lit(memtables)))
         .groupBy("run", "digest")
         .agg(F.min("rank").alias("best"), F.count("*").alias("copies"))
         .sortWithinPartitions("run", "digest")
@@ -51,31 +55,35 @@ def flush(rows: DataFrame, path: str, memtables: int) -> DataFrame:
     return common.keep(runs, path)
 
 
-def filters(runs: DataFrame, pages: int) -> DataFrame:
-    """For every run its bitmap, in pages: (run, page, bits)."""
-    at = runs.select("run", F.pmod(F.xxhash64("digest"), F.lit(pages * PAGE)).alias("at"))
-    return at.groupBy("run", (F.floor(F.col("at") / PAGE)).cast("int").alias("page")).agg(
-        F.bitmap_construct_agg((F.col("at") % PAGE).cast("long")).alias("bits")
-    )
-
-
-def compact(runs: DataFrame, pages: int) -> DataFrame:
-    """Merge the runs to one row per digest. What no other run's filter claims needs no merge."""
+def merge(runs: DataFrame, fanout: int, pages: int) -> DataFrame:
+    """Each `fanout` runs become one. What no other filter of the merge claims moves up as it is."""
     at = F.pmod(F.xxhash64("digest"), F.lit(pages * PAGE))
-    seen = runs.withColumn("page", F.floor(at / PAGE).cast("int")).withColumn("offset", (at % PAGE).cast("int"))
-    held = filters(runs, pages).groupBy("page").agg(F.collect_list(F.struct("run", "bits")).alias("held"))
-    probed = seen.join(held, "page").withColumn(
-        "elsewhere", F.exists("held", lambda h: (h["run"] != F.col("run")) & bit(h["bits"], F.col("offset")))
-    )
-    alone = probed.filter(~F.col("elsewhere")).select("digest", "best", "copies")
-    merged = probed.filter("elsewhere").groupBy("digest").agg(F.min("best").alias("best"), F.sum("copies").alias("copies"))
-    return alone.unionByName(merged)
-
-
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", memtables: int = 4, digest_bits: int = 256, keys: bool = False) -> DataFrame:
+    seen = runs.withColumn("into", F.floor(F.col("run") / fanout)).withColumn("page", F.floor(at / PAGE)).withColumn("offset", at % PAGE)
+    filters = seen.groupBy("into", "run", "page").agg(F.bitmap_construct_agg("offset").alias("bits"))
+    held = filters.groupBy("into", "page").agg(F.collect_list(F.struct("run", "bits")).alias("held"))
+    probed = seen.join(held, ["into", "page"]).withColumn("elsewhere", F.exists("held", lambda h: (h["run"] != F.col("run")) & bit(h["bits"], F.col("offset"))))
+    alone = probed.filter(~F.col("elsewhere")).select(F.col("into").alias("run"), "digest", "best", "copies")
+    merged = probed.filter("elsewhere").groupBy(F.col("into").alias("run"), "digest").agg(F.min("best").alias("best"), F.sum("copies").alias("copies"))
+    return alone.unionByName(merged).sortWithinPartitions("run", "digest")
+
+
+def index_of(rows: DataFrame, n_rows: int, home: str, *, memtable: int = MEMTABLE, fanout: int = FANOUT) -> DataFrame:
+    """rows: key, digest, rank. One row per digest: digest, best, copies."""
+    left, level = max(1, -(-n_rows // memtable)), 0
+    runs = flush(rows, f"{home}/level0", left)
+    while left > 1:
+        # about 10 bits for each digest of a run, in whole pages
+        pages = max(1, -(-memtable * fanout**level * 10 // PAGE))
+        left, level = -(-left // fanout), level + 1
+        runs = common.keep(merge(runs, fanout, pages), f"{home}/level{level}")
+    return runs.select("digest", "best", "copies")
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, keys: bool = False, **how) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256; with keys also key, the row_key of id and text.
 
     digest_bits below 256 shortens the digests of the index (tests force collisions with it); the result is the same.
+    how: memtable (rows) and fanout of the index.
     """
     spark = docs.sparkSession
     home = common.shared_dir(spark)
@@ -86,24 +94,23 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", me
         f"{home}/digests",
     )
     digest = F.unhex(F.substring("sha", 1, digest_bits // 4))
-    rows = light.select("id", "chars", digest.alias("digest"), better(F.col("chars"), F.col("id")).alias("rank"))
-    runs = flush(rows, f"{home}/runs", memtables)
-    # about 10 bits for each digest of a run, in whole pages
-    pages = max(1, -(-light.count() * 10 // (memtables * PAGE)))
-    index = common.keep(compact(runs, pages), f"{home}/index")
+    rows = light.select("key", digest.alias("digest"), better(F.col("chars"), F.col("id")).alias("rank"))
+    index = index_of(rows, light.count(), home, **how)
 
     hits = index.filter("copies > 1").select("digest", "best")
-    at = F.pmod(F.xxhash64("digest"), F.lit(HIT_PAGES * PAGE))
+    hit_pages = min(HIT_PAGES, -(-hits.count() * 16 // PAGE) + 1)
+    at = F.pmod(F.xxhash64("digest"), F.lit(hit_pages * PAGE))
     marks = hits.groupBy(F.floor(at / PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg((at % PAGE).cast("long")).alias("bits"))
     texts = docs.select(
         ident.alias("id"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"), norm.alias("norm"),
     ).withColumn("digest", F.unhex(F.substring(F.sha2("norm", 256), 1, digest_bits // 4)))
-    # HIT_PAGES rows of 4 KB at most: a broadcast of fixed size. It lets through every hit and few others.
+    # HIT_PAGES rows of 4 KB at most. It lets through every hit and few others.
     likely = texts.withColumn("page", F.floor(at / PAGE).cast("int")).withColumn("offset", (at % PAGE).cast("int"))
     likely = likely.join(F.broadcast(marks), "page").filter(bit(F.col("bits"), F.col("offset"))).drop("page", "offset", "bits")
     found = common.keep(likely.join(hits, "digest"), f"{home}/hits")
     is_best = better(F.col("chars"), F.col("id")) == F.col("best")
-    stays = found.filter(is_best).groupBy("digest").agg(F.min("norm").alias("stays_norm"))
+    # tables of their own, here and below, so that the joins are between plain exchanges and Spark can split a common digest
+    stays = common.keep(found.filter(is_best).groupBy("digest").agg(F.min("norm").alias("stays_norm")), f"{home}/stays")
     odd = found.join(stays, "digest").filter(F.col("norm") != F.col("stays_norm")).select("digest").distinct()
     odd = common.keep(odd, f"{home}/odd")
     groups = index.select(
@@ -118,7 +125,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", me
         mixed = odd
         plain = settled.join(mixed, "digest", "left_anti").join(groups, "digest")
         apart = settled.join(mixed, "digest", "left_semi")
-        again = apart.groupBy("sha").agg(F.min(better(F.col("chars"), F.col("id"))).alias("best"), F.count("*").alias("group_size"))
+        again = common.keep(apart.groupBy("sha").agg(F.min(better(F.col("chars"), F.col("id"))).alias("best"), F.count("*").alias("group_size")), f"{home}/again")
         redone = apart.join(
             again.select("sha", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), "group_size"), "sha"
         )
