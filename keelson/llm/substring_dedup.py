@@ -3,24 +3,29 @@
 A window is `window` consecutive words of one document. Every word goes that lies in a window whose word sequence also
 starts somewhere else, in the same document or another.
 
-1. Anchors. The least hash of the k-word groups inside a window is the window's anchor. Equal windows have equal anchors,
+1. Anchors. The least hash of the word groups inside a window is the window's anchor. Equal windows have equal anchors,
    and neighbouring windows mostly share theirs, so a text has about one anchor to 14 words. Anchors are counted over the
    corpus; those that stand only once are dropped, and with them nearly all text that has no twin.
 2. Reference shards. A document's consecutive windows with the same repeated anchor form a passage. Equal passages are
-   counted as one row. Shards hold whole anchors, so that windows which could be equal always meet in one shard.
+   one row with the number of their places. Shards hold whole anchors, so that windows which could be equal always meet
+   in one shard.
 3. Automata. A task reads its shards in turn. From a shard's passages it builds a suffix automaton over their words,
    with the number of places for each state, and then streams the passages through it: the matching statistics say
    which windows of a passage have a second place in the corpus. Only one shard is in memory at a time.
-4. The spans found go back to the documents (a passage's answer is joined to all places where it stands), maximal spans
+4. Anchors whose different passages hold more than `heavy` words (one text with thousands of near copies, the borders of
+   a passage that stands everywhere) would make a shard too large for a task. Their passages are taken as documents and
+   dealt again, by anchors of longer groups (GROUPS, then the whole window). A longer group leaves fewer words around it
+   that can differ, and the windows that have no twin drop out; with a group as long as the window an anchor has one
+   passage only, so every shard ends below the limit, however many copies there are.
+5. The spans found go back to the documents (a passage's answer is joined to all places where it stands), maximal spans
    are merged, and the words outside them are kept.
 
 An automaton goes to the tasks that hold its shard's passages, not to the whole cluster: sent to every task, the automata
-would cost the number of shards times the corpus. Anchors that stand in more than `heavy` places (one text with thousands
-of near copies) would make a shard too large for a task. Their distinct passages are cut into single windows, dealt by the
-window's own hash and counted there, which gives the same answer.
+would cost the number of shards times the corpus.
 
-Defined results: a null or empty text has no words; equal rows are copies of each other, so all their windows go;
-documents with fewer than `window` words keep everything; columns other than id and text never matter.
+Defined results: a null or empty text has no words; a null id is an id like others; equal rows are copies of each other,
+so all their windows go; documents with fewer than `window` words keep everything; an empty table gives an empty result;
+columns other than id and text never matter.
 """
 
 from __future__ import annotations
@@ -36,9 +41,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, GROUP = 35, 8
-#: Places of an anchor above which its windows are counted one by one.
-HEAVY = 2_000
+WINDOW = 35
+#: Words of the groups whose least hash is an anchor, level by level; the last level's group is the window itself.
+GROUPS = (8, 24)
+#: Words of an anchor's different passages above which they are dealt again at the next level.
+HEAVY = 50_000
 #: Windows of a passage at most, and words of a shard from which it is closed.
 PASSAGE, SHARD = 512, 20_000
 
@@ -174,19 +181,23 @@ def _anchor_rows(window: int, group: int):
                     values, times = np.unique(held, return_counts=True)
                     own = np.concatenate([values, values[times > 1]])  # twice in this text: two places
                 found.append(own.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(pa.int64()))], ["row", "anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("times"), pa.array(found, pa.list_(pa.int64()))], ["item", "times", "anchors"])
 
     return work
 
 
 def _passage_rows(window: int, group: int):
+    shape = pa.schema([("item", pa.binary()), ("start", pa.int32()), ("anchor", pa.int64()), ("times", pa.int64()), ("n", pa.int64()), ("passage_hash", pa.binary()), ("passage", pa.binary())])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(shape)], schema=shape)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, starts, anchors, heavies, hashes, passages = [], [], [], [], [], []
-            for row, text, repeated, heavy in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "repeated", "heavy")), strict=True):
+            rows: list[tuple] = []
+            for item, text, times, repeated in zip(*(batch.column(c).to_pylist() for c in ("item", "text", "times", "repeated")), strict=True):
                 words = text.split()
                 _, least = window_anchors(words, window, group)
-                many = set(heavy)
                 own = np.sort(np.array(repeated, np.int64).view(np.uint64))
                 at = np.searchsorted(own, least).clip(max=len(own) - 1)
                 hit = own[at] == least
@@ -196,28 +207,17 @@ def _passage_rows(window: int, group: int):
                         continue
                     anchor = int(least[start].view(np.int64))
                     for s in range(start, end, PASSAGE):
-                        part = b" ".join(words[s : min(s + PASSAGE, end) + window - 1])
-                        rows.append(row)
-                        starts.append(s)
-                        anchors.append(anchor)
-                        heavies.append(anchor in many)
-                        hashes.append(hashlib.md5(part).digest())
-                        passages.append(part)
+                        part = words[s : min(s + PASSAGE, end) + window - 1]
+                        passage = b" ".join(part)
+                        rows.append((item, s, anchor, times, len(part), hashlib.md5(passage).digest(), passage))
                     if len(rows) >= 50_000:
-                        yield _passage_batch(rows, starts, anchors, heavies, hashes, passages)
-                        rows, starts, anchors, heavies, hashes, passages = [], [], [], [], [], []
-            yield _passage_batch(rows, starts, anchors, heavies, hashes, passages)
+                        yield batch_of(rows)
+                        rows = []
+            yield batch_of(rows)
 
     return work
 
 
-def _passage_batch(rows, starts, anchors, heavies, hashes, passages) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows, pa.binary()), pa.array(starts, pa.int32()), pa.array(anchors, pa.int64()), pa.array(heavies, pa.bool_()), pa.array(hashes, pa.binary()), pa.array(passages, pa.binary())],
-        ["row", "start", "anchor", "heavy", "passage_hash", "passage"],
-    )
-
-
 def _automaton_rows(window: int):
     """Reads passages in the order of their anchors; a shard is closed at the first new anchor once it is large enough."""
 
@@ -246,53 +246,38 @@ def _automaton_rows(window: int):
     return work
 
 
-def _window_rows(window: int):
-    """Passages cut into their single windows."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, offsets, windows, counts = [], [], [], []
-            for h, passage, times in zip(*(batch.column(c).to_pylist() for c in ("passage_hash", "passage", "times")), strict=True):
-                words = passage.split(b" ")
-                for s in range(len(words) - window + 1):
-                    hashes.append(h)
-                    offsets.append(s)
-                    windows.append(hashlib.sha256(b" ".join(words[s : s + window])).digest())
-                    counts.append(times)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(offsets, pa.int32()), pa.array(windows, pa.binary()), pa.array(counts, pa.int64())], ["passage_hash", "offset", "window", "times"])
-
-    return work
-
-
-def repeated_spans(docs: DataFrame, *, window: int = WINDOW, group: int = GROUP, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
-    """(keyed documents: row, doc_id, text as bytes; spans: row, spans as a flat list of [start, end) words, unmerged)."""
-    home = common.shared_dir(docs.sparkSession)
-    keyed = docs.select(common.row_key("doc_id", "text").alias("row"), "doc_id", F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"))
-    anchors = common.keep(keyed.select("row", "text").mapInArrow(_anchor_rows(window, group), "row binary, anchors array<bigint>"), f"{home}/anchors")
-    each = anchors.select("row", F.explode("anchors").alias("anchor"))
+def _found(items: DataFrame, home: str, window: int, groups: tuple[int, ...], heavy: int) -> DataFrame:
+    """items: item, text (words as bytes), times. (item, spans): flat lists of the [start, end) words of repeated windows, unmerged."""
+    group, deeper = groups[0], groups[1:]
+    anchors = common.keep(items.select("item", "text", "times").mapInArrow(_anchor_rows(window, group), "item binary, times long, anchors array<bigint>"), f"{home}/anchors{group}")
+    each = anchors.select("item", "times", F.explode("anchors").alias("anchor"))
     # kept as tables, so that the joins that follow are between two plain exchanges and Spark can split a common key
-    counted = common.keep(each.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") > heavy).alias("heavy")), f"{home}/counted")
-    of_row = each.join(counted, "anchor").groupBy("row").agg(
-        F.collect_set("anchor").alias("repeated"), F.collect_set(F.when(F.col("heavy"), F.col("anchor"))).alias("heavy")
-    )
+    counted = common.keep(each.groupBy("anchor").agg(F.sum("times").alias("places")).filter("places > 1").select("anchor"), f"{home}/counted{group}")
+    of_item = each.join(counted, "anchor").groupBy("item").agg(F.collect_set("anchor").alias("repeated"))
+    cut = items.join(of_item, "item").select("item", "text", "times", "repeated")
     places = common.keep(
-        keyed.join(of_row, "row").select("row", "text", "repeated", "heavy")
-        .mapInArrow(_passage_rows(window, group), "row binary, start int, anchor bigint, heavy boolean, passage_hash binary, passage binary"),
-        f"{home}/passages",
-    )
-    distinct = places.groupBy("anchor", "heavy", "passage_hash", "passage").agg(F.count(F.lit(1)).alias("times"))
-    light = (
-        distinct.filter(~F.col("heavy")).drop("heavy").repartition("anchor").sortWithinPartitions("anchor")
-        .mapInArrow(_automaton_rows(window), "passage_hash binary, spans array<int>")
+        cut.mapInArrow(_passage_rows(window, group), "item binary, start int, anchor long, times long, n long, passage_hash binary, passage binary"), f"{home}/passages{group}"
     )
-    single = distinct.filter("heavy").select("passage_hash", "passage", "times").mapInArrow(_window_rows(window), "passage_hash binary, offset int, window binary, times bigint")
-    many = single.groupBy("window").agg(F.sum("times").alias("all_times")).filter("all_times > 1").select("window")
-    many = common.keep(many, f"{home}/many")
-    cut = single.join(many, "window").groupBy("passage_hash").agg(F.flatten(F.collect_list(F.array(F.col("offset"), F.col("offset") + window))).alias("spans"))
-    answers = common.keep(light.unionByName(cut), f"{home}/answers")
+    distinct = common.keep(places.groupBy("anchor", "passage_hash", "passage").agg(F.sum("times").alias("times"), F.first("n").alias("n")), f"{home}/distinct{group}")
+    light, answers = distinct, None
+    if deeper:
+        wide = common.keep(distinct.groupBy("anchor").agg(F.sum("n").alias("words")).filter(F.col("words") > heavy).select("anchor"), f"{home}/wide{group}")
+        if not wide.isEmpty():
+            again = distinct.join(wide, "anchor", "left_semi").select(F.col("passage_hash").alias("item"), F.col("passage").alias("text"), "times")
+            answers = _found(common.keep(again, f"{home}/again{group}"), home, window, deeper, heavy).withColumnRenamed("item", "passage_hash")
+            light = distinct.join(wide, "anchor", "left_anti")
+    spans = light.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "passage_hash", "passage", "times").mapInArrow(_automaton_rows(window), "passage_hash binary, spans array<int>")
+    answers = common.keep(spans if answers is None else spans.unionByName(answers), f"{home}/answers{group}")
     shifted = F.transform("spans", lambda x: x + F.col("start"))
-    spans = places.select("row", "start", "passage_hash").join(answers, "passage_hash").select("row", shifted.alias("spans"))
-    return keyed, spans.groupBy("row").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    found = places.select("item", "start", "passage_hash").join(answers, "passage_hash").select("item", shifted.alias("spans"))
+    return common.keep(found.groupBy("item").agg(F.flatten(F.collect_set("spans")).alias("spans")), f"{home}/spans{group}")
+
+
+def repeated_spans(docs: DataFrame, *, window: int = WINDOW, groups: tuple[int, ...] = GROUPS, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
+    """(keyed documents: item, doc_id, text as bytes; spans: item, spans as a flat list of [start, end) words, unmerged)."""
+    keyed = docs.select(common.row_key("doc_id", "text").alias("item"), "doc_id", F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"))
+    levels = (*(g for g in groups if g < window), window)
+    return keyed, _found(keyed.select("item", "text", F.lit(1).cast("long").alias("times")), common.shared_dir(docs.sparkSession), window, levels, heavy)
 
 
 def kept_words(words: list[bytes], flat: list[int] | None) -> list[bytes]:
@@ -327,4 +312,4 @@ def dedup(docs: DataFrame, *, texts: bool = False, **how) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    return keyed.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(work, shape)
+    return keyed.join(spans, "item", "left").select("doc_id", "text", "spans").mapInArrow(work, shape)
