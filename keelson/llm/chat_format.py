@@ -1,13 +1,16 @@
 """Chat formatting with budgeted windows.
 
 The turns of a conversation stand in line, each as long as its tokens, and prefix sums of the tokens give every turn its
-place. A window is a stretch of `budget` tokens of that line and has the turns that start in it, so windows are aligned
-to turns and no turn is cut; only the last turn of a window may run over. A window repeats the conversation's first turn
-if it is the system's, and the turns that start within `history` tokens before it. What is repeated is context: in later
-windows nothing of it is under the loss mask, so each assistant text is learnt once.
+place. A window is a span of whole turns. It repeats the conversation's first turn if it is the system's, and as history
+the turns that start within `history` tokens before it; then it takes as many turns of its own as fit. Template and
+repeated turns count, so a window holds `budget` tokens at most, unless the system turn and one turn alone exceed them:
+history gives way first, and a window always has one turn of its own. What is repeated is context: in later windows
+nothing of it is under the loss mask, so each assistant text is learnt once.
 
 Prefix sums have two levels (runs of RUN turns, then the turns of a run), so a conversation with a third of all rows is
-spread over many tasks; a window's turns are gathered only once they are known to be few.
+spread over many tasks. Its line is cut into stretches of STRETCH budgets; a turn belongs to the stretch that it starts
+in, and is handed to the next one too if it may be history there. Windows are packed within a stretch, one task reading
+its turns in order, so what a task holds is bounded by the stretch and its last turn.
 
 Template: a turn is `### `, the role, `: `, the text, ` </turn>` and a line feed. Inside texts and roles, backslashes are
 doubled, and a `#` or `<` that begins `###` or `</turn>` gets a backslash before it; roles lose colons and line feeds in
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +35,8 @@ from pyspark.sql import Window as W
 from . import common
 
 BUDGET, HISTORY = 1024, 256
+#: Budgets of a stretch.
+STRETCH = 64
 #: Turns whose tokens are summed together before the sums are.
 RUN = 64
 OPEN, MIDDLE, CLOSE = "### ", ": ", " </turn>\n"
@@ -82,8 +88,8 @@ def read(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
-    """A row for each turn and window that it stands in: conv, win, seq (its place in the conversation), role, text, repeated."""
+def lined(turns: DataFrame) -> DataFrame:
+    """Per turn: conv, seq (its place in the conversation), start (tokens before it), cost, role, text."""
     clean = turns.select(
         F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("cost", tokens(F.col("text")).cast("long"))
@@ -99,41 +105,66 @@ def placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     line = clean.withColumn("nth", F.row_number().over(inside)).withColumn("end_in", F.sum("cost").over(upto))
     line = line.join(runs, line["conv"].eqNullSafe(runs["r_conv"]) & (line["run"] == runs["r_run"]))
-    line = line.select(
-        "conv", "role", "text", (F.col("turns_before") + F.col("nth") - 1).alias("seq"), (F.col("cost_before") + F.col("end_in") - F.col("cost")).alias("start"),
-    ).withColumn("own", F.floor(F.col("start") / budget))
-    # as history: the windows that begin within `history` tokens after the turn starts
-    reach = F.floor((F.col("start") + history) / budget)
-    used = line.groupBy("conv").agg(F.max("own").alias("last"))
-    used = used.withColumnRenamed("conv", "u_conv")
-    line = line.join(used, line["conv"].eqNullSafe(used["u_conv"])).drop("u_conv")
-    is_head = (F.col("seq") == 0) & (F.col("role") == "system")
-    wins = F.sequence(F.col("own"), F.when(is_head, F.col("last")).otherwise(F.least("last", reach)))
-    return line.withColumn("win", F.explode(wins)).select("conv", "win", "seq", "role", "text", (F.col("win") > F.col("own")).alias("repeated"))
+    return line.select(
+        "conv", (F.col("turns_before") + F.col("nth") - 1).alias("seq"), (F.col("cost_before") + F.col("end_in") - F.col("cost")).alias("start"), "cost", "role", "text"
+    )
+
+
+def pack(starts: list[int], costs: list[int], first: int, head: int, *, budget: int, history: int) -> Iterator[tuple[int, int, int]]:
+    """Windows as (first turn of history, first own turn, end), over the turns of a stretch; own turns begin at `first`.
+
+    starts: tokens before each turn. head: tokens of the system turn, which doesn't repeat in a window that holds it.
+    """
+    at, n = first, len(starts)
+    while at < n:
+        room = budget - head
+        past = bisect_left(starts, starts[at] - history, 0, at)
+        # history gives way to the first own turn
+        past = bisect_left(starts, starts[at] + costs[at] - room, past, at)
+        end = at + 1
+        while end < n and starts[end] + costs[end] - starts[past] <= room:
+            end += 1
+        yield past, at, end
+        at = end
 
 
 def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """turns: conv_id, turn, role, text. A row for each window: conv_id, win, formatted, mask (flat code points), context (turns that are repeated)."""
-    rows = placed(turns, budget, history)
-    gathered = rows.groupBy("conv", "win").agg(F.sort_array(F.collect_list(F.struct("seq", "role", "text", "repeated"))).alias("turns"))
-    # a window without a turn of its own (one long turn covers its stretch) isn't one
-    gathered = gathered.filter(F.exists("turns", lambda t: ~t["repeated"]))
+    """turns: conv_id, turn, role, text. A row for each window: conv_id, win (its first own turn), formatted, mask (flat code points), context (turns that are repeated), n_tokens."""
+    home, stretch = common.shared_dir(turns.sparkSession), STRETCH * budget
+    line = common.keep(lined(turns), f"{home}/line")
+    heads = line.filter("seq = 0 AND role = 'system'").select(F.col("conv").alias("h_conv"), F.struct("cost", "role", "text").alias("head"))
+    own, reach = F.floor(F.col("start") / stretch), F.floor((F.col("start") + history) / stretch)
+    dealt = line.withColumn("own", own).withColumn("stretch", F.explode(F.sequence("own", reach)))
+    turn = F.struct("seq", "start", "cost", "role", "text", (F.col("stretch") > F.col("own")).alias("past"))
+    gathered = dealt.groupBy("conv", "stretch").agg(F.sort_array(F.collect_list(turn)).alias("turns")).filter(F.exists("turns", lambda t: ~t["past"]))
+    # a conversation has one head at most, and a table stands between, so Spark can split a long conversation's stretches
+    gathered = common.keep(gathered, f"{home}/stretches")
+    gathered = gathered.join(heads, gathered["conv"].eqNullSafe(heads["h_conv"]), "left").select("conv", "turns", "head")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
         for batch in batches:
-            made, masks, context = [], [], []
-            for turns_ in batch.column("turns").to_pylist():
-                text, mask = write([(t["role"], t["text"], t["repeated"]) for t in turns_])
-                made.append(text)
-                masks.append(mask)
-                context.append(sum(t["repeated"] for t in turns_))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("conv"), batch.column("win"), pa.array(made, pa.string()), pa.array(masks, pa.list_(pa.int64())), pa.array(context, pa.int64())],
-                ["conv_id", "win", "formatted", "mask", "context"],
-            )
+            for i in range(batch.num_rows):
+                held, head, made = batch.column("turns")[i].as_py(), batch.column("head")[i].as_py(), []
+                starts, costs = [t["start"] for t in held], [t["cost"] for t in held]
+                first = sum(t["past"] for t in held)
+                # the stretch that the system turn starts in has it in the line; later windows repeat it
+                lead = 1 if head and held[0]["seq"] == 0 else 0
+                spans = [*pack(starts, costs, first, 0, budget=budget, history=history)][:1] if lead and not first else []
+                rest = spans[0][2] if spans else first
+                for past, at, end in [*spans, *pack(starts, costs, rest, head["cost"] if head else 0, budget=budget, history=history)]:
+                    past = max(past, lead) if at else past
+                    repeated = [(t["role"], t["text"], True) for t in held[past:at]]
+                    if head and held[at]["seq"]:
+                        repeated = [(head["role"], head["text"], True), *repeated]
+                    text, mask = write([*repeated, *((t["role"], t["text"], False) for t in held[at:end])])
+                    total = sum(costs[past:end]) + (head["cost"] if head and held[at]["seq"] else 0)
+                    made.append((held[at]["seq"], text, mask, len(repeated), total))
+                columns = [pa.array([m[k] for m in made], t) for k, t in enumerate(shape)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("conv")[i].as_py()] * len(made), batch.column("conv").type), *columns], ["conv_id", "win", "formatted", "mask", "context", "n_tokens"])
 
     kind = gathered.schema["conv"].dataType.simpleString()
-    return gathered.mapInArrow(work, f"conv_id {kind}, win long, formatted string, mask array<bigint>, context bigint")
+    return gathered.mapInArrow(work, f"conv_id {kind}, win long, formatted string, mask array<bigint>, context bigint, n_tokens bigint")
 
 
 def digests(made: DataFrame) -> DataFrame:
