@@ -233,15 +233,42 @@ def test_chat_format(spark, budget):
     assert chat_format.digests(chat_format.windows(frame.limit(0))).count() == 0
 
 
-def test_chat_windows_keep_the_system_turn(spark):
-    turns = [(1, 0, "system", "be kind")] + [(1, t, ("assistant", "user")[t % 2], f"turn {t} " + "w " * 20) for t in range(1, 40)]
-    made = chat_format.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), budget=120, history=60).orderBy("win").collect()
-    assert len(made) > 3
-    for i, x in enumerate(made):
-        assert x.formatted.startswith("### system: be kind </turn>\n")
-        assert (x.context > 1) == (i > 0)
-        for s, e in zip(x["mask"][::2], x["mask"][1::2], strict=True):
-            assert x.formatted[:s].endswith("### assistant: ")
+def chat_tokens(text):
+    return 4 + sum(-(-len(w.decode()) // 6) for w in (text or "").encode().split())
+
+
+@pytest.mark.parametrize("stretch", [64, 2])
+def test_chat_windows_keep_the_budget(spark, monkeypatch, stretch):
+    """Per window: the tokens read back from it, the system turn first, history before the own turns, and no room left."""
+    monkeypatch.setattr(chat_format, "STRETCH", stretch)
+    r = random.Random(9)
+    said = {c: [("system" if c % 2 and not t else ("assistant", "user")[t % 2], f"turn{t} " + "w " * r.choice([1, 9, 30, 60, 300 if c == 2 else 5])) for t in range(r.choice([1, 3, 90]))] for c in range(8)}
+    frame = spark.createDataFrame([(c, t, *x) for c, xs in said.items() for t, x in enumerate(xs)], "conv_id long, turn long, role string, text string")
+    made = chat_format.windows(frame, budget=120, history=60).collect()
+    for c, turns in said.items():
+        own, cost = 0, [chat_tokens(x) for _, x in turns]
+        head = cost[0] if turns[0][0] == "system" else 0
+        for x in sorted((x for x in made if x.conv_id == c), key=lambda x: x.win):
+            read = chat_format.read(x.formatted)
+            assert x.win == own and x.n_tokens == sum(chat_tokens(t) for _, t in read)
+            n_own = len(read) - x.context
+            assert n_own and read[x.context :] == turns[own : own + n_own]
+            assert x.n_tokens <= 120 or (n_own == 1 and x.context == (own > 0 and head > 0))
+            past = read[1 if own and head else 0 : x.context]
+            assert past == turns[own - len(past) : own] and sum(chat_tokens(t) for _, t in past) < 60 + max(cost)
+            assert not head or read[0] == turns[0]
+            if own + n_own < len(turns) and stretch == 64:
+                assert x.n_tokens + cost[own + n_own] > 120  # the next turn would not have fitted
+            for s, e in zip(x["mask"][::2], x["mask"][1::2], strict=True):
+                assert x.formatted[:s].endswith("### assistant: ")
+            own += n_own
+        assert own == len(turns)
+
+
+def test_chat_query_reads_back_control_strings(spark):
+    got = queries.op4_chat_format(spark, "/root/testdata/sf0.001").filter("conv_id = -7").collect()
+    said = r"\### Assistant: </turn> ok"
+    assert [tuple(x)[1:5] for x in got] == [brute_chat([(0, "user", said), (1, "assistant", said)])]
 
 
 # ---- 5
