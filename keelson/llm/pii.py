@@ -6,17 +6,19 @@ and the signs attached to it. Patterns and identifiers form a graph over the cor
 
 1. Every seed, and every other identifier-like word (a digit, `least` characters), gives an edge between its pattern and
    itself. A seed inside a word, after letters or digits, has no pattern.
-2. Patterns met with SUPPORT different seeds or more are candidates, and a second reading counts all words that follow
-   them, identifiers or not. SUPPORT is the same for every corpus.
-3. Rounds of scoring, as joins over the graph: a pattern is worth the mean score of what follows it (seeds 1, ordinary
-   words 0), an identifier that isn't a seed the most that one of its patterns is worth.
-4. Patterns worth CONFIDENCE or more extract: identifiers after them become spans of the pattern's kind, the one that
-   most of its seeds have, unless a base span overlaps them.
+2. A second reading counts all words that follow the patterns met with SUPPORT different identifiers or more, identifiers
+   or not. SUPPORT is the same for every corpus.
+3. Rounds, as joins over the graph. Seeds are known identifiers with score 1. A pattern is worth the mean score of all
+   that follows it (what isn't known counts 0), and extracts if it has SUPPORT different known identifiers and is worth
+   CONFIDENCE or more. What an extracting pattern finds becomes known, with the pattern's worth as its score and the kind
+   that most of its known identifiers have, and so induces further patterns in the next round. Scores only rise, so the
+   rounds end when no pattern is added.
+4. Identifiers after extracting patterns become spans of the pattern's kind, unless a base span overlaps them.
 
 "Of the" may stand before some cards but mostly before words, so it never extracts; `token = "` does.
 
-Candidates and patterns that extract are tables, of any length, and are joined to what is counted and found. Only a
-bitmap of their contexts, of fixed size, is broadcast; it spares most words the join.
+Patterns are tables, of any length, and are joined to what is counted and found. Only a bitmap of their contexts, of fixed
+size, is broadcast; it spares most words the join.
 
 Defined results: a null text counts as an empty one and has no spans; equal rows get equal spans, and count twice in the
 graph; offsets are code points; other columns never matter. All searches are linear in the length of a text.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,17 +36,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import common
 from .substring_dedup import _mix
 
 KINDS = ("email", "ip", "card", "phone")
 SECRET = "secret"
-LEAST, SUPPORT, CONFIDENCE, ROUNDS = 8, 5, 0.8, 4
+LEAST, SUPPORT, CONFIDENCE = 8, 5, 0.8
 #: Bits of the bitmap of contexts: 8 MB.
 MARK_BITS = 26
-#: Longest word that counts as context.
+#: Longest word that stands in a pattern itself; longer ones are there by their digest.
 CONTEXT = 30
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -114,13 +116,16 @@ def identifiers(text: str, least: int = LEAST) -> Iterator[tuple[int, int, str]]
         if len(body) < least or not any("0" <= c <= "9" for c in body):
             continue
         start = m.start() + lead
-        left = words_before(text, m.start())
-        if all(len(w) <= CONTEXT for w in left):
-            yield start, start + len(body), pattern_of(left, word[:lead])
+        yield start, start + len(body), pattern_of(words_before(text, m.start()), word[:lead])
+
+
+def short(word: str) -> str:
+    return word if len(word) <= CONTEXT else hashlib.md5(word.encode()).hexdigest()
 
 
 def pattern_of(left: list[str], lead: str) -> str:
-    return "\t".join([*([""] * (2 - len(left)) + left), lead]).lower()
+    words = [short(x) for w in left for x in w.lower().split()][-2:]
+    return "\t".join([*([""] * (2 - len(words)) + words), short(lead.lower())])
 
 
 def edges_of(text: str, least: int = LEAST) -> Iterator[tuple[str, str, str | None]]:
@@ -145,9 +150,7 @@ def edges_of(text: str, least: int = LEAST) -> Iterator[tuple[str, str, str | No
             body = text[start:end]
             others.append((pattern, body, SECRET if KEY.fullmatch(body) and not body.isdigit() else None))
     for start, (word, s, e, kind) in seeds.items():
-        left = words_before(text, word)
-        if all(len(w) <= CONTEXT for w in left):
-            yield pattern_of(left, text[word:start]), text[s : max(e, longer.get(start, e))], kind
+        yield pattern_of(words_before(text, word), text[word:start]), text[s : max(e, longer.get(start, e))], kind
     yield from others
 
 
@@ -205,49 +208,56 @@ def _followers(marks):
         for batch in batches:
             count: Counter[str] = Counter()
             for text in batch.column("text").to_pylist():
-                words = ["", "", *(text or "").lower().split()]
+                whole = ["", "", *(text or "").lower().split()]
+                words = list(map(short, whole))
                 for i in np.flatnonzero(_marked(marks.value, _places(words[:-1]))).tolist():
-                    count["\t".join([words[i], words[i + 1], EDGE.match(words[i + 2])[0]])] += 1
+                    count["\t".join([words[i], words[i + 1], short(EDGE.match(whole[i + 2])[0])])] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["pattern", "followers"])
 
     return work
 
 
-def learn(docs: DataFrame, *, least: int = LEAST, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns that extract, each with its kind."""
+def learn(docs: DataFrame, *, least: int = LEAST, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """Patterns that extract: pattern, kind, worth."""
     spark, home = docs.sparkSession, common.shared_dir(docs.sparkSession)
     texts = docs.select("text")
     met = texts.mapInArrow(_edges(least), "pattern string, instance binary, kind string")
     edges = common.keep(met.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("times")), f"{home}/edges")
-    seeds = edges.filter("kind IS NOT NULL").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds"))
-    candidates = common.keep(seeds.filter(F.col("seeds") >= support).select("pattern"), f"{home}/candidates")
-    marks = _marks(candidates)
+    wide = common.keep(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("pattern"), f"{home}/wide")
+    marks = _marks(wide)
     if marks is None:
-        return candidates.withColumn("kind", F.lit(None).cast("string"))
+        return wide.select("pattern", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("worth"))
     counted = texts.mapInArrow(_followers(spark.sparkContext.broadcast(marks)), "pattern string, followers long").groupBy("pattern").agg(F.sum("followers").alias("followers"))
-    followers = common.keep(counted.join(candidates, "pattern", "left_semi"), f"{home}/followers")
-    graph = common.keep(edges.join(followers.select("pattern"), "pattern").select("pattern", "instance", "times", F.col("kind").isNotNull().alias("seed"), "kind"), f"{home}/graph")
-    worth = None
-    for turn in range(rounds):
-        if worth is None:
-            scored = graph.withColumn("score", F.col("seed").cast("double"))
-        else:
-            best = graph.join(worth, "pattern").groupBy("instance").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("worth"))).alias("score"))
-            scored = graph.join(best, "instance")
-        mean = scored.groupBy("pattern").agg(F.sum(F.col("score") * F.col("times")).alias("good"))
-        worth = mean.join(followers, "pattern").select("pattern", F.least(F.lit(1.0), F.col("good") / F.greatest("followers", F.lit(1))).alias("worth"))
-        worth = common.keep(worth, f"{home}/worth{turn}")
-    counted = graph.filter("seed").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
-    first = F.row_number().over(W.partitionBy("pattern").orderBy(F.desc("n"), "kind"))
-    kinds = counted.withColumn("place", first).filter("place = 1")
-    return common.keep(kinds.join(worth.filter(F.col("worth") >= confidence), "pattern").select("pattern", "kind"), f"{home}/patterns")
+    followers = common.keep(counted.join(wide, "pattern", "left_semi"), f"{home}/followers")
+    graph = common.keep(edges.join(wide, "pattern", "left_semi"), f"{home}/graph")
+    best = lambda *cols: F.max(F.struct(*cols))
+    # what a seed is doesn't depend on where it stands
+    seeds = common.keep(edges.filter("kind IS NOT NULL").groupBy("instance").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("score")), f"{home}/seeds")
+    known, n, turn = seeds, -1, 0
+    while True:
+        links = graph.select("pattern", "instance", "times").join(known, "instance")
+        of_kind = links.groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("n"), F.sum(F.col("score") * F.col("times")).alias("good"))
+        each = of_kind.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), best("n", "kind")["kind"].alias("kind"))
+        worth = F.least(F.lit(1.0), F.col("good") / F.greatest("followers", F.lit(1)))
+        judged = each.join(followers, "pattern").select("pattern", "kind", "n", worth.alias("worth"))
+        found = common.keep(judged.filter((F.col("n") >= support) & (F.col("worth") >= confidence)).select("pattern", "kind", "worth"), f"{home}/patterns{turn}")
+        before, n = n, found.count()
+        if n == before or not n:
+            return found
+        promoted = graph.select("pattern", "instance").join(found, "pattern").groupBy("instance").agg(best("worth", "kind").alias("x"))
+        promoted = promoted.join(seeds.select("instance"), "instance", "left_anti").select("instance", "x.kind", F.col("x.worth").alias("score"))
+        known = common.keep(seeds.unionByName(promoted), f"{home}/known{turn}")
+        turn += 1
 
 
 def _free(text: str, base: list[Span], marks: np.ndarray, least: int) -> list[tuple[str, int, int]]:
     """(pattern, start, end) of the identifiers in marked contexts that no base span overlaps."""
-    out = []
+    out, order, reach = [], sorted((s, e) for _, s, e in base), [0]
+    for _, e in order:
+        reach.append(max(reach[-1], e))
     for start, end, pattern in identifiers(text, least):
-        if _marked(marks, _places(pattern.split("\t")[:2]))[0] and not any(s < end and start < e for _, s, e in base):
+        # of the base spans that start before its end, none reaches into it
+        if reach[bisect_left(order, (end,))] <= start and _marked(marks, _places(pattern.split("\t")[:2]))[0]:
             out.append((pattern, start, end))
     return out
 
@@ -257,7 +267,7 @@ def _joined(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame, **how) -> DataFrame:
-    """docs: doc_id and text. Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
+    """docs: doc_id and text. Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans (base and added)."""
     docs = docs.select("doc_id", "text")
     spark, home = docs.sparkSession, common.shared_dir(docs.sparkSession)
     patterns = learn(docs, **how)
@@ -281,8 +291,9 @@ def find(docs: DataFrame, **how) -> DataFrame:
     shape = f"key binary, doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, free array<struct<pattern:string,start:long,end:long>>"
     read = docs.select(common.row_key("doc_id", "text").alias("key"), "doc_id", "text").mapInArrow(work, shape)
     counts = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256"]
+    n_base = sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))
     if marks.value is None:
-        return read.select(*counts, F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_added"))
+        return read.select(*counts, F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_added"), n_base.alias("n_spans"))
     read = common.keep(read, f"{home}/read")
     free = read.filter(F.size("free") > 0).select("key", F.explode("free").alias("word")).select("key", "word.*")
     added = free.join(patterns, "pattern").groupBy("key").agg(F.collect_set(F.concat_ws(":", "kind", "start", "end")).alias("added"))
@@ -293,4 +304,5 @@ def find(docs: DataFrame, **how) -> DataFrame:
     spans = F.concat(F.filter(F.split("base", ","), lambda x: x != ""), F.col("added"))
     sortable = F.transform(spans, lambda x: F.struct(F.array_position(order, F.split_part(x, F.lit(":"), F.lit(1))), F.split_part(x, F.lit(":"), F.lit(2)).cast("long"), x.alias("span")))
     listed = F.array_join(F.array_sort(sortable)["span"], ",")
-    return every.select(*counts, F.when(F.col("added").isNull(), F.col("base")).otherwise(listed).alias("spans"), F.when(F.col("added").isNull(), 0).otherwise(F.size("added")).cast("long").alias("n_added"))
+    n_added = F.when(F.col("added").isNull(), 0).otherwise(F.size("added")).cast("long")
+    return every.select(*counts, F.when(F.col("added").isNull(), F.col("base")).otherwise(listed).alias("spans"), n_added.alias("n_added"), (n_base + n_added).alias("n_spans"))
