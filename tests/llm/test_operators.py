@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -474,8 +475,6 @@ def test_byte_bpe(spark, awkward, empty):
 
 
 def brute_pii(text):
-    import re
-
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
@@ -521,10 +520,76 @@ def test_contexts_are_whole_words():
     gap, long = " " * 200, "1" + "x" * 5000
     assert [p for _, _, p in pii.identifiers(f"my key:{gap}1234-5678x")] == ["my\tkey:\t"]
     assert [p for _, _, p in pii.identifiers(f"my{gap}key:{gap}1234-5678x")] == ["my\tkey:\t"]
-    assert not list(pii.identifiers(f"{'y' * 50} key:{' ' * 50}1234-5678x"))
+    assert [p for _, _, p in pii.identifiers(f"{'y' * 50} key:{' ' * 50}1234-5678x")] == [f"{hashlib.md5(b'y' * 50).hexdigest()}\tkey:\t"]
     assert list(pii.identifiers(f"my key: {long}")) == [(8, 8 + len(long), "my\tkey:\t")]
 
 
+def brute_added(texts, support=5, confidence=0.8):
+    """Over texts whose words stand between single spaces: sets and loops, until no pattern is added."""
+    held = []
+    for t in texts:
+        base, at = brute_pii(t), 0
+        words = t.split(" ")
+        for k, w in enumerate(words):
+            lead = len(w) - len(w.lstrip("\"(#:"))
+            body = w[lead:].rstrip("\"),.")
+            start, left = at + lead, (["", ""] + [x.lower() for x in words[:k]])[-2:]
+            kind = next((kind for kind, s, e in base if s == start), None)
+            inside = any(s < start + len(body) and start < e for _, s, e in base)
+            if not kind and len(body) >= 32 and set(body) <= set("0123456789abcdef") and not body.isdigit():
+                kind = "secret"
+            ident = (len(body) >= 8 and any(c.isdigit() for c in body) and not inside) or kind
+            held.append(((*left, w[:lead]), body if ident else None, kind, start, inside, len(held), t))
+            at += len(w) + 1
+    seeds = {body: kind for _, body, kind, *_ in held if kind}
+    known, found = {b: (1.0, k) for b, k in seeds.items()}, {}
+    while True:
+        fresh = {}
+        for p in {h[0] for h in held if h[1]}:
+            after = [h[1] for h in held if h[0] == p]
+            own = {b for b in after if b in known}
+            worth = sum(known[b][0] for b in after if b in known) / len(after)
+            if len(own) >= support and worth >= confidence:
+                fresh[p] = (worth, max((sum(known[b][1] == k for b in own), k) for k in {known[b][1] for b in own})[1])
+        if len(fresh) == len(found):
+            break
+        found = fresh
+        for h in held:
+            if h[0] in found and h[1] and h[1] not in seeds:
+                known[h[1]] = max(known.get(h[1], (0, "")), found[h[0]])
+    return {t: sorted((h[3], h[3] + len(h[1]), found[h[0]][1]) for h in held if h[6] is t and h[0] in found and h[1] and not h[4]) for t in texts}
+
+
+def test_known_identifiers_induce_new_patterns(spark):
+    r = random.Random(10)
+    hexes, odd = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)], [f"QX-{1000 + i}-{'abcdefghijklmnopqrst'[i]}" for i in range(20)]
+    texts = [f"{prose(3, i)} my token: {h} {prose(2, i)}" for i, h in enumerate(hexes)] + [f"{prose(2, -i)} my token: {o} {prose(2, i)}" for i, o in enumerate(odd[:6])]
+    texts += [f'{prose(2, i)} session id "{o}" {prose(4, i)}' for i, o in enumerate(odd[:6] * 3)] + [f'{prose(5, 77)} session id "{odd[0]}", {prose(2, 1)}', f'see session id "{odd[16]}"']
+    texts += [f'{prose(2, i)} ticket (#{o}) {prose(4, i)}' for i, o in enumerate([*odd[:2], *odd[15:17]])]  # too few known ones
+    texts += [f"{prose(3, i)} of the {r.choice(hexes) if i % 3 == 0 else prose(1, i)} {prose(2, i)}" for i in range(40)] + [f"mail me at u{i}@example{i}.org or call" for i in range(7)] + ["mail me at u77-not-mail now"]
+    texts = list(dict.fromkeys(texts))
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = brute_added(texts)
+    for row in got:
+        t = texts[row.doc_id]
+        base = [f"{k}:{s}:{e}" for k, s, e in brute_pii(t)]
+        added = sorted(tuple(map(int, x.split(":")[1:])) + (x.split(":")[0],) for x in row.spans.split(",") if x and x not in base)
+        assert added == want[t], t
+        assert row.n_added == len(added) and row.n_spans == len(added) + len(base)
+    by = {texts[x.doc_id]: x for x in got}
+    assert by[f'see session id "{odd[16]}"'].n_added == 1  # no seed stands after this pattern
+    assert by["mail me at u77-not-mail now"].n_added == 1
+
+
+def test_recall_of_planted_identifiers(spark):
+    """At sf0.01 every key behind a marker is found, and documents without digits have no span."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = pii.find(docs).join(docs, "doc_id").collect()
+    keyed = [x for x in rows if re.search(r'token = "[0-9a-f]{32,}"', x.text or "")]
+    assert keyed and all(x.n_added for x in keyed)
+    assert not any(x.n_spans for x in rows if not any(c.isdigit() for c in x.text or "") and "@" not in (x.text or ""))
+
+
 def test_support_does_not_rise_with_the_corpus(spark):
     """More than 500,000 different seeds elsewhere leave a pattern with five."""
     ip = F.concat_ws(".", *[F.lit(100) + F.shiftright("id", k) % 128 for k in (14, 7, 0)])
