@@ -7,12 +7,17 @@ move up by one, so that the matrix gets narrower, and two pair ranks are looked
 looked up in an open-addressing hash table, also numpy arrays. Pieces above LONGEST bytes, for which shifting whole rows
 would cost the square of their length, merge by a heap over a linked list, in the same order.
 
-Defined results: a null text counts as an empty one, and an empty text has no tokens; other columns never matter.
+The rank file is broadcast once, and a Python worker builds its tables from it once, not for every task.
+
+Defined results: a null text counts as an empty one, and an empty text has no tokens; a null id is an id like others;
+equal rows get equal rows, as a pair of least rank that stands twice merges at its leftmost place first; an empty table
+gives an empty result; other columns never matter.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 import re
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 
 NONE = np.int32(2**31 - 1)
 #: Bytes of the longest piece that goes through the matrices.
-LONGEST = 256
+LONGEST = 1024
 #: Pieces whose ids a task remembers, and the length of those worth it.
 REMEMBERED, SHORT = 400_000, 48
 
@@ -236,18 +241,23 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(i) for t, i in (line.split() for line in lines.splitlines() if line)}
 
 
+@functools.lru_cache(maxsize=2)
+def _coder(rank_lines: bytes, pattern: str) -> tuple[ByteBPE, Speller, Speller]:
+    """(coder, bytes of ids, decimal ids followed by a space); kept by the worker for its next tasks."""
+    ranks = read_ranks(rank_lines)
+    return ByteBPE(ranks, pattern), Speller({i: t for t, i in ranks.items()}), Speller({i: b"%d " % i for i in ranks.values()})
+
+
 def encode(docs: DataFrame, rank_lines: bytes, pattern: str, *, ids: bool = True, digests: bool = False) -> DataFrame:
     """docs: doc_id and text. Per row doc_id and n_tokens; with ids also ids, with digests also ids_sha256 and decoded_sha256."""
     shape = [("n_tokens", "long")] + [("ids_sha256", "string"), ("decoded_sha256", "string")] * digests + [("ids", "array<int>")] * ids
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *dict(shape)]
+    shared = docs.sparkSession.sparkContext.broadcast(rank_lines)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(rank_lines)
-        coder = ByteBPE(ranks, pattern)
-        spell = Speller({i: t for t, i in ranks.items()})
-        number = Speller({i: b"%d " % i for i in ranks.values()})
+        coder, spell, number = _coder(shared.value, pattern)
         for batch in batches:
             for start, end in _rows(batch, "text"):
                 part = batch.slice(start, end - start)
@@ -266,9 +276,10 @@ def encode(docs: DataFrame, rank_lines: bytes, pattern: str, *, ids: bool = True
 def decode(coded: DataFrame, rank_lines: bytes) -> DataFrame:
     """coded: doc_id and ids. Per row: doc_id and bytes, which are the text's for what encode made of it."""
     kind = coded.schema["doc_id"].dataType.simpleString()
+    shared = coded.sparkSession.sparkContext.broadcast(rank_lines)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = Speller({i: t for t, i in read_ranks(rank_lines).items()})
+        _, spell, _ = _coder(shared.value, ".")
         for batch in batches:
             out = [spell(np.array(ids or [], np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "bytes"])
