@@ -12,15 +12,17 @@ n - ceil(n * NUM / DEN) + k tokens hold k of the shared ones.
 - The boundary is the size at which the subsets of all smaller sets plus the list entries of the others cost least,
   counted from the histogram of sizes and the mean length of a list.
 - A set whose prefix reaches into the heavy tokens consists of them by about three quarters: near copies of a text that
-  many documents hold. Light lists have fewer than `heavy` entries, those of heavy tokens any number, so these sets
-  leave the lists. They are gathered into families (components over shared prefix tokens) and compared within a family
-  block by block through the token incidence matrix; a task emits a spanning forest of its links, not all pairs.
+  many documents hold. Light lists have fewer than `heavy` entries at any corpus size, those of heavy tokens any number,
+  so these sets leave the lists. They are gathered into families (components over shared prefix tokens). A family is cut
+  into bands of size, each 4/3 of the one before, as sets further apart can't link, and compared within a band and with
+  the next one, block by block through the token incidence matrix; a task emits a spanning forest of its links, not all
+  pairs.
 
 Candidates are verified on their whole sets, so every link is real, and none between different sets is lost.
 
-What is broadcast: the heavy tokens, at most HEAVY_MOST (the corpus has at most total / limit tokens with `limit`
-documents, and the limit is raised with the total), and a bitmap of fixed size that spares most documents the shuffle of
-their sets.
+Which tokens are heavy is broadcast while they are HEAVY_MOST or fewer. Beyond that the documents' tokens are dealt out by
+bucket, meet the bucket's heavy ones there, and the answer is joined back to the documents; order, lists and result are
+the same. Also broadcast: a bitmap of fixed size that spares most documents the shuffle of their sets.
 
 Defined results: null and empty texts have no shingles and link with nothing; null ids count as larger than all others;
 equal rows are in one component; other columns never matter.
@@ -28,6 +30,7 @@ equal rows are in one component; other columns never matter.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -35,12 +38,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .components import components
 from .substring_dedup import _mix
 
 SHINGLE, NUM, DEN = 5, 3, 4
+#: Documents from which on a token is heavy, and heavy tokens that are broadcast at most (16 MB).
 HEAVY, HEAVY_MOST = 64, 1 << 21
 #: Tokens of a bucket, tokens gathered before they are dealt out, bits that tell tokens of a bucket apart when counted.
 BUCKET, GATHER, SLOT_BITS = 1 << 22, 1 << 20, 24
@@ -87,18 +92,36 @@ def _codes(tokens: np.ndarray, bits: int) -> np.ndarray:
     return tokens >> np.uint64(64 - SLOT_BITS - bits)
 
 
+def _planes(values: np.ndarray, n: int) -> bytes:
+    """n bytes of each value, highest first, byte by byte: sorted values compress well so."""
+    return b"".join((values >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(n - 1, -1, -1))
+
+
+def _unplaned(data: bytes, n: int) -> np.ndarray:
+    out = 0
+    for plane in np.frombuffer(data, np.uint8).reshape(n, -1):
+        out = (out << 8) | plane.astype(np.int64)
+    return out
+
+
+def _cuts(bucket: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal values."""
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(bucket) else []
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 def _count_rows(bits: int):
-    """Tokens of many documents, dealt into buckets: three byte planes of their sorted slots. Bucket -1: sizes of sets."""
+    """Tokens of many documents, counted and dealt into buckets: planes of sorted slots and their counts. Bucket -1: sizes of sets."""
 
     def deal(held: list[np.ndarray], sizes: np.ndarray) -> pa.RecordBatch:
-        codes = np.sort(np.concatenate([*held, np.zeros(0, np.uint64)]))
+        # a token in a third of all documents is one entry for each GATHER tokens
+        codes, times = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+        times = times.astype(np.uint64)
         bucket = (codes >> np.uint64(SLOT_BITS)).astype(np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(codes) else np.zeros(1, np.int64)
         buckets, packed = [-1], [sizes.tobytes()]
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            slot = codes[s:e] & np.uint64((1 << SLOT_BITS) - 1)
+        for s, e in _cuts(bucket):
             buckets.append(int(bucket[s]))
-            packed.append(b"".join((slot >> np.uint64(k)).astype(np.uint8).tobytes() for k in (16, 8, 0)))
+            packed.append(_planes(codes[s:e] & np.uint64((1 << SLOT_BITS) - 1), 3) + _planes(times[s:e], 3))
         return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,20 +147,88 @@ def _count_bucket(table: pa.Table) -> pa.Table:
     if bucket == -1:
         sizes = sum(np.frombuffer(b, np.int64) for b in packed)
         return pa.table({"code": pa.array(-1 - np.arange(128), pa.int64()), "docs": pa.array(sizes, pa.int64())})
-    parts = []
-    for b in packed:
-        high, middle, low = np.frombuffer(b, np.uint8).reshape(3, -1)
-        parts.append((high.astype(np.int32) << 16) | (middle.astype(np.int32) << 8) | low)
-    slots = np.concatenate(parts)
+    parts = [_unplaned(b, 6) for b in packed]
+    both = np.concatenate(parts)
     del parts, packed
-    slots.sort()
-    edges = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1], [True]]))
-    count, slots = np.diff(edges), slots[edges[:-1]]
+    both.sort()
+    slots = both >> 24
+    edges = np.array([s for s, _ in _cuts(slots)], np.int64)
+    count, slots = np.add.reduceat(both & 0xFFFFFF, edges), slots[edges]
     hot = count >= HEAVY
     codes = np.concatenate([slots[hot] + (bucket << SLOT_BITS), [-200]])
     return pa.table({"code": pa.array(codes, pa.int64()), "docs": pa.array(np.concatenate([count[hot], [int((count[~hot] ** 2).sum())]]), pa.int64())})
 
 
+def _ask_rows(bits: int):
+    """Tokens of many documents, dealt into buckets with the documents' places in their chunk; bucket null: the keys of a chunk."""
+
+    def deal(keys: list[bytes], held: list[np.ndarray]) -> pa.RecordBatch:
+        chunk = hashlib.md5(b"".join(keys)).digest()
+        codes = np.concatenate([*held, np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(held), dtype=np.uint64), [len(h) for h in held])
+        order = np.argsort(codes, kind="stable")
+        codes, owner = codes[order], owner[order]
+        bucket = (codes >> np.uint64(SLOT_BITS)).astype(np.int64)
+        buckets, packed = [None], [b"".join(keys)]
+        for s, e in _cuts(bucket):
+            buckets.append(int(bucket[s]))
+            packed.append(_planes(codes[s:e] & np.uint64((1 << SLOT_BITS) - 1), 3) + _planes(owner[s:e], 3))
+        return pa.RecordBatch.from_arrays([pa.array([chunk] * len(buckets), pa.binary()), pa.array(buckets, pa.int64()), pa.array(packed, pa.binary())], ["chunk", "bucket", "packed"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held, size = [], [], 0
+        for batch in batches:
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                tokens = tokens_of(text)
+                if len(tokens):
+                    keys.append(key)
+                    held.append(_codes(tokens, bits))
+                    size += len(tokens)
+                if size >= GATHER:
+                    yield deal(keys, held)
+                    keys, held, size = [], [], 0
+        if keys:
+            yield deal(keys, held)
+
+    return work
+
+
+def _answer(asked: pa.Table, hot: pa.Table) -> pa.Table:
+    """Of one bucket: for each chunk its heavy tokens, as pairs of a document's place and a code."""
+    known, chunks, packed = np.sort(hot.column("code").to_numpy()), [], []
+    for chunk, bucket, data in zip(*(asked.column(c).to_pylist() for c in ("chunk", "bucket", "packed")), strict=True):
+        both = _unplaned(data, 6)
+        codes = (both >> 24) + (bucket << SLOT_BITS)
+        found = known[np.searchsorted(known, codes).clip(max=len(known) - 1)] == codes if len(known) else np.zeros(len(codes), bool)
+        if found.any():
+            chunks.append(chunk)
+            packed.append(np.stack([both[found] & 0xFFFFFF, codes[found]]).tobytes())
+    return pa.table({"chunk": pa.array(chunks, pa.binary()), "keyed": pa.array([False] * len(chunks), pa.bool_()), "packed": pa.array(packed, pa.binary())})
+
+
+def _flags(table: pa.Table) -> pa.Table:
+    """Of one chunk: (key, its heavy codes)."""
+    rows = list(zip(table.column("keyed").to_pylist(), table.column("packed").to_pylist(), strict=True))
+    names = next((data for keyed, data in rows if keyed), b"")
+    pairs = [np.frombuffer(data, np.int64).reshape(2, -1) for keyed, data in rows if not keyed]
+    place, code = np.concatenate([*pairs, np.zeros((2, 0), np.int64)], axis=1)
+    order = np.lexsort((code, place))
+    place, code = place[order], code[order]
+    cuts = _cuts(place)
+    return pa.table({"key": pa.array([names[16 * int(place[s]) :][:16] for s, _ in cuts], pa.binary()), "hot": pa.array([code[s:e] for s, e in cuts], pa.list_(pa.int64()))})
+
+
+def flagged(texts: DataFrame, hot: DataFrame, bits: int, home: str) -> DataFrame:
+    """texts with the column hot, the sorted codes of a document's heavy tokens: nothing is broadcast."""
+    asked = common.keep(texts.select("key", "text").mapInArrow(_ask_rows(bits), "chunk binary, bucket long, packed binary"), f"{home}/asked")
+    named = asked.filter("bucket IS NULL").select("chunk", F.lit(True).alias("keyed"), "packed")
+    in_bucket = hot.withColumn("bucket", F.shiftright("code", SLOT_BITS))
+    found = asked.filter("bucket IS NOT NULL").groupBy("bucket").cogroup(in_bucket.groupBy("bucket")).applyInArrow(_answer, "chunk binary, keyed boolean, packed binary")
+    flags = found.unionByName(named).groupBy("chunk").applyInArrow(_flags, "key binary, hot array<long>")
+    # equal rows share a key and have equal flags
+    return texts.join(common.keep(flags.dropDuplicates(["key"]), f"{home}/flags"), "key", "left")
+
+
 def boundary(sizes: list[int], total: int, list_length: float) -> int:
     """The size below which sets enumerate subsets. sizes[n]: number of sets with n tokens, for n up to 125."""
 
@@ -151,8 +242,8 @@ def boundary(sizes: list[int], total: int, list_length: float) -> int:
     return min(range(2, 100), key=cost)
 
 
-def _prefix_rows(bits: int, heavy, limit: int):
-    """A row for each document (bucket null), and rows of packed list entries."""
+def _prefix_rows(bits: int, heavy, limit: int, kind: pa.DataType):
+    """A row for each document (bucket null), and rows of packed list entries. heavy: a broadcast, or None if the rows have their own column hot."""
 
     def deal(keys: list[np.ndarray], owners: list[tuple[int, int, int]]) -> list[tuple]:
         if not owners:
@@ -169,17 +260,17 @@ def _prefix_rows(bits: int, heavy, limit: int):
         low = ((key >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         return [(None, None, None, None, None, int(bucket[s]), low[s:e].tobytes(), sets[s:e].tobytes(), size[s:e].tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
 
-    shape = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("family", pa.list_(pa.int64())), ("bucket", pa.int64()), ("keys", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary())])
+    shape = pa.schema([("key", pa.binary()), ("doc_id", kind), ("n", pa.int64()), ("set", pa.int64()), ("family", pa.list_(pa.int64())), ("bucket", pa.int64()), ("keys", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary())])
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(shape)], schema=shape)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = heavy.value
         keys, owners, size = [], [], 0
         for batch in batches:
             rows = []
-            for row_key, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), strict=True):
+            each = [heavy.value] * batch.num_rows if heavy else (np.array(h or [], np.uint64) for h in batch.column("hot").to_pylist())
+            for row_key, doc_id, text, hot in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), each, strict=True):
                 tokens = tokens_of(text)
                 n = len(tokens)
                 own = set_id(tokens)
@@ -305,23 +396,45 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def family_members(labels: DataFrame, sets: DataFrame, home: str) -> DataFrame:
+    """labels: set, label. A row for each set and pair of blocks to compare that its own block is in: set, label, low, high (bands), i, j, side."""
+    band = F.floor(F.log(F.size("tokens")) / F.log(F.lit(DEN / NUM))).cast("int")
+    sized = common.keep(labels.join(sets.select("set", band.alias("band")), "set"), f"{home}/sized")
+    blocks = sized.groupBy("label", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    spread = common.keep(blocks.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("spread")), f"{home}/spread")
+    at = sized.join(spread, "label").withColumn("own", F.pmod(F.xxhash64("set"), F.try_element_at("spread", F.col("band"))).cast("int"))
+    others = lambda b: F.filter(F.sequence(F.lit(-1), F.coalesce(F.try_element_at(F.col("spread"), b), F.lit(0)) - 1), lambda x: x >= 0)
+    pair = lambda low, high, i, j: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
+    band, own = F.col("band"), F.col("own")
+    with_own = F.transform(others(band), lambda x: pair(band, band, F.least(own, x), F.greatest(own, x)))
+    with_next = F.transform(others(band + 1), lambda x: pair(band, band + 1, own, x))
+    with_last = F.transform(others(band - 1), lambda x: pair(band - 1, band, x, own))
+    side = (band.cast("long") * (1 << 32) + own).alias("side")
+    return at.select("set", "label", side, F.explode(F.concat(with_own, with_next, with_last)).alias("p")).select("set", "label", "side", "p.*")
+
+
 def join(docs: DataFrame) -> DataFrame:
-    """docs: doc_id (an integer) and text. Per row: doc_id, n_shingles, component_id, label (one for each component) and key (the row_key of id and text)."""
+    """docs: doc_id (of any type with an order) and text. Per row: doc_id, n_shingles, component_id, label (one for each component) and key (the row_key of id and text)."""
     spark, home = docs.sparkSession, common.shared_dir(docs.sparkSession)
-    texts = docs.select(common.row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
-    bits = max(4, math.ceil(math.log2(max(1, texts.count() * 512 / BUCKET))))
+    texts = docs.select(common.row_key("doc_id", "text").alias("key"), "doc_id", F.encode("text", "UTF-8").alias("text"))
+    # six bytes to a word
+    bits = max(4, math.ceil(math.log2(max(1, (docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0) / 6 / BUCKET))))
 
     counted = texts.select("text").mapInArrow(_count_rows(bits), "bucket long, packed binary").groupBy("bucket").applyInArrow(_count_bucket, "code long, docs long")
     counted = common.keep(counted, f"{home}/counted")
     stats = {r["code"]: r["docs"] for r in counted.filter("code < 0").groupBy("code").agg(F.sum("docs").alias("docs")).collect()}
     sizes, total = [stats.get(-1 - n, 0) for n in range(126)], stats.get(-128, 0)
     limit = boundary(sizes, total, 1 + stats.get(-200, 0) / max(1, total))
-    least = max(HEAVY, -(-total // HEAVY_MOST))
-    hot = counted.filter((F.col("code") >= 0) & (F.col("docs") >= least)).select("code").toPandas()["code"].to_numpy(np.uint64)
-    heavy = spark.sparkContext.broadcast(np.sort(hot))
-
+    hot = counted.filter((F.col("code") >= 0) & (F.col("docs") >= HEAVY)).select("code")
+    heavy, asked = None, texts
+    if hot.count() <= HEAVY_MOST:
+        heavy = spark.sparkContext.broadcast(np.sort(hot.toPandas()["code"].to_numpy(np.uint64)))
+    else:
+        asked = flagged(texts, hot, bits, home)
+
+    id_type = docs.schema["doc_id"].dataType
     entries = common.keep(
-        texts.mapInArrow(_prefix_rows(bits, heavy, limit), "key binary, doc_id long, n long, set long, family array<long>, bucket long, keys binary, sets binary, sizes binary"),
+        asked.mapInArrow(_prefix_rows(bits, heavy, limit, to_arrow_type(id_type)), f"key binary, doc_id {id_type.simpleString()}, n long, set long, family array<long>, bucket long, keys binary, sets binary, sizes binary"),
         f"{home}/entries",
     )
     rows = entries.filter("bucket IS NULL").select("key", "doc_id", "n", "set", "family")
@@ -331,8 +444,11 @@ def join(docs: DataFrame) -> DataFrame:
     candidates = common.keep(met.filter((F.col("lists") >= 1 + F.floor(F.col("least") / 40)) | (F.col("least") < limit)).select("a", "b"), f"{home}/candidates")
 
     family = rows.filter("family IS NOT NULL").select("set", F.explode("family").alias("key")).distinct()
-    stars = family.join(family.groupBy("key").agg(F.min("set").alias("a")), "key").select("a", F.col("set").alias("b")).distinct()
-    labels = components(stars.filter("a != b"), f"{home}/families")
+    # tables of their own, here and below, so that joins are between plain exchanges and Spark can split a common key
+    family = common.keep(family, f"{home}/family")
+    centres = common.keep(family.groupBy("key").agg(F.min("set").alias("a")), f"{home}/centres")
+    stars = common.keep(family.join(centres, "key").select("a", F.col("set").alias("b")).filter("a != b"), f"{home}/stars").distinct()
+    labels = components(stars, f"{home}/families")
     wanted = candidates.select(F.col("a").alias("set")).unionByName(candidates.select(F.col("b").alias("set"))).unionByName(labels.select(F.col("node").alias("set")))
     wanted = common.keep(wanted.distinct(), f"{home}/wanted")
     at = F.col("set").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
@@ -348,16 +464,11 @@ def join(docs: DataFrame) -> DataFrame:
     both = F.size(F.array_intersect("x", "y"))
     light_links = pairs.filter(DEN * both >= NUM * (F.size("x") + F.size("y") - both)).select("a", "b")
 
-    spread = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    members = labels.join(spread, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # a set goes to the task of each pair of blocks that its own block is in
-    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select(F.col("node").alias("set"), "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.col("own").alias("side"))
-    heavy_links = members.join(sets, "set").groupBy("label", "i", "j").applyInArrow(_compare_blocks, "a long, b long")
+    heavy_links = family_members(labels.withColumnRenamed("node", "set"), sets, home).join(sets, "set")
+    heavy_links = heavy_links.groupBy("label", "low", "high", "i", "j").applyInArrow(_compare_blocks, "a long, b long")
 
     groups = components(light_links.unionByName(heavy_links), f"{home}/groups")
     labelled = rows.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    # a table of its own, so that the join is between two plain exchanges and Spark can split a large component
     smallest = common.keep(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), f"{home}/smallest")
     joined = labelled.join(smallest, "label")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label", "key")
