@@ -390,7 +390,10 @@ def edited(words, share, r):
     return [r.choice(VOCABULARY) if r.random() < share else w for w in words]
 
 
-def test_jaccard_join(spark, awkward, empty):
+@pytest.mark.parametrize("most", [jaccard_join.HEAVY_MOST, 0])
+def test_jaccard_join(spark, awkward, empty, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "HEAVY_MOST", most)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 1024 if most else 40)
     r = random.Random(6)
     texts = []
     for n in (5, 6, 7, 8, 9, 12, 20, 60, 300):
@@ -402,12 +405,16 @@ def test_jaccard_join(spark, awkward, empty):
     texts += [passage + " " + prose(40, f"tail{i}") for i in range(90)]  # a passage of many documents
     family = prose(150, "family").split()
     texts += [" ".join(edited(family, r.choice([0.0, 0.01, 0.02]), r)) for _ in range(150)]  # near copies, more than HEAVY
+    texts += [" ".join(edited(family[: r.choice([80, 95, 112, 120, 149])], r.choice([0.0, 0.01]), r)) for _ in range(80)]  # in several bands of size
     docs = [(i, t) for i, t in enumerate(texts)]
     r.shuffle(docs)
     got = rows(jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id"))
     assert got == brute_components(docs)
     assert rows(jaccard_join.join(awkward).select("doc_id", "n_shingles", "component_id")) == brute_components([(x[0], x[1]) for x in AWKWARD])
     assert jaccard_join.join(empty).count() == 0
+    if most:
+        named = jaccard_join.join(spark.createDataFrame([("b", family_text := " ".join(family)), ("a", family_text), (None, "x")], "doc_id string, text string"))
+        assert rows(named.select("doc_id", "component_id")) == [("a", "a"), ("b", "a"), (None, None)]
 
 
 def test_boundary_is_where_costs_meet():
