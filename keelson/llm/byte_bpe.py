@@ -26,9 +26,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from . import common
+
 NONE = np.int32(2**31 - 1)
 #: Bytes of the longest piece that goes through the matrices.
 LONGEST = 1024
@@ -225,17 +226,6 @@ class ByteBPE:
         return tuple(ids[i] for i in range(n) if not gone[i])
 
 
-def _rows(table: pa.RecordBatch, column: str, least: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Slices of a batch with about `least` bytes of text each."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(table.column(column)), 0), np.int64)
-    total, start = np.cumsum(sizes), 0
-    while start < len(sizes):
-        base = total[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(total, base + least, "right")))
-        yield start, end
-        start = end
-
-
 def read_ranks(lines: bytes) -> dict[bytes, int]:
     """lines: a rank file, a token in base64 and its rank to a line."""
     return {base64.b64decode(t): int(i) for t, i in (line.split() for line in lines.splitlines() if line)}
@@ -259,7 +249,7 @@ def encode(docs: DataFrame, rank_lines: bytes, pattern: str, *, ids: bool = True
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, spell, number = _coder(shared.value, pattern)
         for batch in batches:
-            for start, end in _rows(batch, "text"):
+            for start, end in common.slices(batch, "text"):
                 part = batch.slice(start, end - start)
                 coded = list(coder.encode_batch([t or "" for t in part.column("text").to_pylist()]))
                 columns = [part.column("doc_id"), pa.array(map(len, coded), pa.int64())]

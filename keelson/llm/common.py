@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +32,14 @@ def local_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder, under the one the cluster names in spark.checkpoint.dir, that executors and driver share.
 
-    Where the setting is absent, as in local tests, a temporary folder of this machine takes its place.
-    The folder goes when the driver's process ends.
+    Where the setting is absent, as in local tests, a temporary folder of this machine takes its place; on a cluster,
+    whose executors wouldn't share that, it is an error. The folder goes when the driver's process ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or local_dir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = local_dir()
     path = f"{base.rstrip('/')}/keelson-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
@@ -55,3 +64,14 @@ def row_key(*cols: str):
     """128 bits that stand for the values of a row; equal rows share it, and nulls differ from every value."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in cols]
     return F.unhex(F.md5(F.concat_ws("\x00", *parts)))
+
+
+def slices(table: pa.RecordBatch, column: str, least: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Slices of a batch with about `least` bytes of text each."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(table.column(column)), 0), np.int64)
+    total, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        base = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, base + least, "right")))
+        yield start, end
+        start = end

@@ -10,7 +10,8 @@ from documents picked by a hash of their id and text among those that are labell
 as text) mod FOLDS = 0 are held out. Only text and label are learnt from; a prediction sees the text alone.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without any labelled document everything is
-`und`; null labels are never learnt; equal texts get equal predictions; other columns never matter.
+`und`; null labels are never learnt, a null id is never held out; equal texts get equal predictions, and of languages with
+equal scores the first by name wins; an empty table gives an empty result; other columns never matter.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from . import common
+
 FOLDS = 5
 PIECES, PIECE = 600, 256
 HIDDEN, CHUNK = 8, 64
@@ -237,8 +240,8 @@ def predict(docs: DataFrame, net: Network | None, carry: list[str] | None = None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
+            for start, end in common.slices(batch, "text"):
+                part = batch.slice(start, end - start)
                 found = list(read(net, part.column("text").to_pylist()))
                 columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in carry), *columns], names)

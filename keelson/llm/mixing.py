@@ -62,7 +62,7 @@ def unit_hash(text):
 
 def mix(docs: DataFrame, *, seed: int = 7, most: int = 3, carry: bool = False) -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, copies; with carry also the whole row, as the struct `row`."""
-    own = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     sized = docs.select("doc_id", "source", size_of("text").alias("size"), *own)
     per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most)
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long")
