@@ -111,8 +111,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", di
     is_best = better(F.col("chars"), F.col("id")) == F.col("best")
     # tables of their own, here and below, so that the joins are between plain exchanges and Spark can split a common digest
     stays = common.keep(found.filter(is_best).groupBy("digest").agg(F.min("norm").alias("stays_norm")), f"{home}/stays")
-    odd = found.join(stays, "digest").filter(F.col("norm") != F.col("stays_norm")).select("digest").distinct()
-    odd = common.keep(odd, f"{home}/odd")
+    # distinct only after it is written: an aggregate above the join would keep Spark from splitting a common digest
+    odd = common.keep(found.join(stays, "digest").filter(F.col("norm") != F.col("stays_norm")).select("digest"), f"{home}/odd").distinct()
     groups = index.select(
         "digest", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), F.col("copies").alias("group_size")
     )
