@@ -316,7 +316,7 @@ def test_gradients_match_differences():
 
 def test_language_accuracy_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = language_id.identify(docs, steps=200).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
 
 
@@ -607,5 +607,20 @@ def test_support_does_not_rise_with_the_corpus(spark):
     assert [(r.spans, r.n_added) for r in got] == [("secret:12:28", 1)]
 
 
+def test_shared_folder_is_named_on_a_cluster(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local-cluster[3,2,1000]"
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+
+
 def test_shared_folder_follows_the_session(spark):
     assert common.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
