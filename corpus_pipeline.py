@@ -1,4 +1,17 @@
-"""A training corpus from raw documents, in five stages; each calls one of the operators of keelson.llm."""
+"""A training corpus from raw documents, in five stages; each calls one of the operators of keelson.llm.
+
+All stages but the last return the columns of documents, whatever other columns there are and however they are called;
+an empty table passes through. Rows are told apart by id and text; of rows equal in both, one stays, chosen by a hash of
+the other columns, so reruns agree. By stage:
+
+1. Language ID. Goes: null texts, texts without a letter, and texts in which the network isn't at least as close to
+   certain as to chance. Ids, sources and labels don't matter; null labels are never learnt. Without any label all go.
+2. Exact dedup. Of texts equal without white space the one with the most code points stays, then the smallest id (null
+   last). An empty text is a text like others.
+3. N-gram Jaccard join. Of each group of linked documents the smallest id stays (null last). Texts without shingles stay.
+4. Mixing. Documents as often as the mix takes them; a null source is a source of its own; empty texts count no words.
+5. Byte-level BPE. A row for each copy: doc_id, n_tokens and two digests. A null text counts as an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,23 +22,27 @@ from pyspark.sql import Window as W
 from keelson.llm import byte_bpe, common, exact_dedup, jaccard_join, language_id, mixing
 from keelson.llm.queries import tokenizer
 
-#: A prediction below this isn't one: with four languages chance alone gives 0.25.
-LEAST_SCORE = 0.3
+#: Where between chance (0) and certainty (1) a language counts as recognised.
+LEAST_CERTAINTY = 0.5
 
 
 def _keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose row_key is in kept (a column `key`, distinct); of equal rows one."""
-    keyed = docs.withColumn("_row", common.row_key("doc_id", "text")).join(kept.select(F.col("key").alias("_row")), "_row")
-    first = F.row_number().over(W.partitionBy("_row").orderBy(F.lit(1)))
-    return keyed.withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)
+    """The rows of docs whose row_key is in kept (a column `key`, distinct); of rows with equal keys one."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)
+    keyed = docs.select(common.row_key("doc_id", "text").alias("key"), tie.alias("tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = F.row_number().over(W.partitionBy("key").orderBy("tie"))
+    return keyed.join(kept.select("key"), "key").withColumn("nth", first).filter("nth = 1").select("row.*")
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is recognised: without letters, or without a clear prediction."""
     learnt = language_id.sample(docs)
+    net = language_id.train(learnt) if learnt else None
+    chance = 1 / len(net.langs) if net else 1.0
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest")
-    seen = language_id.predict(docs.select("text", rest), language_id.train(learnt) if learnt else None, ["text", "_rest"])
-    found = seen.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    seen = language_id.predict(docs.select("text", rest), net, ["text", "_rest"])
+    found = seen.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= chance + LEAST_CERTAINTY * (1 - chance)))
     return found.select(*[F.col("text") if c == "text" else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
 
 
