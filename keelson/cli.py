@@ -8,17 +8,20 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import tempfile
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
 from .config import OptionError, Options, formula, parse_weights
-from .operators import coupling, reports, scoring
+from .operators import coupling, history, reports, scoring
 from .plans import writers
 from .plans.analysis import Inputs, analyse, results, selected
-from .sources import coverage, files, gitlog, ruby
+from .sources import coverage, files, gitlog, ruby, texts
 from .sources import reports as tools
 
 
@@ -33,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("path", nargs="?", default=".")
         for flag in ("numstat", "name-only", "name-status", "ruby-lint", "js-lint", "modules", "ruby-coverage", "js-coverage", "coverage", "diff-base", "csv-dir", "log-prefix"):
             p.add_argument(f"--{flag}")
-        p.add_argument("--changed", help="file with the changed paths, a path to a line")
+        p.add_argument("--changed", help="file with the changed paths from the top of the repository, a path to a line: git diff --name-only --diff-filter=d BASE...HEAD")
         p.add_argument("--only", help="paths, comma-separated")
         p.add_argument("--output", choices=("table", "json", "markdown", "csv"), default="table")
         p.add_argument("--weights", type=parse_weights)
@@ -44,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--exclude", action="append", default=[])
         p.add_argument("--no-newness", action="store_true")
         p.add_argument("--no-rails-inference", action="store_true")
-        p.add_argument("--shallow", action="store_true", help="the clone is shallow: histories are not complete")
+        p.add_argument("--shallow", action="store_true", help="the clone is shallow (found by itself where PATH has a .git): histories are not complete")
     gate = sub.add_parser("gate")
     gate.add_argument("--input")
     gate.add_argument("--enforce", action="store_true")
@@ -66,34 +69,74 @@ def options_of(args: argparse.Namespace) -> Options:
     return out.validate()
 
 
-def load(spark: SparkSession, args: argparse.Namespace, options: Options) -> Inputs:
-    repo = os.path.basename(os.path.abspath(args.path))
+def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes rows to a new folder under the one that the cluster names, or in local mode to a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise OptionError("Error: spark.checkpoint.dir has to name a folder that the driver and all executors share.")
+    base = base or f"file://{tempfile.mkdtemp(prefix='keelson-')}"
+
+    def keep(rows: DataFrame) -> DataFrame:
+        path = f"{base.rstrip('/')}/keelson-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    return keep
+
+
+def is_shallow(path: str) -> bool:
+    """Whether the clone that the folder lies in keeps a list of cut commits; `.git` may be a file that names the folder."""
+    at = os.path.abspath(path)
+    while not os.path.exists(git := os.path.join(at, ".git")):
+        if at == (at := os.path.dirname(at)):
+            return False
+    if os.path.isfile(git):
+        with open(git) as f:
+            git = os.path.join(at, f.read().removeprefix("gitdir:").strip())
+    return os.path.exists(os.path.join(git, "shallow"))
+
+
+def load(spark: SparkSession, args: argparse.Namespace, options: Options, keep: Callable[[DataFrame], DataFrame]) -> Inputs:
+    repo, root = os.path.basename(os.path.abspath(args.path)), os.path.abspath(args.path)
     scored, _ = files.collect(files.contents(files.listed(spark, args.path, repo), args.path), options.exclude)
-    scored = scored.persist()
-    notes = [*files.require_population(scored, options.min_files), *(["coverage_flag_deprecated"] if args.coverage else []), *(["shallow_clone_newness_disabled"] if args.shallow else [])]
+    scored, shallow = keep(scored), args.shallow or is_shallow(args.path)
+    notes = [*files.require_population(scored, options.min_files), *(["coverage_flag_deprecated"] if args.coverage else []), *(["shallow_clone_newness_disabled"] if shallow else [])]
     own = scored.filter("lang_group = 'ruby'")
-    parsed = ruby.references(own, options.rails_inference)
-    lint = {g: read(spark, p, repo, os.path.abspath(args.path)) for g, p, read in (("ruby", args.ruby_lint, tools.ruby_lint), ("javascript", args.js_lint, tools.js_lint)) if p}
-    covered = {g: coverage.read(spark, p, scored.filter(F.col("lang_group") == g), repo, os.path.abspath(args.path)) if p else None for g, p in (("ruby", options.ruby_coverage), ("javascript", options.js_coverage))}
+    parsed = keep(ruby.references(own, options.rails_inference))
+    lint = {g: read(texts.whole(spark, p, repo), root) for g, p, read in (("ruby", args.ruby_lint, tools.ruby_lint), ("javascript", args.js_lint, tools.js_lint)) if p}
+    covered = {g: coverage.read(spark, p, scored.filter(F.col("lang_group") == g), repo, root) if p else None for g, p in (("ruby", options.ruby_coverage), ("javascript", options.js_coverage))}
     return Inputs(
-        files=scored, ruby=parsed, lint=lint, coverage=covered, history_available=not args.shallow, log_prefix=args.log_prefix or "", warnings=notes,
+        files=scored, ruby=parsed, lint=lint, coverage=covered, history_available=not shallow, log_prefix=args.log_prefix or "", warnings=notes,
         changes=gitlog.numstat(gitlog.read_lines(spark, args.numstat, repo)) if args.numstat else None,
-        commits=gitlog.name_only(gitlog.read_lines(spark, args.name_only, repo)) if args.name_only else None,
-        log=gitlog.name_status(gitlog.read_records(spark, args.name_status, repo)) if args.name_status else None,
-        modules=tools.modules(spark, args.modules, repo, os.path.abspath(args.path)) if args.modules else None,
+        commits=gitlog.name_only(gitlog.read_records(spark, args.name_only, repo)) if args.name_only else None,
+        log=keep(gitlog.name_status(gitlog.read_records(spark, args.name_status, repo))) if args.name_status else None,
+        modules=tools.modules(texts.whole(spark, args.modules, repo), root) if args.modules else None,
     )
 
 
+def wanted_paths(spark: SparkSession, args: argparse.Namespace, options: Options) -> DataFrame | None:
+    """The paths that the output is limited to, relative to the analysed folder; None without a filter.
+
+    Those of a diff and of --only count from the top of the repository, of which --log-prefix is the analysed folder.
+    """
+    if options.diff_base and not args.changed:
+        raise OptionError("Error: --diff-base needs --changed FILE with the paths of the diff.")
+    if args.changed:
+        named = spark.read.text(args.changed).select(F.trim("value").alias("path"))
+    elif options.only_paths is not None:
+        named = spark.createDataFrame([(p,) for p in options.only_paths], "path string")
+    else:
+        return None
+    return named.select(history.rebased(F.col("path"), args.log_prefix or "").alias("path")).filter("path <> ''").distinct()
+
+
 def scan(spark: SparkSession, args: argparse.Namespace) -> int:
     options = options_of(args)
-    report = analyse(load(spark, args, options), options)
-    wanted = options.only_paths
-    if args.changed:
-        with open(args.changed) as f:
-            wanted = [line.strip() for line in f if line.strip()]
-    paths = spark.createDataFrame([(p,) for p in wanted], "path string") if wanted is not None else None
+    paths = wanted_paths(spark, args, options)
+    keep = keeper(spark)
+    report = analyse(load(spark, args, options, keep), options, keep)
     notes = list(report.warnings)
-    if wanted is not None and not wanted:
+    if paths is not None and paths.isEmpty():
         notes.append("diff_filter_empty")
     elif paths is not None and report.rows.join(paths, "path", "left_semi").isEmpty():
         notes.append("diff_no_scored_files")
@@ -102,24 +145,35 @@ def scan(spark: SparkSession, args: argparse.Namespace) -> int:
     coupled = not report.rows.filter("coupling_available").isEmpty()
     weights = scoring.active_weights(options.weights, coverage=any_coverage, coupling=coupled)
     label, now = formula(coverage=any_coverage, coupling=weights["coupling"]), datetime.fromtimestamp(options.as_of, timezone.utc)
+    note = writers.scoring_note(weights, coverage=any_coverage)
+    for line in (note, *(f"Warning: {w['message']}" for w in reports.normalised_warnings(notes))):
+        print(line, file=sys.stderr)
+    filtered = "diff" if args.changed else None
     if args.output == "csv":
         writers.write_csv(shown, args.csv_dir or "keelson-csv")
     elif args.output == "json":
-        meta = writers.meta(args.path, now.strftime("%Y-%m-%dT%H:%M:%SZ"), options.churn_days, count, skipped, weights, coverage=any_coverage, diff_base=options.diff_base, only=options.only_paths)
-        print(writers.to_json(shown, meta, notes))
-    elif args.output == "markdown":
-        print(writers.to_markdown(shown, day=now.strftime("%Y-%m-%d"), label=label, churn_days=options.churn_days, file_count=count))
+        meta = writers.meta(args.path, now.strftime("%Y-%m-%dT%H:%M:%SZ"), options.churn_days, count, skipped, weights, coverage=any_coverage, diff_base=options.diff_base or filtered, only=options.only_paths)
+        for part in writers.to_json(shown, meta, notes):
+            print(part, end="")
+        print()
     else:
-        print(writers.to_table(shown, repo=args.path, label=label, churn_days=options.churn_days, footer=f"{count} files analyzed."))
+        note = None if any_coverage else note
+        if args.output == "markdown":
+            lines = writers.to_markdown(shown, day=now.strftime("%Y-%m-%d"), label=label, churn_days=options.churn_days, file_count=count, note=note)
+        else:
+            lines = writers.to_table(shown, repo=args.path, label=label, churn_days=options.churn_days, note=note, footer=f"{count} files analyzed." + (f" {skipped} files skipped." if skipped else ""))
+        for line in lines:
+            print(line)
     return 0
 
 
 def edges(spark: SparkSession, args: argparse.Namespace) -> int:
     """Scores without coupling, as the drill-down has always shown them."""
     options = options_of(args)
-    inputs = load(spark, args, options)
+    keep = keeper(spark)
+    inputs = load(spark, args, options, keep)
     logged, inputs.commits = inputs.commits, None
-    report = analyse(inputs, options)
+    report = analyse(inputs, options, keep)
     header = report.rows.filter(F.col("path") == args.file).first()
     if header is None:
         print(f"Error: '{args.file}' was not found in the scored file set.", file=sys.stderr)

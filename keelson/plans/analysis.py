@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from ..functions.numbers import percentile, rounded
 from ..functions.paths import path_constant
 from ..operators import churn, coupling, graph, history, quality, reports, scoring
 
+Keep = Callable[[DataFrame], DataFrame]
 KEYS, GROUP = ["repo_id", "path"], ["repo_id", "lang_group"]
 GROUPS = ("ruby", "javascript")
 
@@ -69,9 +71,10 @@ def dependencies(inputs: Inputs, group: str) -> tuple[DataFrame, DataFrame]:
     return graph.degrees(files, edges), edges
 
 
-def analyse_group(inputs: Inputs, options: Options, group: str, top: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def analyse_group(inputs: Inputs, options: Options, group: str, top: DataFrame | None, past: DataFrame | None, keep: Keep) -> tuple[DataFrame, DataFrame]:
     """(scored rows of a language group, its edges)."""
     files, edges = dependencies(inputs, group)
+    edges = keep(edges)
     lint = inputs.lint.get(group)
     if lint is not None:
         if group == "ruby":
@@ -92,33 +95,37 @@ def analyse_group(inputs: Inputs, options: Options, group: str, top: DataFrame |
     files = scoring.with_percentiles(files, *GROUP).withColumn("loc_pct", percentile("loc", "repo_id", "language"))
     files = scoring.with_score(files, options.weights, *GROUP, coverage=report is not None)
     rows = scoring.with_class(files, *GROUP, trunk=options.trunk_threshold, branch=options.branch_threshold)
-    return with_newness(rows, edges, inputs, options), edges
+    # the rules for new files read the rows three times
+    return with_newness(keep(rows), edges, past, options), edges
 
 
-def with_newness(rows: DataFrame, edges: DataFrame, inputs: Inputs, options: Options) -> DataFrame:
-    available = inputs.log is not None and inputs.history_available
-    past = history.lineage(inputs.log, inputs.files, inputs.log_prefix) if available else rows.limit(0)
-    if not options.newness:
-        available = False
+def with_newness(rows: DataFrame, edges: DataFrame, past: DataFrame | None, options: Options) -> DataFrame:
+    """past: what history.lineage found, None if it isn't available."""
+    available = past is not None and options.newness
+    past = rows.limit(0) if past is None else past
     rows = history.with_history(rows, past, KEYS, F.lit(options.as_of), days=options.new_file_days, commits=options.new_file_min_commits, available=available)
     covered = F.col("coverage_status") == "present"
     rows = rows.withColumn("evidence", history.evidence(F.col("age_days"), F.col("total_commits"), covered, F.col("metadata_available")))
     return history.newness(rows, edges, GROUP, KEYS)
 
 
-def analyse(inputs: Inputs, options: Options) -> Report:
+def analyse(inputs: Inputs, options: Options, keep: Keep = lambda rows: rows) -> Report:
+    """keep: writes rows that are read more than once and gives the table; without it they are computed anew."""
     options.validate()
+    past = keep(history.lineage(inputs.log, inputs.files, inputs.log_prefix)) if inputs.log is not None and inputs.history_available else None
     pairs, bulk = coupled_pairs(inputs, options)
-    top = coupling.top_partner(pairs) if pairs is not None else None
+    top = keep(coupling.top_partner(pairs)) if pairs is not None else None
     rows = edges = None
     for group in GROUPS:
-        own_rows, own_edges = analyse_group(inputs, options, group, top)
+        own_rows, own_edges = analyse_group(inputs, options, group, top, past, keep)
         rows = own_rows if rows is None else rows.unionByName(own_rows)
         edges = own_edges if edges is None else edges.unionByName(own_edges)
-    ranked = scoring.with_rank(rows, *GROUP)
+    # warnings and outputs all read the ranked rows
+    ranked = keep(scoring.with_rank(rows, *GROUP))
     skipped = inputs.lint["ruby"].filter("skipped").select(*KEYS).distinct() if "ruby" in inputs.lint else None
     has = {g: inputs.coverage.get(g) is not None for g in GROUPS}
-    return Report(ranked, edges, pairs, skipped, [*inputs.warnings, *found_warnings(ranked, bulk, skipped, has, options)], has)
+    unread = [] if inputs.ruby is None or inputs.ruby.filter("NOT parsed").isEmpty() else ["fan_in_reference_resolution_failed"]
+    return Report(ranked, edges, pairs, skipped, reports.normalised_warnings([*inputs.warnings, *unread, *found_warnings(ranked, bulk, skipped, has, options)]), has)
 
 
 def found_warnings(rows: DataFrame, bulk: DataFrame | None, skipped: DataFrame | None, coverage: dict[str, bool], options: Options) -> list:

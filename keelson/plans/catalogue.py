@@ -7,12 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths
 from ..functions.numbers import percentile, rounded
 from ..operators import churn, coupling, graph, history, quality, reports, scoring
 from . import tables as t
 from . import twins as q
-from .sinks import csv_line, json_line, markdown_line
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,12 +147,6 @@ def loc_pct_by_language(spark, sf_dir):
     return docs.select("doc_id", "lang", "loc", percentile("loc", "lang").alias("loc_pct"))
 
 
-@query("SELECT * FROM (VALUES (1, 2), (2, 0), (3, 0), (4, 1)) AS x(case_id, loc)")
-def loc_cases(spark, sf_dir):
-    rows = values(spark, "case_id, content", r"(1, X'610A0A2320620A2009'), (2, X'0A20200A09'), (3, X'61FF0A62'), (4, X'78')")
-    return rows.select("case_id", quality.loc(F.col("content")).alias("loc"))
-
-
 LABELLED_SQL = "labelled AS (SELECT d.doc_id, d.lang, l.quality::DOUBLE * (d.n_chars % 100)::DOUBLE / 100::DOUBLE AS line_rate, l.doc_id IS NOT NULL AS present FROM documents d LEFT JOIN labels l USING (doc_id))"
 
 
@@ -373,90 +365,6 @@ def edges_report(spark, sf_dir):
     return reports.edges_of("part/7", t.part_edges(spark, sf_dir), _ranked(spark, sf_dir))
 
 
-# ---- paths and constants, over inline cases
-
-GLOB_CASES = (
-    ("db/schema.rb", True), ("app/db/schema.rb", False), ("db/migrate/1_a.rb", True), ("node_modules/x/y.js", True), ("a/node_modules/y.js", True),
-    ("vendor/z.rb", True), ("app/vendor/z.rb", False), ("app/js/x.min.js", True), ("x.min.js", True), ("spec/a_spec.rb", True), ("app/spec/a.rb", False),
-    ("src/__tests__/a.ts", True), ("src/deep/a.test.tsx", True), ("src/a.spec.js", True), ("src/atest.js", False), (".hidden/a.rb", False), ("log/a/b.rb", True),
-)
-
-
-def _cases(names: str, cases) -> str:
-    lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in cases)
-
-
-@query(f"SELECT * FROM (VALUES {_cases('', GLOB_CASES)}) AS x(path, excluded)")
-def glob_exclude(spark, sf_dir):
-    return values(spark, "path", _cases("", [(p,) for p, _ in GLOB_CASES])).select("path", paths.matches_any(F.col("path"), paths.DEFAULT_EXCLUDES).alias("excluded"))
-
-
-RENAME_CASES = (
-    ("app/{models => services}/thing.rb", "app/services/thing.rb"), ("old.rb => new.rb", "new.rb"), ("a/{sub => }/x.rb", "a/x.rb"), ("a/{ => sub}/x.rb", "a/sub/x.rb"),
-    ("{app/models => lib}/y.rb", "lib/y.rb"), ("./a/b.rb", "a/b.rb"), ("with space/a b.rb", "with space/a b.rb"),
-)
-
-
-@query(f"SELECT * FROM (VALUES {_cases('', RENAME_CASES)}) AS x(path, renamed)")
-def rename_path_normalize(spark, sf_dir):
-    return values(spark, "path", _cases("", [(p,) for p, _ in RENAME_CASES])).select("path", paths.renamed(F.col("path")).alias("renamed"))
-
-
-CONSTANT_CASES = (
-    ("app/models/user.rb", "User"), ("app/models/admin/audit_log.rb", "Admin::AuditLog"), ("lib/billing/tax.rb", "Billing::Tax"), ("app/models/concerns/taggable.rb", "Taggable"),
-    ("app/models/user/concerns/named.rb", "Named"), ("engines/shop/app/models/shop/cart.rb", "Shop::Cart"), ("config/routes.rb", None), ("lib/2fa.rb", None), ("app/user.rb", None), ("test/models/user_test.rb", "Models::UserTest"),
-)
-
-
-@query(f"SELECT * FROM (VALUES {_cases('', CONSTANT_CASES)}) AS x(path, constant)")
-def zeitwerk_constant(spark, sf_dir):
-    return values(spark, "path", _cases("", [(p,) for p, _ in CONSTANT_CASES])).select("path", paths.path_constant(F.col("path")).alias("constant"))
-
-
-WORD_CASES = (
-    ("posts", "post", "Posts"), ("categories", "category", "Categories"), ("boxes", "box", "Boxes"), ("people", "person", "People"), ("line_items", "line_item", "LineItems"),
-    ("branches", "branch", "Branches"), ("class", "clas", "Class"), ("HTTP_server", "HTTP_server", "HttpServer"), ("geese", "goose", "Geese"),
-)
-
-
-@query(f"SELECT * FROM (VALUES {_cases('', WORD_CASES)}) AS x(word, singular, camel)")
-def singularize_camelize(spark, sf_dir):
-    return values(spark, "word", _cases("", [(w,) for w, _, _ in WORD_CASES])).select("word", paths.singularized(F.col("word")).alias("singular"), paths.camelized(F.col("word")).alias("camel"))
-
-
-OWNERS = "('r', 'a.rb', 'Admin::User'), ('r', 'b.rb', 'User'), ('r', 'c.rb', 'Admin::Billing::Plan'), ('r', 'd.rb', 'Billing::Invoice'), ('r', 'e.rb', 'Order'), ('r', 'f.rb', 'Order')"
-REFERENCES = """('r', 'x.rb', array('Admin'), 'User', false), ('r', 'x.rb', array('Shop'), 'User', false), ('r', 'y.rb', array('Admin'), 'User', true),
-  ('r', 'z.rb', array('Admin'), 'Billing::Invoice', false), ('r', 'z.rb', array('Admin', 'Deep'), 'Billing::Plan', false), ('r', 'w.rb', cast(array() as array<string>), 'Billing::Invoice', false),
-  ('r', 'w.rb', array('Admin::Deep'), 'Missing', false), ('r', 'e.rb', cast(array() as array<string>), 'Order', false), ('r', 'y.rb', array('A', 'B'), 'Order', false), ('r', 'a.rb', array('Admin'), 'User', false)"""
-
-
-@query("SELECT * FROM (VALUES ('x.rb', 'Admin::User'), ('x.rb', 'User'), ('y.rb', 'User'), ('z.rb', 'Admin::Billing::Plan'), ('w.rb', 'Billing::Invoice'), ('e.rb', 'Order'), ('y.rb', 'Order'), ('a.rb', 'Admin::User')) AS x(path, constant)")
-def const_resolution(spark, sf_dir):
-    owners, refs = values(spark, "repo_id, path, constant", OWNERS), values(spark, "repo_id, path, namespace, name, absolute", REFERENCES)
-    return graph.resolve(refs, owners).select("path", "constant")
-
-
-@query("""SELECT * FROM (VALUES ('a.rb', 1::BIGINT, 0::BIGINT), ('b.rb', 2, 0), ('c.rb', 1, 0), ('d.rb', 1, 0), ('e.rb', 1, 1), ('f.rb', 2, 0), ('w.rb', 0, 1), ('x.rb', 0, 2), ('y.rb', 0, 2), ('z.rb', 0, 1)) AS x(path, fan_in, fan_out)""")
-def const_graph(spark, sf_dir):
-    owners, refs = values(spark, "repo_id, path, constant", OWNERS), values(spark, "repo_id, path, namespace, name, absolute", REFERENCES)
-    files = values(spark, "repo_id, path, ordinal", ", ".join(f"('r', '{p}.rb', {i})" for i, p in enumerate("abcdefwxyz")))
-    return graph.constant_graph(files, refs, owners)[0].select("path", "fan_in", "fan_out")
-
-
-# (seq, line_no, epoch, status, old_path, path), newest first
-LOG = """('r', 0, 0, 900, 'M', NULL, 'app/new.rb'), ('r', 1, 0, 800, 'R100', 'app/old.rb', 'app/new.rb'), ('r', 2, 0, 700, 'M', NULL, 'app/old.rb'), ('r', 3, 0, 600, 'A', NULL, 'app/old.rb'),
-  ('r', 2, 1, 700, 'A', NULL, 'app/reborn.rb'), ('r', 3, 1, 600, 'D', NULL, 'app/reborn.rb'), ('r', 4, 0, 500, 'A', NULL, 'app/reborn.rb'), ('r', 1, 1, 800, 'C75', 'app/new.rb', 'app/copy.rb'),
-  ('r', 5, 0, 400, 'R090', 'lib/older.rb', 'app/old.rb'), ('r', 6, 0, 300, 'A', NULL, 'lib/older.rb'), ('r', 6, 1, 300, 'A', NULL, 'app/other.rb')"""
-
-
-@query("SELECT * FROM (VALUES ('app/new.rb', 300::BIGINT, 6::BIGINT), ('app/reborn.rb', 700, 1), ('app/copy.rb', 800, 1)) AS x(path, first_epoch, total_commits)")
-def rename_lineage(spark, sf_dir):
-    log = values(spark, "repo_id, seq, line_no, epoch, status, old_path, path", LOG).withColumn("epoch", F.col("epoch").cast("long"))
-    files = values(spark, "repo_id, path", "('r', 'app/new.rb'), ('r', 'app/reborn.rb'), ('r', 'app/copy.rb'), ('r', 'app/never.rb')")
-    return history.lineage(log, files).select("path", "first_epoch", "total_commits")
-
-
 # ---- set operations
 
 
@@ -470,34 +378,6 @@ def set_ops(spark, sf_dir):
     return union.unionByName(named(one.join(large, "p_partkey", "left_anti"), "difference")).unionByName(named(two.join(large, "p_partkey", "left_semi"), "intersection"))
 
 
-WARNED = (("files_skipped", 3, ""), ("small_repo", 1, "a"), ("files_skipped", 2, "b"), ("git_error", 5, "c"), ("small_repo", 4, "d"))
-
-
-@query("SELECT * FROM (VALUES ('files_skipped', 2, 'b'), ('small_repo', 1, 'a'), ('git_error', 5, 'c')) AS x(code, place, message)")
-def warnings_by_code(spark, sf_dir):
-    return reports.first_warnings(values(spark, "code, place, message", _cases("", WARNED)))
-
-
 @query(f"""WITH {q.RANKED} SELECT 'meta' AS part, count(*) AS n_files, count(*) FILTER (class = 'trunk') AS trunks, count(*) FILTER (coverage IS NULL) AS uncovered FROM ranked""")
 def footer_counts(spark, sf_dir):
     return _ranked(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("class") == "trunk").alias("trunks"), F.count_if(F.col("coverage").isNull()).alias("uncovered")).withColumn("part", F.lit("meta"))
-
-
-# ---- sinks
-
-D4 = "printf('%.4f', {})"
-
-
-@query(f"""WITH {q.RANKED} SELECT lang_group, rank, rank || ',' || path || ',' || {D4.format('score')} || ',' || class || ',' || escalation || ',' || fan_in || ',' || {D4.format('instability')} || ',' || coalesce({D4.format(q.r4('coverage'))}, '') AS line FROM ranked""")
-def score_csv(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("lang_group", "rank", csv_line().alias("line"))
-
-
-@query(f"""WITH {q.RANKED} SELECT lang_group, rank, '| ' || rank || ' | ' || path || ' | ' || {D4.format('score')} || ' | ' || class || ' | ' || escalation || ' | ' || fan_in || ' | ' || {D4.format('instability')} || ' | ' || coalesce(floor(coverage * 100::DOUBLE + 0.5::DOUBLE)::INT || '%', '—') || ' |' AS line FROM ranked""")
-def score_markdown(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("lang_group", "rank", markdown_line().alias("line"))
-
-
-@query(f"""WITH {q.RANKED} SELECT lang_group, rank, '{{"rank":' || rank || ',"path":"' || path || '","class":"' || class || '","escalation":"' || escalation || '","fan_in":' || fan_in || ',"fan_out":' || fan_out || ',"complexity":' || complexity || '}}' AS line FROM ranked""")
-def score_json(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("lang_group", "rank", json_line().alias("line"))

@@ -1,13 +1,15 @@
 """The sinks: table, CSV, JSON and Markdown of a report, and text of the drill-down and the gate.
 
-CSV is written by executors; the other formats are documents for people, made on the driver from the rows that are shown.
+Rows become lines on the executors, by one expression for each format. CSV is written there too; the others are documents
+for people, and the driver passes their lines on one at a time.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import formula
@@ -17,51 +19,89 @@ from .analysis import RESULT_COLUMNS
 SECTIONS = (("Ruby", "ruby"), ("JavaScript/TypeScript", "javascript"))
 D4 = ("score", "fan_in_pct", "fan_out_pct", "instability", "instability_pct", "complexity_pct", "churn_pct", "loc_pct", "max_coupling", "coupling_pct")
 MARKDOWN_COLUMNS = tuple(c for c in RESULT_COLUMNS if c not in ("fan_in_pct", "instability_pct", "complexity_pct", "loc", "loc_pct"))
-FOOTNOTE = "fan_in is a static approximation — dynamic references not counted."
+FOOTNOTE = "References are read from the source text; what code resolves while it runs is not in fan_in."
 
 
 def d4(x: float) -> str:
     return f"{x:.4f}"
 
 
-def shown_coverage(row) -> str:
-    if row["coverage_status"] == "unavailable":
-        return "n/a"
-    return "—" if row["coverage"] is None else f"{int(row['coverage'] * 100 + 0.5)}%"
+def scoring_note(weights: dict, *, coverage: bool) -> str:
+    """Which formula made the scores, and its weights."""
+    used = ", ".join(f"{k} {w:.2f}" for k, w in weights.items() if w)
+    return f"Note: {'with' if coverage else 'without'} coverage data, scores use the {formula(coverage=coverage, coupling=weights.get('coupling'))} formula ({used})."
 
 
-def write_csv(results: DataFrame, path: str) -> None:
-    """27 columns with a header; Ruby first, by rank. Missing evidence is bare, missing coverage is quoted and empty."""
+def fixed4(c: str) -> Column:
+    """Null stays null; format_string alone would write it out."""
+    return F.when(F.col(c).isNotNull(), F.format_string("%.4f", c))
+
+
+def shown_coverage() -> Column:
+    """Whole percent; a dash for a file that the report lacks, n/a without a report."""
+    percent = F.concat(F.floor(F.col("coverage") * F.lit(100.0) + F.lit(0.5)).cast("string"), F.lit("%"))
+    return F.when(F.col("coverage_status") == "unavailable", "n/a").otherwise(F.coalesce(percent, F.lit("—")))
+
+
+def cell(c: str) -> Column:
+    """As text for people; missing evidence is empty."""
+    if c == "coverage":
+        return shown_coverage()
+    return F.coalesce(fixed4(c) if c in (*D4, "evidence") else F.col(c).cast("string"), F.lit(""))
+
+
+def csv_cells() -> list[Column]:
+    """Missing evidence is bare, missing coverage is quoted and empty."""
+    own = {c: fixed4(c) for c in (*D4, "evidence")}
+    own["coverage"] = F.when(F.col("coverage_status") == "missing", "—").when(F.col("coverage").isNull(), "").otherwise(F.col("coverage").cast("string"))
+    return [own.get(c, F.col(c).cast("string")).alias(c) for c in RESULT_COLUMNS]
+
+
+def csv_line() -> Column:
+    return F.to_csv(F.struct(*csv_cells()))
+
+
+def markdown_line() -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, MARKDOWN_COLUMNS)), F.lit(" |"))
+
+
+def json_line() -> Column:
+    """All columns, nulls too; a file that the coverage report lacks has a dash."""
+    plain = F.to_json(F.struct(*[F.col(c).alias("path" if c == "file" else c) for c in RESULT_COLUMNS]), {"ignoreNullFields": "false"})
+    dashed = F.regexp_replace(plain, '"coverage":null\\}$', '"coverage":"—"}')
+    return F.when(F.col("coverage_status") == "missing", dashed).otherwise(plain)
+
+
+def table_line() -> Column:
     cells = []
-    for c in RESULT_COLUMNS:
-        if c in D4:
-            cells.append(F.format_string("%.4f", c).alias(c))
-        elif c == "evidence":
-            cells.append(F.when(F.col(c).isNotNull(), F.format_string("%.4f", c)).alias(c))
-        elif c == "coverage":
-            value = F.when(F.col("coverage_status") == "missing", "—").when(F.col(c).isNull(), "").otherwise(F.col(c).cast("string"))
-            cells.append(value.alias(c))
-        else:
-            cells.append(F.col(c).cast("string").alias(c))
-    ordered = results.repartitionByRange(1, F.desc("lang_group"), "rank").sortWithinPartitions(F.desc("lang_group"), "rank")
-    ordered.select(*cells).write.option("header", True).mode("overwrite").csv(path)
+    for n, w, left in TABLE:
+        text = truncated(F.coalesce(F.col(n), F.lit(""))) if n == "max_coupling_partner" else F.coalesce(fixed4(n), F.lit("n/a")) if n == "evidence" else cell(n)
+        cells.append(F.when(F.length(text) >= w, text).otherwise((F.rpad if left else F.lpad)(text, w, " ")))
+    return F.concat_ws("  ", *cells)
+
 
+def write_csv(results: DataFrame, path: str) -> None:
+    """27 columns, a header in each file; Ruby first, by rank. Files follow each other in that order."""
+    ordered = results.orderBy(F.desc("lang_group"), "rank")
+    ordered.select(*csv_cells()).write.option("header", True).mode("overwrite").csv(path)
 
-def _sections(results: DataFrame) -> dict[str, list]:
-    rows = results.orderBy("lang_group", "rank").collect()
-    return {group: [r for r in rows if r["lang_group"] == group] for _, group in SECTIONS}
 
+def _lines(results: DataFrame, group: str, line: Column) -> Iterator[str]:
+    """By rank; one partition at a time is on the driver."""
+    for r in results.filter(F.col("lang_group") == group).orderBy("rank").select(line.alias("line")).toLocalIterator():
+        yield r["line"]
 
-def to_json(results: DataFrame, meta: dict, warnings: list) -> str:
-    def entry(row) -> dict:
-        out = {("path" if c == "file" else c): row[c] for c in RESULT_COLUMNS}
-        if row["coverage_status"] == "missing":
-            out["coverage"] = "—"
-        return out
 
-    found = _sections(results)
+def to_json(results: DataFrame, meta: dict, warnings: list) -> Iterator[str]:
+    """Parts of the document, to be joined."""
     flat = normalised_warnings(warnings)
-    return json.dumps({"meta": {**meta, "schema_version": 1, "warnings": flat}, "warnings": flat, **{g: [entry(r) for r in rows] for g, rows in found.items()}}, ensure_ascii=False)
+    yield json.dumps({"meta": {**meta, "schema_version": 1, "warnings": flat}, "warnings": flat}, ensure_ascii=False)[:-1]
+    for _, group in SECTIONS:
+        yield f', "{group}": ['
+        for i, line in enumerate(_lines(results, group, json_line())):
+            yield (", " if i else "") + line
+        yield "]"
+    yield "}"
 
 
 def meta(repo: str, analysed_at: str, churn_days: int, file_count: int, skipped: int, weights: dict, *, coverage: bool, diff_base: str | None = None, only: list | None = None) -> dict:
@@ -74,26 +114,14 @@ def meta(repo: str, analysed_at: str, churn_days: int, file_count: int, skipped:
     return out | ({"diff_base": diff_base} if diff_base else {}) | ({"only_paths": only} if only is not None else {})
 
 
-def to_markdown(results: DataFrame, *, day: str, label: str, churn_days: int, file_count: int, note: str | None = None) -> str:
-    out = [f"## keelson — {day}", "", f"> {label}. Churn window: {churn_days} days. {file_count} files analyzed."]
-    if note:
-        out += ["", f"> {note}"]
-    found = _sections(results)
+def to_markdown(results: DataFrame, *, day: str, label: str, churn_days: int, file_count: int, note: str | None = None) -> Iterator[str]:
+    """Lines of the document."""
+    yield from (f"## keelson — {day}", "", f"> {label}. Churn window: {churn_days} days. {file_count} files analyzed.", *(["", f"> {note}"] if note else []))
     for title, group in SECTIONS:
-        out += [f"### {title}", "", f"| {' | '.join(MARKDOWN_COLUMNS)} |", f"| {' | '.join('---' for _ in MARKDOWN_COLUMNS)} |"]
-        for r in found[group]:
-            out.append("| " + " | ".join(_cell(r, c) for c in MARKDOWN_COLUMNS) + " |")
-        out.append("")
-    return "\n".join([*out, "", f"*{FOOTNOTE}*"])
-
-
-def _cell(row, c: str) -> str:
-    if c == "coverage":
-        return shown_coverage(row)
-    v = row[c]
-    if c == "evidence":
-        return "" if v is None else d4(v)
-    return d4(v) if c in D4 else str(v).lower() if isinstance(v, bool) else str(v)
+        yield from (f"### {title}", "", f"| {' | '.join(MARKDOWN_COLUMNS)} |", f"| {' | '.join('---' for _ in MARKDOWN_COLUMNS)} |")
+        yield from _lines(results, group, markdown_line())
+        yield ""
+    yield from ("", f"*{FOOTNOTE}*")
 
 
 # name, width, whether it stands to the left
@@ -104,20 +132,19 @@ TABLE = (
 )
 
 
-def truncated(partner: str, most: int = 40) -> str:
+def truncated(partner: Column, most: int = 40) -> Column:
     """The end of a long path says more than its start."""
-    return partner if len(partner) <= most else "..." + partner[-(most - 3) :]
+    return F.when(F.length(partner) <= most, partner).otherwise(F.concat(F.lit("..."), F.right(partner, F.lit(most - 3))))
 
 
-def to_table(results: DataFrame, *, repo: str, label: str, churn_days: int, note: str | None = None, footer: str = "") -> str:
-    out, found = [f"keelson — {repo} ({churn_days}-day churn, {label})", *([note] if note else []), ""], _sections(results)
+def to_table(results: DataFrame, *, repo: str, label: str, churn_days: int, note: str | None = None, footer: str = "") -> Iterator[str]:
+    """Lines of the document."""
+    yield from (f"keelson — {repo} ({churn_days}-day churn, {label})", *([note] if note else []), "")
     for title, group in SECTIONS:
-        out += [title, "  ".join(f"{n:<{w}}" if left else f"{n:>{w}}" for n, w, left in TABLE)]
-        for r in found[group]:
-            cells = [truncated(r[n] or "") if n == "max_coupling_partner" else (_cell(r, n) or "n/a") if n == "evidence" else _cell(r, n) for n, _, _ in TABLE]
-            out.append("  ".join(f"{c:<{w}}" if left else f"{c:>{w}}" for c, (_, w, left) in zip(cells, TABLE, strict=True)))
-        out.append("")
-    return "\n".join([*out, footer, FOOTNOTE])
+        yield from (title, "  ".join(f"{n:<{w}}" if left else f"{n:>{w}}" for n, w, left in TABLE))
+        yield from _lines(results, group, table_line())
+        yield ""
+    yield from (footer, FOOTNOTE)
 
 
 def edges_text(target: str, header, sections: DataFrame, partners: list, *, churn_days: int, min_commits: int, threshold: float) -> str:
@@ -144,7 +171,7 @@ def edges_text(target: str, header, sections: DataFrame, partners: list, *, chur
         out.append("    (none above threshold)")
     else:
         out += ["   coupling  co_changes  file", *(f"  {d4(p['coupling']):>8}  {p['co_changes']:>10}  {p['path']}" for p in partners)]
-    return "\n".join([*out, "", "", "Edges are statically computed — dynamic references not counted.", f"Temporal coupling from git history ({churn_days}-day window)."])
+    return "\n".join([*out, "", "", "Edges come from the source text; what code resolves while it runs is missing.", f"Coupling comes from {churn_days} days of commits."])
 
 
 def plural(n: int, noun: str) -> str:

@@ -1,11 +1,12 @@
-"""Coverage reports -> (repo_id, path, line_rate)."""
+"""Coverage reports -> (repo_id, path, line_rate). Readers take whole texts (repo_id, value), so of any number of repositories."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import max_merge, suffix_match
+from .texts import whole
 
 
 class CoverageError(ValueError):
@@ -26,43 +27,50 @@ def _matched(found: DataFrame, files: DataFrame, root: str) -> DataFrame:
     return named.join(suffix_match(named, files), ["repo_id", "reported"])
 
 
-def resultset(spark: SparkSession, path: str, files: DataFrame, repo_id: str, root: str = "") -> DataFrame:
+def resultset(texts: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
     """JSON with suites of `coverage`, or `coverage` at the top; a file's lines are an array, or an object with `lines`."""
-    text = spark.read.text(path, wholetext=True)
-    suites = F.from_json("value", "map<string,string>")
-    top = text.select(F.explode(suites).alias("suite", "body"))
-    inner = top.select(F.when(F.col("suite") == "coverage", F.col("body")).otherwise(F.get_json_object("body", "$.coverage")).alias("coverage")).filter("coverage IS NOT NULL")
-    each = inner.select(F.explode(F.from_json("coverage", "map<string,string>")).alias("reported", "body"))
+    top = texts.select("repo_id", F.explode(F.from_json("value", "map<string,string>")).alias("suite", "body"))
+    inner = top.select("repo_id", F.when(F.col("suite") == "coverage", F.col("body")).otherwise(F.get_json_object("body", "$.coverage")).alias("coverage")).filter("coverage IS NOT NULL")
+    each = inner.select("repo_id", F.explode(F.from_json("coverage", "map<string,string>")).alias("reported", "body"))
     hits = F.coalesce(F.from_json(F.get_json_object("body", "$.lines"), "array<int>"), F.from_json("body", "array<int>"))
-    found = each.select(F.lit(repo_id).alias("repo_id"), "reported", hits.alias("hits")).filter("hits IS NOT NULL")
+    found = each.select("repo_id", "reported", hits.alias("hits")).filter("hits IS NOT NULL")
     return max_merge(_matched(found, files, root).select("repo_id", "path", "hits"), ["repo_id", "path"]).select("repo_id", "path", "line_rate")
 
 
-def cobertura(spark: SparkSession, path: str, files: DataFrame, repo_id: str, root: str = "") -> DataFrame:
+#: A class element of XML, and what may hold one that isn't meant.
+CLASS, HIDDEN = r"""<class\s(?:[^>"']|"[^"]*"|'[^']*')*>""", r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
+
+
+def _attribute(tag: str, name: str) -> Column:
+    """Of an element; null if it has none. Entities are resolved."""
+    both = F.regexp_extract(tag, rf"""\s{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    plain = F.substr(both, F.lit(2), F.length(both) - 2)
+    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(code), F.lit(char))
+    return F.when(both != "", plain)
+
+
+def cobertura(texts: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
     """XML, a class element for each file; of several the last counts."""
-    rows = spark.read.format("xml").option("rowTag", "class").load(path)
-    if "_filename" not in rows.columns or "_line-rate" not in rows.columns:
-        raise CoverageError("Error: coverage XML has no class elements with filename and line-rate.")
-    rate = F.expr("try_cast(`_line-rate` AS DOUBLE)")
-    bad = F.raise_error(F.lit("Error: line-rate must be a number between 0 and 1."))
-    rows = rows.select(
-        F.lit(repo_id).alias("repo_id"), F.regexp_replace("_filename", r"^(\./)+", "").alias("path"),
-        F.when(rate.between(0, 1), rate).otherwise(bad.cast("double")).alias("line_rate"), F.monotonically_increasing_id().alias("at"),
-    )
+    each = texts.select("repo_id", F.posexplode(F.regexp_extract_all(F.regexp_replace("value", HIDDEN, ""), F.lit(CLASS), 0)).alias("at", "tag"))
+    rows = each.select("repo_id", "at", _attribute("tag", "filename").alias("name"), _attribute("tag", "line-rate").try_cast("double").alias("rate"))
+    bad = F.raise_error(F.lit("Error: line-rate must be a number between 0 and 1.")).cast("double")
+    rated = F.when(F.col("rate").between(0, 1), F.col("rate")).otherwise(bad)
+    rows = rows.filter("name IS NOT NULL").select("repo_id", "at", F.regexp_replace("name", r"^(\./)+", "").alias("path"), rated.alias("line_rate"))
     last = rows.groupBy("repo_id", "path").agg(F.max_by("line_rate", "at").alias("line_rate"))
     return last.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
 
 
-def lcov(spark: SparkSession, path: str, files: DataFrame, repo_id: str, root: str = "") -> DataFrame:
+def lcov(texts: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
     """Records with the counts LF and LH, or else the DA lines they sum up."""
-    records = spark.read.text(path, lineSep="end_of_record")
+    records = texts.select("repo_id", F.posexplode(F.split("value", "end_of_record")).alias("at", "value"))
     number = lambda tag: F.expr(f"try_cast(regexp_extract(value, '(?m)^{tag}:(\\\\d+)', 1) AS INT)")
     lines = F.regexp_extract_all("value", F.lit(r"(?m)^DA:\d+,(\d+)"), 1)
     found = F.coalesce(number("LF"), F.size(lines))
     hit = F.coalesce(number("LH"), F.size(F.filter(lines, lambda x: x.cast("long") > 0)))
     bad = F.raise_error(F.lit("Error: LCOV record has more lines hit than found.")).cast("double")
     rate = F.when(hit > found, bad).when(found == 0, 0.0).otherwise(hit / found.cast("double"))
-    rows = records.select(F.lit(repo_id).alias("repo_id"), F.regexp_extract("value", r"(?m)^SF:(.+?)\s*$", 1).alias("reported"), rate.alias("line_rate"), F.monotonically_increasing_id().alias("at"))
+    rows = records.select("repo_id", F.regexp_extract("value", r"(?m)^SF:(.+?)\s*$", 1).alias("reported"), rate.alias("line_rate"), "at")
     rows = _matched(rows.filter("reported <> ''"), files, root)
     return rows.groupBy("repo_id", "path").agg(F.max_by("line_rate", "at").alias("line_rate"))
 
@@ -70,9 +78,12 @@ def lcov(spark: SparkSession, path: str, files: DataFrame, repo_id: str, root: s
 READERS = {".xml": cobertura, ".info": lcov, ".json": resultset}
 
 
-def read(spark: SparkSession, path: str, files: DataFrame, repo_id: str, root: str = "") -> DataFrame:
-    """By the ending of the file's name, in any case."""
+def read(spark: SparkSession, path: str, files: DataFrame, repo_id: str | None, root: str = "") -> DataFrame:
+    """By the ending of the file's name, in any case. repo_id None: every file is of the repository its folder is named after."""
     ending = "." + path.lower().rpartition(".")[2]
     if ending not in READERS:
         raise CoverageError(f"Error: unsupported coverage format: {path}")
-    return READERS[ending](spark, path, files, repo_id, root)
+    texts = whole(spark, path, repo_id)
+    if ending == ".xml" and texts.filter(F.col("value").rlike(CLASS)).isEmpty():
+        raise CoverageError("Error: coverage XML has no class elements with filename and line-rate.")
+    return READERS[ending](texts, files, root)

@@ -1,17 +1,22 @@
-"""Commit logs as text files -> rows. Each reader takes the output of one `git log` format, dumped per repository."""
+"""Commit logs as text files -> rows. Each reader takes the output of one `git log` format, dumped per repository.
+
+Records of the formats with several lines begin with a record separator, so a file can be split anywhere between them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.paths import renamed
+from .texts import lines, numbered
 
 #: Commands whose output the readers take; days limits the window.
 NUMSTAT = "git log --no-merges --since='{days} days ago' --numstat --format= --diff-filter=ACDMR -M"
-NAME_ONLY = "git log --relative --since='{days} days ago' --name-only --format=%H --diff-filter=ACDMR -M"
-NAME_STATUS = "git log --name-status --format=%x1e%ct -M"
+NAME_ONLY = "git log --relative --since='{days} days ago' --name-only --format=%x1e%H --diff-filter=ACDMR -M"
+NAME_STATUS = "git log --name-status --format=%x1e%ct --diff-filter=ACMRD -M"
+# The changes that count in a history.
+STATUSES = "ACMRD"
 
 
 def numstat(lines: DataFrame) -> DataFrame:
@@ -21,12 +26,12 @@ def numstat(lines: DataFrame) -> DataFrame:
     return out.filter("path <> ''")
 
 
-def name_only(lines: DataFrame) -> DataFrame:
-    """lines: repo_id, line_no, value. Rows: repo_id, commit, path."""
-    sha = F.when(F.col("value").rlike("^[0-9a-f]{40}$"), F.col("value"))
-    down = W.partitionBy("repo_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    carried = lines.withColumn("sha", sha).withColumn("commit", F.last("sha", ignorenulls=True).over(down))
-    return carried.filter("sha IS NULL AND trim(value) <> '' AND commit IS NOT NULL").select("repo_id", "commit", renamed(F.col("value")).alias("path"))
+def name_only(records: DataFrame) -> DataFrame:
+    """records: repo_id, value (the commit, then a path to a line). Rows: repo_id, commit, path."""
+    held = records.select("repo_id", F.split("value", "\n").alias("lines"))
+    sha = F.trim(F.col("lines")[0])
+    each = held.filter(sha.rlike("^[0-9a-f]{40}$")).select("repo_id", sha.alias("commit"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("value"))
+    return each.filter("trim(value) <> ''").select("repo_id", "commit", renamed(F.col("value")).alias("path"))
 
 
 def name_status(records: DataFrame) -> DataFrame:
@@ -34,21 +39,21 @@ def name_status(records: DataFrame) -> DataFrame:
 
     Rows: repo_id, seq, line_no, epoch, status, old_path, path.
     """
-    lines = records.select("repo_id", "seq", F.split("value", "\n").alias("lines")).filter(F.trim(F.col("lines")[0]) != "")
-    each = lines.select("repo_id", "seq", F.expr("try_cast(trim(lines[0]) AS BIGINT)").alias("epoch"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("line_no", "value"))
+    held = records.select("repo_id", "seq", F.split("value", "\n").alias("lines")).filter(F.trim(F.col("lines")[0]) != "")
+    each = held.select("repo_id", "seq", F.expr("try_cast(trim(lines[0]) AS BIGINT)").alias("epoch"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("line_no", "value"))
     parts = F.split("value", "\t")
     moved = parts[0].rlike("^[RC]")
-    return each.filter(F.size(parts) > 1).select(
+    counts = (F.size(parts) > 1) & parts[0].rlike(f"^[{STATUSES}]")
+    return each.filter(counts).select(
         "repo_id", "seq", "line_no", "epoch", parts[0].alias("status"), F.when(moved, parts[1]).alias("old_path"),
         F.when(moved, F.try_element_at(parts, F.lit(3))).otherwise(parts[1]).alias("path"),
     )
 
 
-def read_records(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    """A dumped NAME_STATUS log: one file is one repository; records keep the order of the file."""
-    raw = spark.read.text(path, lineSep="\x1e").withColumn("at", F.monotonically_increasing_id()).filter("trim(value) <> ''")
-    return raw.select(F.lit(repo_id).alias("repo_id"), (F.row_number().over(W.partitionBy(F.lit(repo_id)).orderBy("at")) - 1).cast("long").alias("seq"), "value")
+def read_records(spark: SparkSession, path: str, repo_id: str | None) -> DataFrame:
+    """repo_id, value and seq (0 for the newest) of the records of dumped logs. repo_id None: by the folder of each file."""
+    return numbered(lines(spark, path, repo_id, "\x1e").filter("trim(value) <> ''"))
 
 
-def read_lines(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    return spark.read.text(path).select(F.lit(repo_id).alias("repo_id"), F.monotonically_increasing_id().alias("line_no"), "value")
+def read_lines(spark: SparkSession, path: str, repo_id: str | None) -> DataFrame:
+    return lines(spark, path, repo_id)

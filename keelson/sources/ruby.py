@@ -1,5 +1,7 @@
 """Constants and references in Ruby source text, by a tokenizer: no parser runs, and no code.
 
+Code inside `#{}` of strings, heredocs, regular expressions and word lists is read like other code.
+
 A file gives its primary constant (the first class or module that isn't inside another) and its references. A reference
 is a constant path as written, with the class and module names around it; the name of a class and its superclass lie in
 the scope outside the class. Implied references come from association macros in class bodies and from strings that are
@@ -18,6 +20,8 @@ OPENERS = frozenset(("class", "module", "def", "begin", "case", "do", "if", "unl
 ASSOCIATIONS = frozenset(("belongs_to", "has_one", "has_many", "has_and_belongs_to_many"))
 COLLECTIONS = frozenset(("has_many", "has_and_belongs_to_many"))
 WRAPPERS = frozenset(("with_options", "included", "class_eval", "class_exec"))
+# Words that something must follow; `if` behind them begins an expression, behind other values it modifies.
+EXPECTANT = frozenset(("then", "else", "elsif", "do", "begin", "ensure", "and", "or", "not", "when", "in", "if", "unless", "while", "until", "case"))
 
 TOKEN = re.compile(
     r"""
@@ -56,8 +60,28 @@ def quoted(source: str, at: int) -> int:
     return len(source)
 
 
+def interpolated(text: str) -> list[tuple[str, str]]:
+    """Tokens of the code in a string's `#{}`, each piece in brackets."""
+    out: list[tuple[str, str]] = []
+    at = 0
+    while (at := text.find("#{", at)) >= 0:
+        if at and text[at - 1] == "\\":
+            at += 2
+            continue
+        depth, i = 1, at + 2
+        while i < len(text) and depth:
+            if text[i] in "\"'`":
+                i = quoted(text, i)
+                continue
+            depth += (text[i] == "{") - (text[i] == "}")
+            i += 1
+        out += [("op", "("), *tokens(text[at + 2 : i - (not depth)]), ("op", ")")]
+        at = i
+    return out
+
+
 def tokens(source: str) -> list[tuple[str, str]]:
-    """(kind, text); heredoc bodies, comments and regular expressions are gone."""
+    """(kind, text); comments are gone, and of heredocs all but the code in them."""
     out: list[tuple[str, str]] = []
     source = re.sub(r"^=begin\b.*?^=end\b[^\n]*", "", source, flags=re.S | re.M).split("\n__END__\n")[0]
     at, pending = 0, []
@@ -67,12 +91,12 @@ def tokens(source: str) -> list[tuple[str, str]]:
         if source[at] == "/" and not value:
             end = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\])*\]|[^/\\\n])*/[a-z]*").match(source, at)
             if end:
-                out.append(("regex", end[0]))
+                out += [*interpolated(end[0]), ("regex", end[0])]
                 at = end.end()
                 continue
         if source[at] in "\"`":
             end = quoted(source, at)
-            out.append(("string", source[at:end]))
+            out += [*interpolated(source[at:end]), ("string", source[at:end])]
             at = end
             continue
         if source[at] == "?" and not value and re.compile(r"\?(?:\\.|\S)(?!\w)").match(source, at):
@@ -92,20 +116,30 @@ def tokens(source: str) -> list[tuple[str, str]]:
             continue
         at = m.end()
         if kind == "heredoc":
-            pending.append(m["tag"])
+            pending.append((m["tag"], "'" in text))
             out.append(("string", '""'))
         elif kind == "newline":
             out.append((kind, text))
             if text == "\n":
-                for tag in pending:
+                for tag, plain in pending:
                     end = re.compile(rf"^[ \t]*{tag}[ \t]*$\n?", re.M).search(source, at)
+                    if not plain and (inside := interpolated(source[at : end.start() if end else len(source)])):
+                        out += [*inside, ("newline", "\n")]
                     at = end.end() if end else len(source)
                 pending = []
         elif kind != "comment":
+            if kind == "words" and text[1] not in "wiq":
+                out += interpolated(text)
             out.append((kind, text))
     return out
 
 
+def is_value(token: tuple[str, str]) -> bool:
+    """Whether an expression may end with it."""
+    kind, text = token
+    return kind in ("const", "string", "symbol", "number", "words", "regex") or text in (")", "]", "}") or (kind == "word" and text not in EXPECTANT)
+
+
 def _camel(word: str) -> str:
     return "".join(p[:1].upper() + p[1:].lower() for p in word.split("_"))
 
@@ -136,7 +170,7 @@ class Reader:
         for kind, name in reversed(self.stack):
             if kind in ("class", "module"):
                 return True
-            if kind == "def" or (kind == "do" and name not in WRAPPERS):
+            if kind == "def" or (kind in ("do", "{") and name not in WRAPPERS):
                 return False
         return False
 
@@ -204,8 +238,8 @@ class Reader:
                 elif text == "def":
                     self._define(i)
                 elif text in ("if", "unless", "while", "until"):
-                    # behind a statement these words only modify it
-                    if line_start or before in ("=", "(", ",", "then", "else", "do", "{", "&&", "||", "<<", "!"):
+                    # behind a value these words only modify it
+                    if line_start or not i or not is_value(t[i - 1]):
                         self.stack.append((text, None))
                         loop_on_line = text in ("while", "until")
                 elif text == "for":
@@ -222,6 +256,11 @@ class Reader:
                     self.association(text, self.statement(i + 1))
             elif kind == "word" and before == "." and self.rails and text in ASSOCIATIONS and i > 1 and t[i - 2][1] == "self" and self.in_class_body():
                 self.association(text, self.statement(i + 1))
+            elif kind == "op" and text == "{":
+                self.stack.append(("{", self._caller(i)))
+            elif kind == "op" and text == "}":
+                if self.stack and self.stack[-1][0] == "{":
+                    self.stack.pop()
             elif kind == "const" and before not in (".", "&.", "def"):
                 self.refer(text, self.names())
             elif kind == "string" and self.rails and i + 2 < len(t) and t[i + 1][1] in (".", "&.") and t[i + 2][1] in ("constantize", "safe_constantize", "const_get"):

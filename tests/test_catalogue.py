@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from keelson.plans import catalogue
+from keelson.plans import catalogue, texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels pages".split()

@@ -52,7 +52,7 @@ def project(tmp_path):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(body)
     (tmp_path / "numstat").write_text("5\t1\tapp/models/user.rb\n1\t1\tapp/models/user.rb\n1\t0\tapp/models/post.rb\n")
-    (tmp_path / "names").write_text("".join(f"{i:040x}\n\napp/models/user.rb\napp/models/post.rb\n" for i in range(6)))
+    (tmp_path / "names").write_text("".join(f"\x1e{i:040x}\n\napp/models/user.rb\napp/models/post.rb\n" for i in range(6)))
     (tmp_path / "status").write_text("\x1e1700000000\n\nM\tapp/models/user.rb\n\x1e1600000000\n\nA\tapp/models/user.rb\nA\tapp/models/post.rb\n")
     (tmp_path / "modules.json").write_text(json.dumps({"modules": [{"source": f"src/{n}", "dependencies": [{"resolved": "src/hub.js"}, {"resolved": "fs"}]} for n in ("a.js", "b.ts")]}))
     (tmp_path / "lcov.info").write_text("SF:app/models/user.rb\nLF:4\nLH:2\nend_of_record\n")
@@ -94,6 +94,20 @@ def test_other_outputs(spark, project, capsys):
     assert "Dependents (6 files)" in text and "1.0000           6  app/models/post.rb" in text
     assert cli.main(["edges", "none.rb", *flags(tmp_path, root)]) == 1
     assert cli.main(["scan", str(root), "--top", "0"]) == 1
+    assert cli.main(["scan", str(root), "--diff-base", "main"]) == 1
+    (tmp_path / "changed").write_text("shop/src/a.js\nother/src/b.ts\n")
+    assert cli.main(["scan", *flags(tmp_path, root), "--changed", str(tmp_path / "changed"), "--diff-base", "main", "--log-prefix", "shop/", "--output", "json"]) == 0
+    out, err = capsys.readouterr()
+    got = json.loads(out)
+    assert [r["path"] for r in got["javascript"]] == ["src/a.js"] and not got["ruby"] and got["meta"]["diff_base"] == "main" and got["meta"]["filtered"]
+    assert "Note: with coverage data" in err and "Warning: " in err
+    (tmp_path / "changed").write_text("README.md\n")
+    (root / "app/models/bad.rb").write_text("class Bad\n")
+    (root / ".git").mkdir()
+    (root / ".git/shallow").write_text("x")
+    assert cli.main(["scan", *flags(tmp_path, root), "--changed", str(tmp_path / "changed"), "--output", "json"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert {"diff_no_scored_files", "fan_in_reference_resolution_failed", "shallow_clone_newness_disabled"} <= {w["code"] for w in got["warnings"]} and got["ruby"] == []
 
 
 def test_analysis_without_logs(spark):

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from keelson.operators import churn, coupling, quality
-from keelson.sources import coverage, files, gitlog, reports, ruby
+from keelson.sources import coverage, files, gitlog, reports, ruby, texts
 
 
 @pytest.fixture
@@ -28,6 +28,11 @@ def test_cobertura_takes_the_last_entry(spark, tmp_path, known):
     at = tmp_path / "c.XML"
     at.write_text('<coverage><packages><package><classes><class filename="./app/a.rb" line-rate="0.25"/><class filename="app/a.rb" line-rate="0.5"/><class filename="x.rb" line-rate="1"/></classes></package></packages></coverage>')
     assert rates(coverage.read(spark, str(at), known, "r")) == {"app/a.rb": 0.5}
+    at.write_text("<coverage><!-- <class filename='app/b.rb' line-rate='1'/> --><class name='a>b' line-rate='0.75'\n filename='app/a.rb'/></coverage>")
+    assert rates(coverage.read(spark, str(at), known, "r")) == {"app/a.rb": 0.75}
+    at.write_text("<coverage/>")
+    with pytest.raises(coverage.CoverageError):
+        coverage.read(spark, str(at), known, "r")
     at.write_text('<coverage><class filename="app/a.rb" line-rate="1.5"/></coverage>')
     with pytest.raises(Exception, match="line-rate"):
         coverage.read(spark, str(at), known, "r").collect()
@@ -58,10 +63,10 @@ def test_numstat_and_zero_inflation(spark, tmp_path):
 def test_coupling_counts_small_commits_and_skips_bulk(spark, tmp_path):
     log, sha = [], lambda i: f"{i:040x}"
     for i, paths in enumerate([["a", "b"]] * 3 + [["a"]] + [["b", "b", "c"]] + [["a", "b", "c", "d", "e"]]):
-        log.append(sha(i) + "\n\n" + "\n".join(paths) + "\n")
+        log.append("\x1e" + sha(i) + "\n\n" + "\n".join(paths) + "\n")
     at = tmp_path / "names"
     at.write_text("".join(log))
-    grouped = coupling.commits(gitlog.name_only(gitlog.read_lines(spark, str(at), "r")))
+    grouped = coupling.commits(gitlog.name_only(gitlog.read_records(spark, str(at), "r")))
     kept, bulk = coupling.bulk_filter(grouped, 4)
     assert bulk.count() == 1
     got = {(r.path, r.partner): (r.coupling, r.co_changes, r.own_changes) for r in coupling.pairs(kept, threshold=0.3, min_commits=3).collect()}
@@ -74,18 +79,18 @@ def test_coupling_counts_small_commits_and_skips_bulk(spark, tmp_path):
 def test_lint_and_module_reports(spark, tmp_path):
     lint = tmp_path / "lint.json"
     lint.write_text(json.dumps({"files": [{"path": "a.rb", "offenses": [{"cop_name": "Metrics/CyclomaticComplexity", "message": "too high. [7/0]"}, {"cop_name": "M", "message": "x [3/0]"}]}, {"path": "b.rb", "offenses": []}, {"path": "c.rb", "offenses": [{"cop_name": "Lint/Syntax", "message": "unexpected", "severity": "fatal"}]}]}))
-    messages = reports.ruby_lint(spark, str(lint), "r")
+    messages = reports.ruby_lint(texts.whole(spark, str(lint), "r"))
     known = spark.createDataFrame([("r", p) for p in ("a.rb", "b.rb", "d.rb")], "repo_id string, path string")
     got = {r.path: r.complexity for r in quality.max_complexity(known, messages, quality.RUBY_MESSAGE, ["repo_id", "path"]).collect()}
     assert got == {"a.rb": 7, "b.rb": 0, "d.rb": 0}
     assert [r.path for r in messages.filter("skipped").collect()] == ["c.rb"]
     js = tmp_path / "js.json"
     js.write_text(json.dumps([{"filePath": "/w/src/a.js", "messages": [{"message": "Function has a complexity of 4."}, {"message": "Method has a complexity of 9."}]}]))
-    got = quality.max_complexity(spark.createDataFrame([("r", "src/a.js")], "repo_id string, path string"), reports.js_lint(spark, str(js), "r", "/w"), quality.JS_MESSAGE, ["repo_id", "path"]).first()
+    got = quality.max_complexity(spark.createDataFrame([("r", "src/a.js")], "repo_id string, path string"), reports.js_lint(texts.whole(spark, str(js), "r"), "/w"), quality.JS_MESSAGE, ["repo_id", "path"]).first()
     assert got.complexity == 9
     deps = tmp_path / "deps.json"
     deps.write_text(json.dumps({"modules": [{"source": "src/a.js", "dependencies": [{"resolved": "src/h.js"}, {"resolved": "src/h.js"}, {"resolved": "src/a.js"}]}, {"source": "src/h.js", "dependencies": []}]}))
-    assert reports.modules(spark, str(deps), "r").count() == 3
+    assert reports.modules(texts.whole(spark, str(deps), "r")).count() == 3
 
 
 def test_collector(spark, tmp_path):
@@ -117,17 +122,21 @@ module Admin
     items.each do
       has_one :ignored
     end
+    others.each { has_one :ignored_too }
+    included { has_one :kept }
     def short(x) = x.to_s
     def call
       return Plan unless x > 1
       y = if Billing::Plan.active? then 1 else 2 end
-      "#{z("Nested::Text")}".strip
+      "#{z("Nested::Text")} #{Within.new("#{Inmost::One}")} \\#{Not}".strip
+      v = y.z ? if a then Chosen end : [*if b then Listed end]
+      puts %W[#{Worded} Plain], /a#{Matched}/ unless Guard
       "Foo::Bar".constantize
       Object.new
       Kernel.const_get(:X)
       while y do break end
       <<~SQL
-        SELECT Fake FROM Other
+        SELECT Fake FROM Other #{Table.name}
       SQL
       y =~ /Regex::Const/
       ::Top::Level
@@ -146,7 +155,7 @@ def test_ruby_references():
     body = ("Admin", "User")
     got = {(tuple(n), name, a) for n, name, a in refs}
     want = {(("Admin",), "Base::Record", False), (("Admin",), "User", False), ((), "Admin", False)}
-    want |= {(body, n, False) for n in ("Account", "Shop::Item", "Category", "Plain", "Profile", "Plan", "Billing::Plan", "Object", "Kernel", "Deep", "NAMES")}
+    want |= {(body, n, False) for n in ("Account", "Shop::Item", "Category", "Plain", "Profile", "Plan", "Billing::Plan", "Object", "Kernel", "Deep", "NAMES", "Within", "Inmost::One", "Chosen", "Listed", "Worded", "Matched", "Guard", "Table", "Kept")}
     want |= {(body, "Foo::Bar", True), (body, "Top::Level", True)}
     assert got == want
     assert not any(name == "Account" for _, name, _ in ruby.extract(SOURCE, rails=False)[1])
@@ -157,3 +166,11 @@ def test_ruby_compact_names_and_bad_sources():
     assert ruby.extract(b"class A\n")[2] is False
     assert ruby.extract(b"\xff")[2] is False
     assert ruby.extract(None) == (None, [], True)
+
+
+def test_records_of_many_repositories_keep_their_order(spark, tmp_path):
+    for repo, n in (("one", 300), ("two", 7)):
+        (tmp_path / repo).mkdir()
+        (tmp_path / repo / "log").write_text("".join(f"\x1e{1000 - i}\n\nM\tf{i}\nT\tlink\n" for i in range(n)))
+    rows = gitlog.name_status(gitlog.read_records(spark, str(tmp_path / "*" / "log"), None)).collect()
+    assert sorted((r.repo_id, r.seq, r.epoch, r.path) for r in rows) == [(repo, i, 1000 - i, f"f{i}") for repo, n in (("one", 300), ("two", 7)) for i in range(n)]
