@@ -84,8 +84,6 @@ def test_other_outputs(spark, project, capsys):
     assert cli.main(["scan", *flags(tmp_path, root), "--output", "markdown", "--top", "1"]) == 0
     text = capsys.readouterr().out
     assert "| 1 | ruby | app/models/user.rb |" in text and "post.rb | 0." not in text
-    assert cli.main(["scan", *flags(tmp_path, root), "--only", "src/a.js"]) == 0
-    assert "src/a.js" in capsys.readouterr().out
     assert cli.main(["scan", *flags(tmp_path, root), "--output", "csv", "--csv-dir", str(tmp_path / "csv")]) == 0
     lines = next((tmp_path / "csv").glob("part-*.csv")).read_text().splitlines()
     assert lines[0].startswith("rank,language,file,score") and lines[1].startswith("1,ruby,app/models/user.rb,") and len(lines) == 11 and lines[-1].endswith(',""')
@@ -94,20 +92,21 @@ def test_other_outputs(spark, project, capsys):
     assert "Dependents (6 files)" in text and "1.0000           6  app/models/post.rb" in text
     assert cli.main(["edges", "none.rb", *flags(tmp_path, root)]) == 1
     assert cli.main(["scan", str(root), "--top", "0"]) == 1
+
+
+def test_diff_of_a_shallow_clone(spark, project, capsys):
+    tmp_path, root = project
     assert cli.main(["scan", str(root), "--diff-base", "main"]) == 1
     (tmp_path / "changed").write_text("shop/src/a.js\nother/src/b.ts\n")
+    (root / "app/models/bad.rb").write_text("class Bad\n")
+    (root / ".git").mkdir()
+    (root / ".git/shallow").write_text("x")
     assert cli.main(["scan", *flags(tmp_path, root), "--changed", str(tmp_path / "changed"), "--diff-base", "main", "--log-prefix", "shop/", "--output", "json"]) == 0
     out, err = capsys.readouterr()
     got = json.loads(out)
     assert [r["path"] for r in got["javascript"]] == ["src/a.js"] and not got["ruby"] and got["meta"]["diff_base"] == "main" and got["meta"]["filtered"]
+    assert {"fan_in_reference_resolution_failed", "shallow_clone_newness_disabled"} <= {w["code"] for w in got["warnings"]}
     assert "Note: with coverage data" in err and "Warning: " in err
-    (tmp_path / "changed").write_text("README.md\n")
-    (root / "app/models/bad.rb").write_text("class Bad\n")
-    (root / ".git").mkdir()
-    (root / ".git/shallow").write_text("x")
-    assert cli.main(["scan", *flags(tmp_path, root), "--changed", str(tmp_path / "changed"), "--output", "json"]) == 0
-    got = json.loads(capsys.readouterr().out)
-    assert {"diff_no_scored_files", "fan_in_reference_resolution_failed", "shallow_clone_newness_disabled"} <= {w["code"] for w in got["warnings"]} and got["ruby"] == []
 
 
 def test_analysis_without_logs(spark):
