@@ -4,8 +4,8 @@ All stages but the last return the columns of documents, whatever other columns
 an empty table passes through. Rows are told apart by id and text; of rows equal in both, one stays, chosen by a hash of
 the other columns, so reruns agree. By stage:
 
-1. Language ID. Goes: null texts, texts without a letter, and texts in which the network isn't at least as close to
-   certain as to chance. Ids, sources and labels don't matter; null labels are never learnt. Without any label all go.
+1. Language ID. Goes: null texts, texts without a letter, and texts whose best language stands less than a third of
+   the way from chance to certainty (short or mixed ones). Ids, sources and labels don't matter; null labels are never learnt. Without any label all go.
 2. Exact dedup. Of texts equal without white space the one with the most code points stays, then the smallest id (null
    last). An empty text is a text like others.
 3. N-gram Jaccard join. Of each group of linked documents the smallest id stays (null last). Texts without shingles stay.
@@ -22,8 +22,8 @@ from pyspark.sql import Window as W
 from keelson.llm import byte_bpe, common, exact_dedup, jaccard_join, language_id, mixing
 from keelson.llm.queries import tokenizer
 
-#: Where between chance (0) and certainty (1) a language counts as recognised.
-LEAST_CERTAINTY = 0.5
+#: Where between chance (0) and certainty (1) a language counts as recognised; with four languages, a score of one half.
+LEAST_CERTAINTY = 1 / 3
 
 
 def _keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
