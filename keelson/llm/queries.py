@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, mixing, pii, quality_rules, substring_dedup, url_filter
-from .common import table
+from . import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, mixing, pii, quality_rules, substring_dedup, tokenizer_alignment, url_filter
+from .common import shared_dir, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_quality_rules, op4_chat_format, op5_language_id, op6_mixing, op7_jaccard_join, op8_exact_dedup, op9_byte_bpe, op10_pii)}
+def _vocabulary(name: str) -> bytes:
+    """Read on the driver, for executors may lack the folder."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    models = _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model")
+    return tokenizer_alignment.align(table(spark, sf_dir, "documents"), *models, public_tokenizers.PATTERN, home=shared_dir(spark))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_quality_rules, op4_chat_format, op5_language_id, op6_mixing, op7_jaccard_join, op8_exact_dedup, op9_byte_bpe, op10_pii, op11_tokenizer_alignment)}
 
 _N = "('0x' || substr(d, {}, {}))::INT"
 
