@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, jaccard_join, language_id, mixing, pii, quality_rules, substring_dedup, tokenizer_alignment, url_filter
+from . import byte_bpe, chat_format, embedding_dedup, exact_dedup, hard_negatives, jaccard_join, language_id, mixing, pii, quality_rules, substring_dedup, tokenizer_alignment, url_filter
 from .common import shared_dir, table
 
 
@@ -103,7 +103,18 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_alignment.align(table(spark, sf_dir, "documents"), *models, public_tokenizers.PATTERN, home=shared_dir(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_quality_rules, op4_chat_format, op5_language_id, op6_mixing, op7_jaccard_join, op8_exact_dedup, op9_byte_bpe, op10_pii, op11_tokenizer_alignment)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the labels is wrong by one, so that rows of one origin stand on both sides."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, label, F.col("vec_id") % 100 == 0, home=shared_dir(spark))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), home=shared_dir(spark))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_quality_rules, op4_chat_format, op5_language_id, op6_mixing, op7_jaccard_join, op8_exact_dedup, op9_byte_bpe, op10_pii, op11_tokenizer_alignment, op12_hard_negatives, op13_embedding_dedup)}
 
 _N = "('0x' || substr(d, {}, {}))::INT"
 
@@ -185,4 +196,32 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, place = 1 AS kept, text_sha256 FROM ranked
 """
 
-ORACLES = {"op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+OP12_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+OP13_SQL = """
+WITH RECURSIVE rows AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM rows a JOIN rows b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = r.a) AS n_links, min(b) AS component_id, a = min(b) AS kept FROM reached r GROUP BY a
+"""
+
+ORACLES = {"op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_hard_negatives": OP12_SQL, "op13_embedding_dedup": OP13_SQL}
