@@ -10,8 +10,7 @@ linked are therefore listed from the two vocabularies alone (`linkable`; no more
 corpus. A first pass writes each text's links as numbers of such pairs to the shared folder; Spark counts them; the
 counts, an array of that length, go back to the tasks, which read the table again and sum up.
 
-Texts are encoded through a memory of pieces. A side's splitter cuts a text where no merge can cross; the pieces that a
-task hasn't met go to the tokenizer's library. Texts whose cuts aren't known for certain go there whole.
+Encoding is left to the tokenizers' own libraries, inside the tasks.
 
 Defined results: null and empty texts, and those whose tokens don't spell a space and the text, have no tokens: zeros and
 an empty digest. Null, repeated and clashing ids are ids like others, equal rows get equal rows and count as often as
@@ -34,11 +33,12 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, common
 
-#: Pieces that a task remembers, and the length of those worth it.
-REMEMBERED, SHORT = 400_000, 48
 #: Bytes of text that are aligned at a time, and the tokens whose decimal ids are spelt at a time.
 AT_A_TIME, SPELT = 1 << 20, 1 << 18
 WORD_START = "▁"
+WIDE = re.compile("[^\x00-\xff]")
+#: Rows whose links are summed up at a time.
+SUMMED = 500
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,68 +49,85 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer. strings: the bytes of every id; split: pieces of a text, or None if they aren't certain."""
+    """One tokenizer. strings: the bytes of every id; encode: the ids of each text, a space before it included."""
 
-    def __init__(self, strings: list[bytes], split: Callable[[str], list[str] | None], encode: Callable[[list[str]], list[list[int]]], whole: Callable[[list[str]], list[list[int]]]):
-        self.strings, self.split, self.encode, self.whole = strings, split, encode, whole
+    def __init__(self, strings: list[bytes], encode: Callable[[list[str]], list[list[int]]]):
+        self.strings, self.encode = strings, encode
         self.spell = byte_bpe.Speller(dict(enumerate(strings)))
         self.length = self.spell.length
-        self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        split = [self.split(t) for t in texts]
-        new = list(set().union(*(s for s in split if s is not None)).difference(self.known))
-        got = {p: np.array(ids, np.int32).tobytes() for p, ids in zip(new, self.encode(new), strict=True)} if new else {}
-        self.known.update((p, ids) for p, ids in got.items() if len(p) <= SHORT)
-        known = self.known | got if any(len(p) > SHORT for p in got) else self.known
-        odd = iter(self.whole([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [np.array(next(odd), np.int32) if s is None else np.frombuffer(b"".join(map(known.__getitem__, s)), np.int32) for s in split]
-
-
-def byte_level(model: str, pattern: str) -> Side:
-    """A byte-level BPE of the tokenizers library; takes a space and the text."""
+        return [np.array(ids, np.int32) for ids in self.encode(texts)]
+
+
+def byte_level(model: str, pattern: str, by_rank: bool = False) -> Side:
+    """A byte-level BPE of the tokenizers library, or with by_rank (see `ranked`) of the faster tiktoken library.
+
+    The two libraries' own tables of letters could differ, so the second one gets Latin-1 texts only.
+    """
     from tokenizers import Tokenizer
 
-    coder = Tokenizer.from_str(model)
-    coder.encode_special_tokens = True
-    alphabet, short = byte_alphabet(), byte_bpe.splitter(pattern)
-    names = {**json.loads(model)["model"]["vocab"], **{x["content"]: x["id"] for x in json.loads(model).get("added_tokens", [])}}
+    held, alphabet = json.loads(model), byte_alphabet()
+    names = {**held["model"]["vocab"], **{x["content"]: x["id"] for x in held.get("added_tokens", [])}}
     strings = [b""] * (max(names.values()) + 1)
     for name, i in names.items():
         strings[i] = bytes(alphabet[c] for c in name) if all(c in alphabet for c in name) else name.encode()
 
-    def split(text: str) -> list[str] | None:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return None  # the library's own tables of letters decide
-        return short(" " + text)
+    @functools.cache
+    def library() -> Tokenizer:
+        coder = Tokenizer.from_str(model)
+        coder.encode_special_tokens = True
+        return coder
 
     def ids(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in coder.encode_batch(texts, add_special_tokens=False)] if texts else []
+        return [e.ids for e in library().encode_batch([" " + t for t in texts], add_special_tokens=False)] if texts else []
 
-    return Side(strings, split, ids, lambda texts: ids([" " + t for t in texts]))
+    if not by_rank:
+        return Side(strings, ids)
+    import tiktoken
 
+    added = {x["id"] for x in held.get("added_tokens", [])}
+    coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={s: i for i, s in enumerate(strings) if s and i not in added}, special_tokens={})
 
-def word_pieces(model: bytes) -> Side:
-    """A BPE of the sentencepiece library that puts a space before the text by itself.
+    def faster(texts: list[str]) -> list[list[int]]:
+        narrow = [t.isascii() or not WIDE.search(t) for t in texts]
+        rest = iter(ids([t for t, n in zip(texts, narrow, strict=True) if not n]))
+        return [coder.encode_ordinary(" " + t) if n else next(rest) for t, n in zip(texts, narrow, strict=True)]
+
+    return Side(strings, faster)
 
-    Where no entry of the vocabulary has a word start behind another character, no merge crosses from one word to the next.
+
+def ranked(model: str) -> bool:
+    """Whether merging by the ids' order gives what the list of merges gives.
+
+    So it is if merges make the ids in their order, each from two tokens that its bytes alone come to before it. Then two
+    neighbours that spell a token are the pair it is made of, for nothing has merged across their ends.
     """
+    held, alphabet = json.loads(model)["model"], byte_alphabet()
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in held["merges"]]
+    if any(held["vocab"].get(a + b) != len(alphabet) + k for k, (a, b) in enumerate(merges)) or len({a + b for a, b in merges}) < len(merges):
+        return False
+    rank = {pair: k for k, pair in enumerate(merges)}
+    for pair in merges:
+        parts = list("".join(pair))
+        while len(parts) > 2:
+            least = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), len(rank)))
+            if (parts[least], parts[least + 1]) not in rank:
+                return False
+            parts[least : least + 2] = [parts[least] + parts[least + 1]]
+        if tuple(parts) != pair:
+            return False
+    return True
+
+
+def word_pieces(model: bytes) -> Side:
+    """A BPE of the sentencepiece library, which puts the space before the text by itself."""
     import sentencepiece
 
     coder = sentencepiece.SentencePieceProcessor(model_proto=model)
     names = [coder.id_to_piece(i) for i in range(coder.get_piece_size())]
     strings = [bytes([int(n[3:5], 16)]) if coder.is_byte(i) else n.replace(WORD_START, " ").encode() for i, n in enumerate(names)]
-    apart = not any(re.search(f"[^{WORD_START}]{WORD_START}", n) for i, n in enumerate(names) if not coder.is_control(i) and not coder.is_unknown(i))
-    words = re.compile(r" +[^ ]+| +").findall
-    ids = lambda texts: coder.encode(texts, num_threads=1) if texts else []
-    lone = [coder.piece_to_id(WORD_START)]
-    # each word begins with a space, which the library adds by itself, but not to nothing
-    each = lambda pieces: [x or lone for x in ids([p[1:] for p in pieces])]
-    return Side(strings, lambda t: words(" " + t) if apart and WORD_START not in t else None, each, ids)
+    return Side(strings, lambda texts: coder.encode(texts, num_threads=1) if texts else [])
 
 
 def linkable(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -153,7 +170,8 @@ def aligned(end_a: np.ndarray, end_b: np.ndarray) -> dict[str, np.ndarray]:
 class Aligner:
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
-        self.pairs = linkable(a.strings, b.strings)
+        pairs = linkable(a.strings, b.strings)
+        self.pair = byte_bpe.PairTable(*np.divmod(pairs, len(b.strings)), np.arange(len(pairs)))
         numbers = {}
         for k, (side, separator) in enumerate(((a, ","), (a, "|"), (b, ","), (b, ";"))):
             base = (k > 0) * len(a.strings) + (k > 1) * len(a.strings) + (k > 2) * len(b.strings)
@@ -177,7 +195,7 @@ class Aligner:
         ends, own_a, own_b, closes = cut(end_a, end_b)
         last_a, last_b = own_a[closes], own_b[closes]
         n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
-        links = np.searchsorted(self.pairs, a[last_a].astype(np.int64) * self.last_b + b[last_b]).astype(np.int32)
+        links = self.pair(a[last_a], b[last_b])
         # a group's tokens of a, then those of b; the last of each has a separator of its own
         code_a, code_b = a.astype(np.int64), b.astype(np.int64) + self.in_b
         code_a[last_a] += self.last_a
@@ -207,9 +225,9 @@ COUNTS = ("n_a", "n_b", "n_groups", "n_overlaps", "n_products")
 
 
 @functools.lru_cache(maxsize=2)
-def _aligner(model_a: bytes, model_b: bytes, pattern: str) -> Aligner:
+def _aligner(model_a: bytes, model_b: bytes, pattern: str, by_rank: bool) -> Aligner:
     """Kept by the worker for its next tasks."""
-    return Aligner(byte_level(model_a.decode(), pattern), word_pieces(model_b))
+    return Aligner(byte_level(model_a.decode(), pattern, by_rank), word_pieces(model_b))
 
 
 def align(docs: DataFrame, model_a: bytes, model_b: bytes, pattern: str, *, home: str) -> DataFrame:
@@ -219,11 +237,11 @@ def align(docs: DataFrame, model_a: bytes, model_b: bytes, pattern: str, *, home
     """
     docs = docs.select("doc_id", "text")
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    models = spark.sparkContext.broadcast((model_a, model_b))
+    models = spark.sparkContext.broadcast((model_a, model_b, pattern, ranked(model_a.decode())))
     names = ["doc_id", *COUNTS, "groups_sha256", "links"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(*models.value, pattern)
+        aligner = _aligner(*models.value)
         for batch in batches:
             for start, end in common.slices(batch, "text", AT_A_TIME):
                 part = batch.slice(start, end - start)
@@ -246,7 +264,7 @@ def align(docs: DataFrame, model_a: bytes, model_b: bytes, pattern: str, *, home
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, best = known.value
-        for batch in batches:
+        for batch in (whole.slice(at, SUMMED) for whole in batches for at in range(0, whole.num_rows, SUMMED)):
             held = batch.column("links")
             values, offsets = held.flatten().to_numpy(), held.offsets.to_numpy().astype(np.int64)
             offsets = offsets - offsets[0]
