@@ -9,16 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 
-def meet(targets: DataFrame, requests: DataFrame, keys: list[str], work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, *, most: tuple[int, int]) -> DataFrame:
+
+def meet(targets: DataFrame, requests: DataFrame, keys: list[str], work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, *, most: tuple[int, int], home: str) -> DataFrame:
     """work(targets, requests) of each pair of blocks with equal keys. Both sides have `rid`, a number that spreads their rows.
 
     A cell with more than `most` targets or requests is cut into as many blocks as its counts ask for, and every block of
     its targets meets every block of its requests, so no task gets more than about `most` rows of either, however many a
-    cell holds. Cells that lack a side go nowhere.
+    cell holds. Cells that lack a side go nowhere. The counts are a table under `home`, so that both joins with it are
+    between plain exchanges and Spark can split a cell there, too.
     """
     n = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_t")).join(requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_q")), keys)
-    cuts = n.select(*keys, F.ceil(F.col("n_t") / most[0]).cast("int").alias("t_cuts"), F.ceil(F.col("n_q") / most[1]).cast("int").alias("q_cuts"))
+    cuts = common.keep(n.select(*keys, F.ceil(F.col("n_t") / most[0]).cast("int").alias("t_cuts"), F.ceil(F.col("n_q") / most[1]).cast("int").alias("q_cuts")), home)
     own = lambda cuts: F.pmod(F.xxhash64("rid"), F.col(cuts)).cast("int")
     every = lambda cuts: F.explode(F.sequence(F.lit(0), F.col(cuts) - 1))
     t = targets.join(cuts, keys).withColumns({"t_block": own("t_cuts"), "asks": F.lit(False)}).withColumn("q_block", every("q_cuts"))

@@ -147,8 +147,8 @@ def dedup(vectors: DataFrame, *, home: str, cosine: float = COSINE, reach: float
         return pa.table({"rid": pa.array(rid, pa.int64()), "links": pa.array(links, pa.int64()), "other": other})
 
     requests = placed.select("label", "v", "rid", "n", F.col("cell").alias("at"), F.explode("visited").alias("cell"))
-    requests = requests.withColumn("own", F.col("at") == F.col("cell")).drop("at")
-    found = blocks.meet(placed.drop("visited"), requests, ["label", "cell"], verify, "rid long, links long, other long", most=BLOCK)
+    requests = common.keep(requests.withColumn("own", F.col("at") == F.col("cell")).drop("at"), f"{home}/requests")
+    found = blocks.meet(placed.drop("visited"), requests, ["label", "cell"], verify, "rid long, links long, other long", most=BLOCK, home=f"{home}/cuts")
     found = common.keep(found, f"{home}/found")
     links = found.filter("other IS NULL").groupBy("rid").agg(F.sum("links").alias("links"))
     labels = components(found.filter("other IS NOT NULL").select(F.col("rid").alias("a"), F.col("other").alias("b")), f"{home}/components")

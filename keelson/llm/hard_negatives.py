@@ -107,7 +107,7 @@ class Index:
             if requests.isEmpty():
                 break
             held = self.rows.select("cell", "rid", "vec_id", "label", "v")
-            met = blocks.meet(held, requests, ["cell"], self._best(k, same), "qid long, score double, vec_id long, rid long", most=BLOCK)
+            met = blocks.meet(held, requests, ["cell"], self._best(k, same), "qid long, score double, vec_id long, rid long", most=BLOCK, home=f"{home}/cuts{asked}")
             met = met if found is None else met.unionByName(found.drop("rank"))
             found = common.keep(met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), f"{home}/found{asked}")
             asked, size = asked + size, size * GROWTH
