@@ -28,7 +28,7 @@ def loc(content: Column) -> Column:
 
 def is_generated(text: Column) -> Column:
     """Whether the first line that isn't blank says so."""
-    first = F.try_element_at(F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0), F.lit(1))
+    first = F.try_element_at(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S")), F.lit(1))
     return F.coalesce(first.rlike(r"(?i)^\s*#\s*This file is auto-generated"), F.lit(False))
 
 

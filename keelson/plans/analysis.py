@@ -22,7 +22,7 @@ GROUPS = ("ruby", "javascript")
 class Inputs:
     """files: repo_id, path, language, lang_group, loc, ordinal (sources.files.collect). The others may be None.
 
-    changes: numstat rows; commits: name-only rows; log: name-status rows; ruby: primary, refs, parsed of Ruby files;
+    changes: numstat rows; commits: name-only rows; log: name-status rows; ruby: the references of Ruby files;
     lint: group -> messages; modules: JavaScript edges; coverage: group -> line rates.
     """
 
@@ -62,9 +62,9 @@ def dependencies(inputs: Inputs, group: str) -> tuple[DataFrame, DataFrame]:
     files = inputs.files.filter(F.col("lang_group") == group)
     nothing = files.select("repo_id", F.col("path").alias("src"), F.col("path").alias("dst")).limit(0)
     if group == "ruby" and inputs.ruby is not None:
-        owners = files.join(inputs.ruby.select(*KEYS, "primary"), KEYS, "left")
+        owners = files.join(inputs.ruby.select(*KEYS, "primary").distinct(), KEYS, "left")
         owners = owners.select(*KEYS, F.coalesce(path_constant(F.col("path")), F.col("primary")).alias("constant")).filter("constant IS NOT NULL")
-        refs = inputs.ruby.join(files.select(*KEYS), KEYS, "left_semi").select(*KEYS, F.explode("refs").alias("r")).select(*KEYS, "r.*")
+        refs = inputs.ruby.filter("name IS NOT NULL").join(files.select(*KEYS), KEYS, "left_semi")
         return graph.constant_graph(files, refs, owners)
     raw = inputs.modules if group == "javascript" and inputs.modules is not None else nothing
     edges = graph.edges(raw, files)

@@ -143,25 +143,27 @@ def module_report(spark, sf_dir):
 
 
 @query(f"""WITH {q.EDGES}, numbered AS (SELECT src, split_part(src, '/', 2) AS s, split_part(dst, '/', 2)::BIGINT AS d FROM edges)
-SELECT src AS path, 'P' || s AS owner, 'P' || d AS name, CASE d % 6 WHEN 2 THEN '' ELSE 'P' || s END AS namespace, d % 6 = 2 AS absolute, count(*) AS n FROM numbered WHERE d % 6 <> 3 GROUP BY ALL
+SELECT src AS path, 'P' || s AS owner, 'P' || d AS name, CASE d % 11 WHEN 2 THEN '' ELSE 'P' || s END AS namespace, d % 11 = 2 AS absolute, count(*) AS n FROM numbered WHERE d % 11 NOT IN (3, 7, 8) GROUP BY ALL
 UNION ALL SELECT DISTINCT src, 'P' || s, 'P' || s, '', false, 1 FROM numbered""")
 def ruby_references(spark, sf_dir):
+    """A class for each part, with a line for each part that it has an edge to; lines of 3, 7 and 8 hold no reference."""
     number = lambda x: F.split_part(x, F.lit("/"), F.lit(2))
-    bodies = {0: "  belongs_to :p_{}\n", 1: '  x = "#{{P{}.new("a}}")}}"\n', 2: "  ::P{}.call unless x\n", 3: "  items.each {{ has_one :p_{} }}\n", 4: "  y = z.q ? if a then P{} end : 2\n", 5: "  z <<~SQL\n    FROM Other #{{P{}.table}}\n  SQL\n"}
+    bodies = (
+        "  belongs_to :p_@\n", '  x = "#{P@.new("a}")}"\n', "  ::P@.call unless x\n", "  items.each { has_one :p_@ }\n", "  y = z.q ? if a then P@ end : 2\n", "  z <<~SQL\n    FROM Other #{P@.table}\n  SQL\n",
+        "  w = %Q<end #{P@.new} <class Other> end>\n", "  P@ = %w[class P@ end] + %i(a (P@) do)\n", "  z %q|P@ end|, P@: %r{{P@}}, q: 'P@'\n", "  y = 1..P@ while z /P(@)/i\n", "  def m@(x) = x.y { |a| a || P@ }\n",
+    )
 
     def line(d):
         made = None
-        for k, body in bodies.items():
-            before, after = body.split("{}", 1) if "{{" not in body else body.replace("{{", "\0").replace("}}", "\1").split("{}", 1)
-            plain = lambda x: F.lit(x.replace("\0", "{").replace("\1", "}"))
-            text, here = F.concat(plain(before), d, plain(after)), d.cast("long") % 6 == k
-            made = F.when(here, text) if made is None else made.when(here, text)
+        for k, body in enumerate(bodies):
+            parts = [x for text in body.split("@") for x in (F.lit(text), d)][:-1]
+            here = d.cast("long") % len(bodies) == k
+            made = F.when(here, F.concat(*parts)) if made is None else made.when(here, F.concat(*parts))
         return made
 
     source = F.concat(F.lit("class P"), number(F.col("src")), F.lit("\n"), F.array_join(F.transform("dsts", lambda d: line(number(d))), ""), F.lit("end\n"))
     read = ruby.references(_dependencies(spark, sf_dir).select(F.lit(t.REPO).alias("repo_id"), F.col("src").alias("path"), F.encode(source, "UTF-8").alias("content")))
-    each = read.filter("parsed").select("path", F.col("primary").alias("owner"), F.explode("refs").alias("r"))
-    shown = each.select("path", "owner", "r.name", F.when(F.col("r.absolute"), F.lit("")).otherwise(F.array_join("r.namespace", "::")).alias("namespace"), "r.absolute")
+    shown = read.filter("parsed AND name IS NOT NULL").select("path", F.col("primary").alias("owner"), "name", F.when(F.col("absolute"), F.lit("")).otherwise(F.array_join("namespace", "::")).alias("namespace"), "absolute")
     return shown.withColumn("n", F.lit(1).cast("long"))
 
 

@@ -161,6 +161,52 @@ def test_ruby_references():
     assert not any(name == "Account" for _, name, _ in ruby.extract(SOURCE, rails=False)[1])
 
 
+# a source and the names that it refers to
+RUBY = {
+    b'w = %Q{#{Real} end}\n': "Real", b"%q|class Foo end|\n": "", b"W = %Q<#{Real} end>\n": "Real", b"%w(a (b) c).each do |x| Foo end\n%r{a/#{B}}x =~ C\n%x(ls #{D})\n%s(e)\n": "Foo B C D",
+    b"class A; X = %w[a]; end\n": "A", b"A::B = 1\nC ||= D\nE, F = G, H\n": "A D G H", b"x = 1..MAX\n3.times { Foo }\n": "MAX Foo", b'Integer("3")\nFoo::Bar(1)\nRational 1, 2\n': "Foo",
+    b"f(Foo: 1, bar: Baz)\n": "Baz", b"a = $'\nb = Foo\n": "Foo", b"class A < Struct.new(:x)\n Y\nend\n": "A Struct Y", b"foo /a#{B}/, C\nx / y / D\n": "B C D", b"a = b ? C : D\n": "C D",
+    b"def x=(v)\n  @x = Foo\nend\ndef y = Bar\ndef self.z(a) = Baz.new(a)\ndef ==(o)\n  Q\nend\ndef []=(k,v)\n S\nend\n": "Foo Bar Baz Q S", b"while x do Foo end\nfor a in B do C end\nuntil D\n E\nend\nbegin\n F\nend while G\n": "Foo B C D E F G",
+    b"x = <<~A + <<-B\n #{Foo}\nA\n #{Bar} end\n  B\nBaz\n": "Foo Bar Baz", b"case x\nin Foo(a:) then Bar\nin {b: Baz}\n Q\nend\n": "Foo Bar Baz Q", b"return if Foo\nraise Bar unless Baz\n": "Foo Bar Baz",
+    b"def class; A; end\nx.class.end\n": "A", b"=begin\nFoo\n=end\nBar\n__END__\nBaz\n": "Bar", b'"#{a ? "x#{B}" : \'}\'}" + C\n': "B C", b"p ?a, ?\\n, Foo\nx ? ?a : Bar\n": "Foo Bar", b"foo::Bar\nFoo::baz\n": "Foo", b"def Foo.bar; end\nalias end x\n": "Foo",
+}
+
+
+@pytest.mark.parametrize("source", RUBY)
+def test_ruby_literals_and_constants(source):
+    _, refs, parsed = ruby.extract(source, rails=False)
+    assert parsed and {name for _, name, _ in refs} == set(RUBY[source].split())
+
+
+def test_ruby_scopes_of_superclasses():
+    refs = ruby.extract(b"module M\n class A < B; end\n class C < D.new(E); end\nend\n")[1]
+    assert {(tuple(n), name) for n, name, _ in refs} == {((), "M"), (("M",), "A"), (("M",), "B"), (("M",), "C"), (("M", "C"), "D"), (("M", "C"), "E")}
+
+
+def test_ruby_blocks_of_class_bodies():
+    refs = ruby.extract(b"class A\n  concern.included do\n    has_one :b\n  end\n  list.each do\n    has_one :c\n  end\n  x = with_options(y) do |z|\n    has_one :d\n  end\n  self.has_many :es\n  z.has_one :f\n  'G'&.constantize\nend\n")[1]
+    assert {name for _, name, _ in refs} == {"A", "B", "D", "E"}
+
+
+@pytest.mark.parametrize("source", [b"end\n", b'x = "a\n', b"foo(\n", b"if x\n", b"x = <<~A\n b\n", b")\n", b"def a\n  if x\nend\n", b"%w[a\n", b"(]\n"])
+def test_ruby_that_is_refused(source):
+    assert ruby.extract(source) == (None, [], False)
+
+
+def test_ruby_rows(spark):
+    files = spark.createDataFrame([("r", "a.rb", b"class A; B; end"), ("r", "b.rb", b""), ("r", "c.rb", b"class"), ("r", "d.rb", None), ("r", "e.rb", b"end")], "repo_id string, path string, content binary")
+    got = sorted((r.path, r.primary or "", r.name or "", r.parsed) for r in ruby.references(files).collect())
+    assert got == [("a.rb", "A", "A", True), ("a.rb", "A", "B", True), ("b.rb", "", "", True), ("c.rb", "", "", True), ("d.rb", "", "", True), ("e.rb", "", "", False)]
+
+
+@pytest.mark.parametrize("blank", ["\t\n", "\r\n", " \x0b\n\f\n", ""])
+def test_blank_lines_before_a_generated_files_note(spark, blank):
+    from keelson.operators.quality import is_generated
+
+    made = spark.createDataFrame([(f"{blank}# This file is auto-generated",)], "text string")
+    assert made.select(is_generated(made.text)).first()[0]
+
+
 def test_ruby_compact_names_and_bad_sources():
     assert ruby.extract(b"class A::B::C\n  X\nend\n")[:2] == ("A::B::C", [([], "A::B::C", False), (["A::B::C"], "X", False)])
     assert ruby.extract(b"class A\n")[2] is False
