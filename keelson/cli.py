@@ -8,8 +8,6 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -18,11 +16,12 @@ from pyspark.sql import functions as F
 
 from . import __version__
 from .config import OptionError, Options, formula, parse_weights
-from .operators import coupling, history, reports, scoring
+from .operators import commits, coupling, history, reports, scoring
 from .plans import writers
 from .plans.analysis import Inputs, analyse, results, selected
 from .sources import coverage, files, gitlog, ruby, texts
 from .sources import reports as tools
+from .sources.kept import NoSharedFolder, keeper
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "edges":
             p.add_argument("file")
         p.add_argument("path", nargs="?", default=".")
-        for flag in ("numstat", "name-only", "name-status", "ruby-lint", "js-lint", "modules", "ruby-coverage", "js-coverage", "coverage", "diff-base", "csv-dir", "log-prefix"):
+        for flag in ("numstat", "name-only", "name-status", "ruby-lint", "js-lint", "modules", "ruby-coverage", "js-coverage", "coverage", "diff-base", "commits", "csv-dir", "log-prefix"):
             p.add_argument(f"--{flag}")
         p.add_argument("--changed", help="file with the changed paths from the top of the repository, a path to a line: git diff --name-only --diff-filter=d BASE...HEAD")
         p.add_argument("--only", help="paths, comma-separated")
@@ -69,21 +68,6 @@ def options_of(args: argparse.Namespace) -> Options:
     return out.validate()
 
 
-def keeper(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes rows to a new folder under the one that the cluster names, or in local mode to a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise OptionError("Error: spark.checkpoint.dir has to name a folder that the driver and all executors share.")
-    base = base or f"file://{tempfile.mkdtemp(prefix='keelson-')}"
-
-    def keep(rows: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/keelson-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return spark.read.schema(rows.schema).parquet(path)
-
-    return keep
-
-
 def is_shallow(path: str) -> bool:
     """Whether the clone that the folder lies in keeps a list of cut commits; `.git` may be a file that names the folder."""
     at = os.path.abspath(path)
@@ -119,9 +103,11 @@ def wanted_paths(spark: SparkSession, args: argparse.Namespace, options: Options
 
     Those of a diff and of --only count from the top of the repository, of which --log-prefix is the analysed folder.
     """
-    if options.diff_base and not args.changed:
-        raise OptionError("Error: --diff-base needs --changed FILE with the paths of the diff.")
-    if args.changed:
+    if options.diff_base and not (args.changed or args.commits):
+        raise OptionError("Error: --diff-base needs --commits FILE with the commit graph, or --changed FILE with the paths of the diff.")
+    if options.diff_base and args.commits and not args.changed:
+        named = commits.changed_paths(*gitlog.graph(gitlog.read_records(spark, args.commits, "")), options.diff_base).select("path")
+    elif args.changed:
         named = spark.read.text(args.changed).select(F.trim("value").alias("path"))
     elif options.only_paths is not None:
         named = spark.createDataFrame([(p,) for p in options.only_paths], "path string")
@@ -148,11 +134,10 @@ def scan(spark: SparkSession, args: argparse.Namespace) -> int:
     note = writers.scoring_note(weights, coverage=any_coverage)
     for line in (note, *(f"Warning: {w['message']}" for w in reports.normalised_warnings(notes))):
         print(line, file=sys.stderr)
-    filtered = "diff" if args.changed else None
     if args.output == "csv":
         writers.write_csv(shown, args.csv_dir or "keelson-csv")
     elif args.output == "json":
-        meta = writers.meta(args.path, now.strftime("%Y-%m-%dT%H:%M:%SZ"), options.churn_days, count, skipped, weights, coverage=any_coverage, diff_base=options.diff_base or filtered, only=options.only_paths)
+        meta = writers.meta(args.path, now.strftime("%Y-%m-%dT%H:%M:%SZ"), options.churn_days, count, skipped, weights, coverage=any_coverage, diff_base=options.diff_base, filtered=bool(args.changed), only=options.only_paths)
         for part in writers.to_json(shown, meta, notes):
             print(part, end="")
         print()
@@ -205,7 +190,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("keelson").getOrCreate()
     try:
         return {"scan": scan, "edges": edges, "gate": gate}[args.command](spark, args)
-    except (OptionError, files.PopulationError, coverage.CoverageError, writers.GateError, scoring.WeightError) as e:
+    except (NoSharedFolder, OptionError, commits.RefError, files.PopulationError, coverage.CoverageError, writers.GateError, scoring.WeightError) as e:
         print(e, file=sys.stderr)
         return 1
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.numbers import rounded
+from ..sources.kept import Keep, keeper
 
 DAY = 86_400
 NEW_DAYS, NEW_COMMITS = 30, 3
@@ -26,90 +27,107 @@ def rebased(path: Column, prefix: str) -> Column:
     return F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1)))
 
 
-class _Aliases:
-    """Names of the past and the file that each stands for, with the places from which that holds."""
-
-    def __init__(self) -> None:
-        self.next: dict[str, str] = {}
-        self.now: dict[str, str] = {}
-        self.log: list[tuple[str, str, int]] = []
-
-    def end(self, name: str) -> str:
-        seen = set()
-        while name in self.next and name not in seen:
-            seen.add(name)
-            name = self.next[name]
-        return name
-
-    def add(self, old: str, canonical: str, pos: int) -> None:
-        passing = [k for k in self.next if k != old and old in self._chain(k)] if old in self.now.values() or old in self.next else []
-        self.next[old] = canonical
-        for name in (old, *passing):
-            if self.now.get(name) != (end := self.end(name)):
-                self.now[name] = end
-                self.log.append((name, end, pos))
-
-    def _chain(self, name: str) -> set[str]:
-        seen: set[str] = set()
-        while name in self.next and name not in seen:
-            seen.add(name)
-            name = self.next[name]
-        return seen | {name}
-
-
-def _fold(prefix: str):
-    """Renames and deletions of one repository, newest first -> aliases, boundaries and the touches that renames make."""
-    columns = ["repo_id", "kind", "name", "canonical", "pos"]
-
-    def inside(path: str | None) -> str | None:
-        return None if not path or not path.startswith(prefix) else path[len(prefix) :]
-
-    def fold(key: tuple, moves: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
-        wanted, aliases, boundaries, out = set(files["path"]), _Aliases(), set(), []
-        for row in moves.sort_values("pos").itertuples(index=False):
-            if row.status == "D":
-                own = inside(row.path)
-                if (own is not None or row.path in aliases.next) and aliases.end(own if own is not None else row.path) in wanted and row.path not in boundaries:
-                    boundaries.add(row.path)
-                    out.append(("boundary", row.path, None, row.pos))
-                continue
-            new = inside(row.path)
-            if new is None or row.old_path in boundaries or row.path in boundaries:
-                continue
-            canonical = aliases.end(new)
-            if canonical in wanted:
-                out.append(("touch", row.path, canonical, row.pos))
-                old = inside(row.old_path)
-                aliases.add(old if old is not None else row.old_path, canonical, row.pos)
-        out += [("alias", name, canonical, pos) for name, canonical, pos in aliases.log]
-        return pd.DataFrame([(key[0], *x) for x in out], columns=columns).astype({"pos": "int64"})
-
-    return fold
-
-
-def lineage(log: DataFrame, files: DataFrame, prefix: str = "") -> DataFrame:
+def _spans(renames: DataFrame) -> DataFrame:
+    """renames: repo_id, key, pos, value. From each rename to the next one (back in time) of the same old name, the name stands for the value."""
+    line = W.partitionBy("repo_id", "key").orderBy("pos")
+    return renames.select("repo_id", "key", F.col("pos").alias("since"), F.lead("pos").over(line).alias("until"), "value")
+
+
+def _at(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """asked: repo_id, cur, pos and more, with since and value of the span of `cur` that holds at pos, or nulls."""
+    s = spans.withColumnsRenamed({"repo_id": "_repo", "key": "_key"})
+    holds = (F.col("repo_id") == F.col("_repo")) & (F.col("cur") == F.col("_key")) & (F.col("since") < F.col("pos")) & (F.col("until").isNull() | (F.col("pos") <= F.col("until")))
+    return asked.join(s, holds, "left").drop("_repo", "_key", "until")
+
+
+def _chased(asked: DataFrame, spans: DataFrame, keep: Keep) -> DataFrame:
+    """asked: repo_id, name, pos and more, with `cur`, what the name stands for at pos, and `met`, whether any span says so.
+
+    A span leads to a name that stood for itself then, and on to what that has come to stand for since, so the spans' beginnings
+    rise along the way and it ends.
+    """
+    now = asked.withColumns({"cur": F.col("name"), "last": F.lit(-1).cast("long")})
+    while True:
+        on = F.coalesce(F.col("since") > F.col("last"), F.lit(False))
+        moved = _at(now, spans).withColumns({"moved": on & (F.col("value") != F.col("cur")), "cur": F.when(on, F.col("value")).otherwise(F.col("cur")), "last": F.when(on, F.col("since")).otherwise(F.col("last"))})
+        now = keep(moved.drop("since", "value"))
+        if now.filter("moved").isEmpty():
+            return now.withColumn("met", F.col("last") >= 0).drop("last", "moved")
+        now = now.drop("moved")
+
+
+def _tops(moves: DataFrame, keep: Keep) -> DataFrame:
+    """moves with `guess`, the name at the end of its chain of valid renames: pointer doubling over the renames.
+
+    Each move points to the rename that its own name was the old one of at that time, if there is one. In each round it takes over
+    what the one that it points to points at, so a chain of n renames takes log n rounds.
+    """
+    spans = _spans(moves.filter("valid").select("repo_id", "key", "pos", F.col("pos").alias("value")))
+    up = keep(_at(moves.select("repo_id", F.col("name").alias("cur"), "pos"), spans).select("repo_id", "pos", F.col("value").alias("up")))
+    while True:
+        above = up.select("repo_id", F.col("pos").alias("up"), F.col("up").alias("above"))
+        higher = keep(up.join(above, ["repo_id", "up"], "left").select("repo_id", "pos", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")))
+        up = higher.drop("moved")
+        if higher.filter("moved").isEmpty():
+            break
+    names = moves.select("repo_id", F.col("pos").alias("up"), F.col("name").alias("top"))
+    out = moves.join(up, ["repo_id", "pos"]).join(names, ["repo_id", "up"], "left")
+    return keep(out.withColumn("guess", F.coalesce("top", "name")).drop("up", "top"))
+
+
+def _rooted(moves: DataFrame, keep: Keep) -> DataFrame:
+    """moves with `cur`, what their names stand for, and `met`, if the renames marked valid are those that count.
+
+    The chains' ends are right unless an end was itself renamed meanwhile. So all names are followed anew through the guesses, until
+    that changes none. What a move stands for depends on newer moves only, so there is one such state, the fold's.
+    """
+    held = _tops(moves, keep)
+    while True:
+        spans = _spans(held.filter("valid").select("repo_id", "key", "pos", F.col("guess").alias("value")))
+        found = _chased(held, spans, keep)
+        if found.filter("cur != guess").isEmpty():
+            return found.drop("guess")
+        held = found.withColumn("guess", F.col("cur")).drop("cur", "met")
+
+
+def _judged(rooted: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(moves with `counts`, whether a rename does; boundaries: where a wanted file's path was deleted, newest first)."""
+    known = rooted.join(wanted.select("repo_id", F.col("path").alias("cur"), F.lit(True).alias("is_wanted")), ["repo_id", "cur"], "left").withColumn("is_wanted", F.coalesce("is_wanted", F.lit(False)))
+    bounds = known.filter("gone AND is_wanted AND (NOT outside OR met)").groupBy("repo_id", "path").agg(F.min("pos").alias("bound"))
+    for side in ("path", "old_path"):
+        known = known.join(bounds.select("repo_id", F.col("path").alias(side), F.col("bound").alias(f"bound_{side}")), ["repo_id", side], "left")
+    cut = lambda side: F.coalesce(F.col(f"bound_{side}") < F.col("pos"), F.lit(False))
+    return known.withColumn("counts", ~F.col("gone") & F.col("is_wanted") & ~cut("path") & ~cut("old_path")).drop("bound_path", "bound_old_path", "is_wanted"), bounds
+
+
+def lineage(log: DataFrame, files: DataFrame, prefix: str = "", keep: Keep | None = None) -> DataFrame:
     """log: repo_id, seq, line_no, epoch, status, old_path, path; files: repo_id, path. Per file first_epoch, total_commits.
 
-    Only renames and deletions change what a name stands for, and they are few; their fold gives intervals, and every
-    other line is resolved by a join on the name and its place.
+    Only renames and deletions change what a name stands for. They are rows (repository, name, interval), never one group:
+    which of them count is found in rounds of joins, beginning with all, and every other line is resolved by a join on its name and
+    place. Whether a move counts depends on newer ones only, so the state that no round changes is the only one, and equals reading the log line by
+    line. keep: writes rows that are read again and gives the table.
     """
-    lines = positions(log)
-    moves = lines.filter("status = 'D' OR status LIKE 'R%'").select("repo_id", "status", "old_path", "path", "pos")
-    folded = moves.groupBy("repo_id").cogroup(files.select("repo_id", "path").groupBy("repo_id")).applyInPandas(
-        _fold(prefix), "repo_id string, kind string, name string, canonical string, pos long"
-    )
-    commits = lines.select("repo_id", "seq", "epoch", "pos", "path").filter("status <> 'D'")
-    bounds = folded.filter("kind = 'boundary'").groupBy("repo_id", F.col("name").alias("path")).agg(F.min("pos").alias("bound"))
-    free = commits.join(bounds, ["repo_id", "path"], "left").filter("bound IS NULL OR bound >= pos")
-    keyed = free.withColumn("own", rebased(F.col("path"), prefix)).withColumn("name", F.coalesce("own", "path"))
-    spans = folded.filter("kind = 'alias'").select("repo_id", "name", F.col("canonical").alias("stands_for"), F.col("pos").alias("since"))
-    met = keyed.join(spans, ["repo_id", "name"], "left").withColumn("active", F.col("since") < F.col("pos"))
-    at = met.groupBy("repo_id", "seq", "epoch", "pos", "own").agg(F.max_by(F.when(F.col("active"), F.col("stands_for")), F.when(F.col("active"), F.col("since"))).alias("known"))
-    touched = at.select("repo_id", "seq", "epoch", F.coalesce("known", "own").alias("path"))
-    renames = folded.filter("kind = 'touch'").select("repo_id", F.expr(f"pos div {LINES}").alias("seq"), F.col("canonical").alias("path"))
-    epochs = log.select("repo_id", "seq", "epoch").distinct()
-    every = touched.unionByName(renames.join(epochs, ["repo_id", "seq"]))
-    every = every.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
+    keep = keep or keeper(log.sparkSession)
+    lines = positions(log).withColumn("own", rebased(F.col("path"), prefix)).withColumns({"name": F.coalesce("own", "path"), "outside": F.col("own").isNull()})
+    wanted = keep(files.select("repo_id", "path").distinct())
+    moves = lines.filter("status = 'D' OR status LIKE 'R%' AND own IS NOT NULL AND old_path IS NOT NULL").filter("path <> ''")
+    key = F.coalesce(rebased(F.col("old_path"), prefix), F.col("old_path"))
+    moves = keep(moves.select("repo_id", "pos", (F.col("status") == "D").alias("gone"), "path", "old_path", "name", "outside", key.alias("key")).withColumn("valid", ~F.col("gone")))
+    while True:
+        judged, bounds = _judged(_rooted(moves, keep), wanted)
+        judged = keep(judged)
+        if judged.filter("valid != counts").isEmpty():
+            break
+        moves = keep(judged.withColumn("valid", F.col("counts")).drop("counts", "cur", "met"))
+    spans = keep(_spans(judged.filter("valid").select("repo_id", "key", "pos", F.col("cur").alias("value"))))
+    commits = lines.select("repo_id", "seq", "epoch", "pos", "path", "own", "name", "outside").filter("status <> 'D'")
+    free = commits.join(keep(bounds), ["repo_id", "path"], "left").filter("bound IS NULL OR bound >= pos").drop("bound", "path")
+    renamed = spans.select("repo_id", F.col("key").alias("name"), F.lit(True).alias("renamed")).distinct()
+    marked = keep(free.join(renamed, ["repo_id", "name"], "left"))
+    followed = _chased(marked.filter("renamed"), spans, keep).filter("NOT outside OR met").select("repo_id", "seq", "epoch", F.col("cur").alias("path"))
+    every = marked.filter("renamed IS NULL AND NOT outside").select("repo_id", "seq", "epoch", F.col("own").alias("path")).unionByName(followed)
+    every = every.join(wanted, ["repo_id", "path"], "left_semi")
     return every.groupBy("repo_id", "path").agg(F.min("epoch").alias("first_epoch"), F.count_distinct("seq").alias("total_commits"))
 
 

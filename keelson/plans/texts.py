@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import paths
 from ..functions.numbers import percentile
-from ..operators import graph, history, quality, reports
-from ..sources import coverage, files, gitlog, ruby
+from ..operators import commits, graph, history, quality, reports
+from ..sources import coverage, files, gitlog, ruby, texts
 from ..sources import reports as tools
 from . import tables as t
 from . import twins as q
@@ -212,6 +213,67 @@ def rename_lineage(spark, sf_dir):
     return history.lineage(log, t.table(spark, sf_dir, "part").select(F.lit(t.REPO).alias("repo_id"), now.alias("path"))).select("path", "first_epoch", "total_commits")
 
 
+@query("""WITH placed AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+SELECT 'c/' || o_custkey || '/' || max(n) AS path, min(o_orderkey)::BIGINT * 100 AS first_epoch, count(*) AS total_commits FROM placed GROUP BY o_custkey""")
+def rename_chains(spark, sf_dir):
+    """One repository: each order of a customer renames its file, the first one adds it, after (for each third customer) deleting one that had its name."""
+    orders = t.table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").cast("long").alias("o_orderkey"))
+    placed = orders.withColumn("n", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")))
+    name = lambda n: F.concat(F.lit("c/"), "o_custkey", F.lit("/"), n)
+    line = lambda at, status, old=F.lit(None).cast("string"): F.struct(F.lit(at).alias("line_no"), F.lit(status).alias("status"), old.alias("old_path"), name(F.col("n")).alias("path"))
+    again = F.when((F.col("n") == 1) & (F.col("o_custkey") % 3 == 0), F.array(line(0, "A"), line(1, "D"), line(2, "M"))).when(F.col("n") == 1, F.array(line(0, "A"))).otherwise(F.array(line(0, "R100", name(F.col("n") - 1))))
+    log = placed.select(F.lit(t.REPO).alias("repo_id"), (F.lit(1 << 33) - F.col("o_orderkey")).alias("seq"), (F.col("o_orderkey") * 100).alias("epoch"), F.explode(again).alias("x")).select("repo_id", "seq", "epoch", "x.*")
+    now = placed.groupBy("o_custkey").agg(F.max("n").alias("n")).select(F.lit(t.REPO).alias("repo_id"), name(F.col("n")).alias("path"))
+    return history.lineage(log, now).select("path", "first_epoch", "total_commits")
+
+
+#: Orders in the order of their keys as commits: the older half is the trunk, then they go to two branches in turn; the first commit of the head
+#: branch in the last quarter merges the other branch, whose side then stands wherever it touched a path.
+BRANCHES = """WITH numbered AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n, count(*) OVER () AS total FROM orders), placed AS (
+  SELECT *, CASE WHEN 2 * n < total THEN 'trunk' WHEN n % 2 = 0 THEN 'base' ELSE 'head' END AS branch FROM numbered
+), met AS (SELECT min(n) AS n FROM placed WHERE branch = 'head' AND 4 * n >= 3 * total), written AS (
+  SELECT p.n, p.branch, 'part/' || l_partkey AS path, CASE WHEN max(l_linenumber) % 7 = 0 THEN repeat('0', 40) ELSE md5(((max(l_linenumber) + p.n) % 3)::VARCHAR) || '00000000' END AS blob
+  FROM lineitem JOIN placed p ON l_orderkey = o_orderkey GROUP BY p.n, p.branch, l_partkey
+), latest AS (SELECT path, arg_max(blob, w.n) AS blob FROM written w, met WHERE branch = 'base' AND w.n < met.n GROUP BY path), entries AS (
+  SELECT n, branch, path, blob FROM written WHERE NOT (branch = 'head' AND n IN (SELECT n FROM met))
+  UNION ALL SELECT met.n, 'head', path, blob FROM latest, met
+)"""
+
+
+def _branches(spark, sf_dir):
+    """The dump of the commit graph: a record for each order."""
+    orders = t.table(spark, sf_dir, "orders").select("o_orderkey")
+    numbered = texts.numbered(orders.orderBy("o_orderkey").withColumn("repo_id", F.lit(t.REPO))).withColumnRenamed("seq", "n")
+    total = orders.count()
+    n = F.col("n")
+    placed = numbered.select("o_orderkey", "n", F.when(2 * n < total, "trunk").when(n % 2 == 0, "base").otherwise("head").alias("branch"))
+    merge = placed.filter((F.col("branch") == "head") & (4 * n >= 3 * total)).agg(F.min("n")).first()[0]
+    lines = t.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("part/"), "l_partkey").alias("path"), "l_linenumber")
+    blob = F.when(F.max("l_linenumber") % 7 == 0, "0" * 40).otherwise(F.concat(F.md5(((F.max("l_linenumber") + n) % 3).cast("long").cast("string")), F.lit("00000000")))
+    written = lines.join(placed, "o_orderkey").groupBy("n", "branch", "path").agg(blob.alias("blob"))
+    latest = written.filter((F.col("branch") == "base") & (n < merge)).groupBy("path").agg(F.max_by("blob", "n").alias("blob"))
+    own = written.filter(~((F.col("branch") == "head") & (n == merge))).unionByName(latest.select(F.lit(merge).cast("long").alias("n"), F.lit("head").alias("branch"), "path", "blob"))
+    # what stood before, on the line of each branch; both lines begin with the trunk
+    sided = own.withColumn("side", F.explode(F.when(F.col("branch") == "trunk", F.array(F.lit("base"), F.lit("head"))).otherwise(F.array("branch"))))
+    sided = sided.withColumn("old", F.coalesce(F.lag("blob").over(W.partitionBy("side", "path").orderBy("n")), F.lit("0" * 40))).filter("branch <> 'trunk' OR side = 'head'")
+    mode = lambda b: F.when(b == "0" * 40, "000000").otherwise("100644")
+    raw = sided.groupBy("n").agg(F.array_join(F.collect_list(F.concat(F.lit(":"), F.concat_ws(" ", mode(F.col("old")), mode(F.col("blob")), "old", "blob"), F.lit(" M\t"), "path")), "\n").alias("raw"))
+    sha = lambda k: F.concat(F.md5(k.cast("string")), F.lit("00000000"))
+    fork = (total + 1) // 2 - 1
+    parent = F.when(n <= fork + 1, n - 1).otherwise(F.greatest(n - 2, F.lit(fork)))
+    second = F.when(n == merge, n - 1)
+    refs = F.when(n == total - 1 - (total - 2) % 2, "HEAD -> topic, tag: v1").when(n == total - 1 - (total - 1) % 2, "origin/main").otherwise("")
+    head = F.concat_ws("\x1f", sha(n), F.when(n == 0, "").otherwise(F.concat_ws(" ", sha(parent), sha(second))), n.cast("string"), refs)
+    return placed.join(raw, "n", "left").select(F.lit(t.REPO).alias("repo_id"), F.concat(head, F.lit("\n\n"), F.coalesce("raw", F.lit("")), F.lit("\n")).alias("value"))
+
+
+@query(f"""{BRANCHES}, trees AS (
+  SELECT path, arg_max(blob, e.n) FILTER (branch <> 'base') AS at_head, arg_max(blob, e.n) FILTER (branch = 'trunk' OR branch = 'base' AND e.n < met.n) AS at_base FROM entries e, met GROUP BY path
+) SELECT path FROM trees WHERE at_head IS NOT NULL AND at_head <> repeat('0', 40) AND at_head IS DISTINCT FROM coalesce(at_base, repeat('0', 40))""")
+def merge_base_diff(spark, sf_dir):
+    return commits.changed_paths(*gitlog.graph(_branches(spark, sf_dir)), "origin/main").select("path")
+
+
 # ---- paths and words
 
 FOLDERS = ("app", "db", "db/migrate", "node_modules/x", "a/node_modules", "vendor", "app/vendor", "app/js", "tmp", "log/a", "coverage", "spec", "app/spec", "test", "__tests__", "src/__tests__", "lib", ".hidden")

@@ -104,12 +104,12 @@ def to_json(results: DataFrame, meta: dict, warnings: list) -> Iterator[str]:
     yield "}"
 
 
-def meta(repo: str, analysed_at: str, churn_days: int, file_count: int, skipped: int, weights: dict, *, coverage: bool, diff_base: str | None = None, only: list | None = None) -> dict:
+def meta(repo: str, analysed_at: str, churn_days: int, file_count: int, skipped: int, weights: dict, *, coverage: bool, diff_base: str | None = None, filtered: bool = False, only: list | None = None) -> dict:
     out = {
         "repo": repo, "analyzed_at": analysed_at, "churn_days": churn_days, "file_count": file_count, "files_skipped": skipped,
         "formula": formula(coverage=coverage, coupling=weights.get("coupling")), "weights": {k: None if w is None else round(w, 4) for k, w in weights.items()},
     }
-    if diff_base or only is not None:
+    if diff_base or filtered or only is not None:
         out["filtered"] = True
     return out | ({"diff_base": diff_base} if diff_base else {}) | ({"only_paths": only} if only is not None else {})
 

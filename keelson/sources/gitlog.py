@@ -15,6 +15,8 @@ from .texts import lines, numbered
 NUMSTAT = "git log --no-merges --since='{days} days ago' --numstat --format= --diff-filter=ACDMR -M"
 NAME_ONLY = "git log --relative --since='{days} days ago' --name-only --format=%x1e%H --diff-filter=ACDMR -M"
 NAME_STATUS = "git log --name-status --format=%x1e%ct --diff-filter=ACMRD -M"
+#: With all branches, and each merge against its first parent.
+GRAPH = "git log --all HEAD --no-renames --raw --no-abbrev --diff-merges=first-parent --format=%x1e%H%x1f%P%x1f%ct%x1f%D"
 # The changes that count in a history.
 STATUSES = "ACMRD"
 
@@ -50,6 +52,22 @@ def name_status(records: DataFrame) -> DataFrame:
     )
 
 
+def graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """records: repo_id, value (a line about the commit, then one for each path). (commits, changes).
+
+    commits: repo_id, sha, parents, epoch, refs. changes: repo_id, sha, path, old, new; old and new are mode and blob.
+    """
+    held = records.select("repo_id", F.split("value", "\n").alias("lines")).withColumn("head", F.split(F.col("lines")[0], "\x1f"))
+    held = held.filter((F.size("head") == 4) & F.trim(F.col("head")[0]).rlike("^[0-9a-f]{40}$")).withColumn("sha", F.trim(F.col("head")[0]))
+    words = lambda c, by: F.filter(F.split(c, by), lambda x: x != "")
+    refs = F.flatten(F.transform(words(F.col("head")[3], ", "), lambda r: F.split(F.regexp_replace(r, "^tag: ", ""), " -> ")))
+    commits = held.select("repo_id", "sha", words(F.col("head")[1], " ").alias("parents"), F.expr("try_cast(head[2] AS BIGINT)").alias("epoch"), refs.alias("refs"))
+    each = held.select("repo_id", "sha", F.explode("lines").alias("value")).filter("value LIKE ':%\t%'")
+    parts, path = F.split(F.split_part("value", F.lit("\t"), F.lit(1)), " "), F.expr("substr(value, instr(value, '\t') + 1)")
+    whole = lambda mode, blob: F.concat(mode, F.lit(" "), blob)
+    return commits, each.select("repo_id", "sha", path.alias("path"), whole(F.substr(parts[0], F.lit(2)), parts[2]).alias("old"), whole(parts[1], parts[3]).alias("new"))
+
+
 def read_records(spark: SparkSession, path: str, repo_id: str | None) -> DataFrame:
     """repo_id, value and seq (0 for the newest) of the records of dumped logs. repo_id None: by the folder of each file."""
     return numbered(lines(spark, path, repo_id, "\x1e").filter("trim(value) <> ''"))
