@@ -82,7 +82,7 @@ def is_shallow(path: str) -> bool:
 
 def load(spark: SparkSession, args: argparse.Namespace, options: Options, keep: Callable[[DataFrame], DataFrame]) -> Inputs:
     repo, root = os.path.basename(os.path.abspath(args.path)), os.path.abspath(args.path)
-    scored, _ = files.collect(files.contents(files.listed(spark, args.path, repo), args.path), options.exclude)
+    scored, _ = files.collect(files.scanned(spark, args.path, repo), options.exclude)
     scored, shallow = keep(scored), args.shallow or is_shallow(args.path)
     notes = [*files.require_population(scored, options.min_files), *(["coverage_flag_deprecated"] if args.coverage else []), *(["shallow_clone_newness_disabled"] if shallow else [])]
     own = scored.filter("lang_group = 'ruby'")

@@ -10,6 +10,7 @@ from ..functions.numbers import percentile
 from ..operators import commits, graph, history, quality, reports
 from ..sources import coverage, files, gitlog, ruby, texts
 from ..sources import reports as tools
+from ..sources.kept import shared
 from . import tables as t
 from . import twins as q
 from . import writers
@@ -22,18 +23,34 @@ def key():
     return F.col("p_partkey")
 
 
+#: So many parts make a repository: their number grows with the table.
+OWN = 500
+REPO_SQL = f"'r' || p_partkey // {OWN}"
+
+
+def repo(number=F.col("p_partkey")):
+    return F.concat(F.lit("r"), F.floor(number / OWN).cast("long"))
+
+
 def _parts(spark, sf_dir):
-    return t.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    return t.table(spark, sf_dir, "part").select("p_partkey", "p_size", repo().alias("repo"))
 
 
-def _joined(rows, line, separator: str, key: str = "p_partkey", repo: str = "p_brand"):
+def _joined(rows, line, separator: str, key: str = "p_partkey", repo: str = "repo"):
     """A text for each repository: the lines of its rows in the order of their key."""
     held = rows.groupBy(F.col(repo).alias("repo_id")).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("line")))).alias("held"))
     return held.select("repo_id", F.array_join(F.col("held.line"), separator).alias("value"))
 
 
 def _files(spark, sf_dir):
-    return _parts(spark, sf_dir).select(F.col("p_brand").alias("repo_id"), F.concat(F.lit("part/"), key()).alias("path"))
+    return _parts(spark, sf_dir).select(F.col("repo").alias("repo_id"), F.concat(F.lit("part/"), key()).alias("path"))
+
+
+def _written(texts):
+    """Writes each repository's text to a file in a folder of its own, below a shared one; the pattern of these files."""
+    top = shared(texts.sparkSession)
+    texts.select("repo_id", "value").repartition("repo_id").write.partitionBy("repo_id").text(top)
+    return f"{top}/*/*.txt"
 
 
 # ---- logs
@@ -80,27 +97,27 @@ def resultset_report(spark, sf_dir):
     hits = _hits(spark, sf_dir)
     lines = F.when(F.col("event_type") == "click", F.to_json(F.struct(F.col("hits").alias("lines")))).otherwise(F.to_json("hits"))
     entry = F.concat(F.lit('"/ci/u/'), "user_id", F.lit('": '), lines)
-    suites = hits.groupBy("event_type").agg(F.array_join(F.collect_list(entry), ", ").alias("body"))
-    texts = suites.select(F.lit(t.REPO).alias("repo_id"), F.concat(F.lit('{"'), "event_type", F.lit('": {"coverage": {'), "body", F.lit("}}}")).alias("value"))
-    known = hits.select(F.lit(t.REPO).alias("repo_id"), F.concat(F.lit("u/"), "user_id").alias("path")).distinct()
+    suites = hits.groupBy(repo(F.col("user_id")).alias("repo_id"), "event_type").agg(F.array_join(F.collect_list(entry), ", ").alias("body"))
+    texts = suites.select("repo_id", F.concat(F.lit('{"'), "event_type", F.lit('": {"coverage": {'), "body", F.lit("}}}")).alias("value"))
+    known = hits.select(repo(F.col("user_id")).alias("repo_id"), F.concat(F.lit("u/"), "user_id").alias("path")).distinct()
     return coverage.resultset(texts, known).select("path", "line_rate")
 
 
-@query("SELECT p_brand AS repo_id, 'part/' || p_partkey AS path, (p_partkey % 100)::DOUBLE / 100::DOUBLE AS line_rate FROM part WHERE p_partkey % 9 <> 0")
+@query(f"SELECT {REPO_SQL} AS repo_id, 'part/' || p_partkey AS path, (p_partkey % 100)::DOUBLE / 100::DOUBLE AS line_rate FROM part WHERE p_partkey % 9 <> 0")
 def cobertura_report(spark, sf_dir):
     rate = ((key() % 100) / F.lit(100.0)).cast("string")
-    tag = lambda name, r: F.concat(F.lit('<class name="a&gt;b" filename="'), name, F.lit('"\n line-rate="'), r, F.lit('" complexity="1">'))
+    tag = lambda name, r: F.concat(F.lit('<class name="a&gt;b" filename="'), name, F.lit('"\n line-rate="'), r, F.lit('" complexity="1"><lines><line number="1"/></lines></class>'))
     name = F.concat(F.lit("part/"), key())
-    line = F.when(key() % 9 == 0, F.concat(F.lit("<!--"), tag(name, rate), F.lit("-->"))).when(key() % 4 == 0, F.concat(tag(F.concat(F.lit("./"), name), F.lit("0.999")), F.lit("</class>"), tag(name, rate))).otherwise(tag(name, rate))
-    texts = _joined(_parts(spark, sf_dir), line, "</class>\n").withColumn("value", F.concat(F.lit("<?xml version='1.0'?><coverage><classes>"), "value", F.lit("</class></classes></coverage>")))
-    return coverage.cobertura(texts, _files(spark, sf_dir))
+    line = F.when(key() % 9 == 0, F.concat(F.lit("<!--"), tag(name, rate), F.lit("-->"))).when(key() % 4 == 0, F.concat(tag(F.concat(F.lit("./"), name), F.lit("0.999")), tag(name, rate))).otherwise(tag(name, rate))
+    texts = _joined(_parts(spark, sf_dir), line, "\n").withColumn("value", F.concat(F.lit("<?xml version='1.0'?><coverage><classes>"), "value", F.lit("</classes></coverage>")))
+    return coverage.cobertura(coverage.xml_classes(spark, _written(texts), None), _files(spark, sf_dir))
 
 
-@query("""SELECT p_brand AS repo_id, 'part/' || p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 10)::DOUBLE / (10 + p_partkey % 5)::DOUBLE ELSE (CASE WHEN p_partkey % 3 > 0 THEN 1 ELSE 0 END)::DOUBLE / 2::DOUBLE END AS line_rate FROM part""")
+@query(f"""SELECT {REPO_SQL} AS repo_id, 'part/' || p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 10)::DOUBLE / (10 + p_partkey % 5)::DOUBLE ELSE (CASE WHEN p_partkey % 3 > 0 THEN 1 ELSE 0 END)::DOUBLE / 2::DOUBLE END AS line_rate FROM part""")
 def lcov_report(spark, sf_dir):
     counts = F.concat(F.lit("\nDA:1,1\nLF:"), 10 + key() % 5, F.lit("\nLH:"), key() % 10)
     line = F.concat(F.lit("TN:\nSF:/ci/part/"), key(), F.when(key() % 2 == 0, counts).otherwise(F.concat(F.lit("\nDA:1,0\nDA:2,"), key() % 3)), F.lit("\nend_of_record"))
-    return coverage.lcov(_joined(_parts(spark, sf_dir), line, "\n"), _files(spark, sf_dir))
+    return coverage.lcov(coverage.lcov_records(spark, _written(_joined(_parts(spark, sf_dir), line, "\n")), None), _files(spark, sf_dir))
 
 
 # ---- lint and dependencies
@@ -132,12 +149,15 @@ def _dependencies(spark, sf_dir):
     return t.part_edges(spark, sf_dir).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("dsts"))
 
 
-@query(f"WITH {q.EDGES} SELECT src, dst FROM edges")
+@query(f"""WITH {q.EDGES}, numbered AS (SELECT src, dst, split_part(src, '/', 2)::BIGINT // {OWN} AS s, split_part(dst, '/', 2)::BIGINT // {OWN} AS d FROM edges)
+SELECT 'r' || s AS repo_id, src, dst FROM numbered WHERE s = d""")
 def module_report(spark, sf_dir):
+    """Targets in other repositories are unknown there, like `fs` and null."""
     targets = F.transform("dsts", lambda d: F.concat(F.lit('{"resolved": "'), d, F.lit('"}, {"resolved": "fs"}, {"resolved": null}')))
     line = F.concat(F.lit('{"source": "./'), "src", F.lit('", "dependencies": ['), F.array_join(targets, ", "), F.lit("]}"))
-    texts = _joined(_dependencies(spark, sf_dir).withColumn("repo", F.lit(t.REPO)), line, ", ", "src", "repo").withColumn("value", F.concat(F.lit('{"modules": ['), "value", F.lit("]}")))
-    return graph.edges(tools.modules(texts), t.parts(spark, sf_dir)).select("src", "dst")
+    owned = _dependencies(spark, sf_dir).withColumn("repo", repo(F.split_part("src", F.lit("/"), F.lit(2)).cast("long")))
+    texts = _joined(owned, line, ", ", "src").withColumn("value", F.concat(F.lit('{"modules": ['), "value", F.lit("]}")))
+    return graph.edges(tools.modules(texts), _files(spark, sf_dir))
 
 
 # ---- Ruby source
@@ -209,8 +229,8 @@ def rename_lineage(spark, sf_dir):
     ))
     epochs = F.element_at(F.array(*[F.lit(x) for x in (3_000_000, 2_000_000, 1_000_000, 500_000, 0)]), F.col("step") + 1) + key()
     log = t.table(spark, sf_dir, "part").select("p_partkey", F.explode(steps).alias("x")).select("p_partkey", "x.*")
-    log = log.select(F.lit(t.REPO).alias("repo_id"), (F.col("step") * 10_000_000 + 9_999_999 - key()).cast("long").alias("seq"), F.lit(0).alias("line_no"), epochs.cast("long").alias("epoch"), "status", "old_path", "path")
-    return history.lineage(log, t.table(spark, sf_dir, "part").select(F.lit(t.REPO).alias("repo_id"), now.alias("path"))).select("path", "first_epoch", "total_commits")
+    log = log.select(repo().alias("repo_id"), (F.col("step") * 10_000_000 + 9_999_999 - key()).cast("long").alias("seq"), F.lit(0).alias("line_no"), epochs.cast("long").alias("epoch"), "status", "old_path", "path")
+    return history.lineage(log, t.table(spark, sf_dir, "part").select(repo().alias("repo_id"), now.alias("path"))).select("path", "first_epoch", "total_commits")
 
 
 @query("""WITH placed AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
@@ -296,13 +316,13 @@ def glob_exclude(spark, sf_dir):
 
 @query(f"""WITH {PATH_SQL}, scored AS (
   SELECT *, CASE WHEN ends_with(path, '.rb') THEN 'ruby' WHEN regexp_matches(path, '[.]jsx?$') THEN 'javascript' WHEN regexp_matches(path, '[.]tsx?$') THEN 'typescript' END AS language FROM judged WHERE NOT excluded AND NOT starts_with(path, 'app/js/')
-) SELECT path, language, CASE language WHEN 'ruby' THEN 'ruby' ELSE 'javascript' END AS lang_group, CASE WHEN abs(p_partkey) % 4 = 0 THEN 0 ELSE 2 END::INT AS loc, row_number() OVER (ORDER BY path) - 1 AS ordinal
+) SELECT path, language, CASE language WHEN 'ruby' THEN 'ruby' ELSE 'javascript' END AS lang_group, CASE WHEN abs(p_partkey) % 4 = 0 THEN 0 ELSE 2 END::INT AS loc, row_number() OVER (PARTITION BY floor(p_partkey / {OWN}::DOUBLE) ORDER BY path) - 1 AS ordinal
 FROM scored WHERE language IS NOT NULL AND abs(p_partkey) % 7 <> 3""")
 def files_collected(spark, sf_dir):
     """The rules in turn: endings, default globs, the caller's globs, generated files; text that isn't UTF-8 has no lines."""
     text = F.when(F.abs("p_partkey") % 7 == 3, "\n# This file is auto-generated\nx").otherwise("x\n\n # y\n")
     content = F.concat(F.encode(text, "UTF-8"), F.when((F.abs("p_partkey") % 4 == 0) & (F.abs("p_partkey") % 7 != 3), F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
-    made = _placed(spark, sf_dir).select(F.lit(t.REPO).alias("repo_id"), "path", content.alias("content"))
+    made = _placed(spark, sf_dir).select(repo().alias("repo_id"), "path", content.alias("content"))
     kept, _ = files.collect(made, ["app/js/**"])
     return kept.select("path", "language", "lang_group", F.col("loc").cast("int").alias("loc"), F.col("ordinal").cast("long").alias("ordinal"))
 

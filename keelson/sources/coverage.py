@@ -1,12 +1,12 @@
-"""Coverage reports -> (repo_id, path, line_rate). Readers take whole texts (repo_id, value), so of any number of repositories."""
+"""Coverage reports -> (repo_id, path, line_rate). Readers take any number of repositories' files."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import max_merge, suffix_match
-from .texts import whole
+from .texts import place, repository, whole
 
 
 class CoverageError(ValueError):
@@ -37,33 +37,28 @@ def resultset(texts: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
     return max_merge(_matched(found, files, root).select("repo_id", "path", "hits"), ["repo_id", "path"]).select("repo_id", "path", "line_rate")
 
 
-#: A class element of XML, and what may hold one that isn't meant.
-CLASS, HIDDEN = r"""<class\s(?:[^>"']|"[^"]*"|'[^']*')*>""", r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
+def xml_classes(spark: SparkSession, path: str, repo_id: str | None) -> DataFrame:
+    """Class elements of Cobertura files: repo_id, at, name, rate. Spark's XML reader looks for the elements, so many tasks read one file."""
+    read = spark.read.format("xml").option("rowTag", "class").schema("`_filename` string, `_line-rate` string").load(path)
+    return read.select(repository(repo_id).alias("repo_id"), place().alias("at"), F.col("_filename").alias("name"), F.col("`_line-rate`").try_cast("double").alias("rate"))
 
 
-def _attribute(tag: str, name: str) -> Column:
-    """Of an element; null if it has none. Entities are resolved."""
-    both = F.regexp_extract(tag, rf"""\s{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
-    plain = F.substr(both, F.lit(2), F.length(both) - 2)
-    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(code), F.lit(char))
-    return F.when(both != "", plain)
-
-
-def cobertura(texts: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
-    """XML, a class element for each file; of several the last counts."""
-    each = texts.select("repo_id", F.posexplode(F.regexp_extract_all(F.regexp_replace("value", HIDDEN, ""), F.lit(CLASS), 0)).alias("at", "tag"))
-    rows = each.select("repo_id", "at", _attribute("tag", "filename").alias("name"), _attribute("tag", "line-rate").try_cast("double").alias("rate"))
+def cobertura(elements: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
+    """elements: repo_id, at (their order), name, rate. Of several for a file the last counts."""
     bad = F.raise_error(F.lit("Error: line-rate must be a number between 0 and 1.")).cast("double")
     rated = F.when(F.col("rate").between(0, 1), F.col("rate")).otherwise(bad)
-    rows = rows.filter("name IS NOT NULL").select("repo_id", "at", F.regexp_replace("name", r"^(\./)+", "").alias("path"), rated.alias("line_rate"))
+    rows = elements.filter("name IS NOT NULL").select("repo_id", "at", F.regexp_replace("name", r"^(\./)+", "").alias("path"), rated.alias("line_rate"))
     last = rows.groupBy("repo_id", "path").agg(F.max_by("line_rate", "at").alias("line_rate"))
     return last.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
 
 
-def lcov(texts: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
-    """Records with the counts LF and LH, or else the DA lines they sum up."""
-    records = texts.select("repo_id", F.posexplode(F.split("value", "end_of_record")).alias("at", "value"))
+def lcov_records(spark: SparkSession, path: str, repo_id: str | None) -> DataFrame:
+    """repo_id, at, value: a row for each record of LCOV files, which are split between records."""
+    return spark.read.option("lineSep", "end_of_record").text(path).select(repository(repo_id).alias("repo_id"), place().alias("at"), "value")
+
+
+def lcov(records: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
+    """records: repo_id, at (their order), value. Each has the counts LF and LH, or else the DA lines they sum up."""
     number = lambda tag: F.expr(f"try_cast(regexp_extract(value, '(?m)^{tag}:(\\\\d+)', 1) AS INT)")
     lines = F.regexp_extract_all("value", F.lit(r"(?m)^DA:\d+,(\d+)"), 1)
     found = F.coalesce(number("LF"), F.size(lines))
@@ -75,7 +70,7 @@ def lcov(texts: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
     return rows.groupBy("repo_id", "path").agg(F.max_by("line_rate", "at").alias("line_rate"))
 
 
-READERS = {".xml": cobertura, ".info": lcov, ".json": resultset}
+READERS = {".xml": (xml_classes, cobertura), ".info": (lcov_records, lcov), ".json": (whole, resultset)}
 
 
 def read(spark: SparkSession, path: str, files: DataFrame, repo_id: str | None, root: str = "") -> DataFrame:
@@ -83,7 +78,8 @@ def read(spark: SparkSession, path: str, files: DataFrame, repo_id: str | None,
     ending = "." + path.lower().rpartition(".")[2]
     if ending not in READERS:
         raise CoverageError(f"Error: unsupported coverage format: {path}")
-    texts = whole(spark, path, repo_id)
-    if ending == ".xml" and texts.filter(F.col("value").rlike(CLASS)).isEmpty():
+    rows, rates = READERS[ending]
+    found = rows(spark, path, repo_id)
+    if ending == ".xml" and found.isEmpty():
         raise CoverageError("Error: coverage XML has no class elements with filename and line-rate.")
-    return READERS[ending](texts, files, root)
+    return rates(found, files, root)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql import Window as W
 
 from ..functions.paths import DEFAULT_EXCLUDES, LANGUAGES, language, language_group, matches_any
@@ -19,33 +19,50 @@ class PopulationError(ValueError):
     pass
 
 
-def listed(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
-    """Regular files with a scored ending, dot files and folders included: repo_id, path.
+def _hidden(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """(folders, scored files) below root whose names begin with a dot or an underscore, which Spark's file sources skip.
 
-    Names are listed on the driver, for Spark's file source skips hidden folders; a repository's list is small.
+    One pattern for each depth, until there is nothing as deep; names that aren't hidden never reach Python.
     """
-    found = []
-    for folder, _, names in os.walk(root):
-        found += [os.path.relpath(os.path.join(folder, n), root) for n in names if os.path.splitext(n)[1] in LANGUAGES and os.path.isfile(os.path.join(folder, n))]
-    return spark.createDataFrame([(repo_id, p) for p in sorted(found)], "repo_id string, path string")
-
-
-def contents(files: DataFrame, root: str) -> DataFrame:
-    """Adds content, read by the executors; null where a file can't be read."""
-
-    def work(frames):
-        for frame in frames:
-            held = []
-            for p in frame["path"]:
-                try:
-                    with open(os.path.join(root, p), "rb") as f:
-                        held.append(f.read())
-                except OSError:
-                    held.append(None)
-            frame["content"] = held
-            yield frame
-
-    return files.mapInPandas(work, StructType([*files.schema, StructField("content", BinaryType())]))
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders, single, level = [], [], re.sub(r"([\\\[\]{}*?^])", r"\\\1", root)
+    while fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{level}/*")):
+        for entry in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{level}/[._]*")):
+            name = entry.getPath().toString()
+            if entry.isDirectory():
+                folders.append(name)
+            elif any(name.endswith(x) for x in LANGUAGES):
+                single.append(name)
+        level += "/*"
+    return folders, single
+
+
+def scanned(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
+    """Files with a scored ending, dot files and folders included: repo_id, path, content.
+
+    Spark's binary file source lists and reads them, on any file system; from
+    spark.sql.sources.parallelPartitionDiscovery.threshold folders on a job lists. Single files with hidden names, which
+    no source of Spark's reads, come through the driver. Links to folders are followed.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
+    top = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(root)).toString().rstrip("/")
+    folders, single = _hidden(spark, top)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+    every = reader.option("pathGlobFilter", f"*{{{','.join(LANGUAGES)}}}").load([top, *folders])
+    # a scan leaves empty files out, but its list of files, which the driver holds anyway, doesn't
+    names = spark.createDataFrame([(_plain(p),) for p in every.inputFiles() if any(p.endswith(x) for x in LANGUAGES)], "path string").distinct()
+    read = names.join(every.select(F.regexp_replace("path", "^[a-z0-9]+:/+", "/").alias("path"), "content").dropDuplicates(["path"]), "path", "left")
+    if single:
+        held = [(re.sub("^[a-z0-9]+:/+", "/", p), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(fs.open(jvm.org.apache.hadoop.fs.Path(p))))) for p in single]
+        read = read.unionByName(spark.createDataFrame(held, "path string, content binary"))
+    return read.select(F.lit(repo_id).alias("repo_id"), F.substr("path", F.lit(len(re.sub("^[a-z0-9]+:/+", "/", top)) + 2)).alias("path"), F.coalesce("content", F.lit(b"")).alias("content"))
+
+
+def _plain(uri: str) -> str:
+    """The path in a URI, with its escapes resolved."""
+    return re.sub("^[a-z0-9]+:/+", "/", unquote(uri))
 
 
 def collect(files: DataFrame, excludes: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

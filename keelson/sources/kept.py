@@ -22,15 +22,20 @@ def _local() -> str:
     return f"file://{tempfile.mkdtemp(prefix='keelson-')}"
 
 
-def keeper(spark: SparkSession) -> Keep:
-    """Writes rows to a new folder under spark.checkpoint.dir, or if that is unset, with one machine only, to a temporary one."""
+def shared(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, or if that is unset, with one machine only, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise NoSharedFolder("Error: spark.checkpoint.dir has to name a folder that the driver and all executors share.")
-    base = base or _local()
+    return f"{(base or _local()).rstrip('/')}/keelson-{uuid.uuid4().hex}"
+
+
+def keeper(spark: SparkSession) -> Keep:
+    """Writes rows to a new shared folder and reads them back."""
+    shared(spark)  # fails early where there is none
 
     def keep(rows: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/keelson-{uuid.uuid4().hex}"
+        path = shared(spark)
         rows.write.parquet(path)
         return spark.read.schema(rows.schema).parquet(path)
 

@@ -9,7 +9,12 @@ from pyspark.sql import Window as W
 
 def repository(repo_id: str | None) -> Column:
     """The given name, or the name of the folder that a file lies in."""
-    return F.lit(repo_id) if repo_id is not None else F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    return F.lit(repo_id) if repo_id is not None else F.regexp_extract(F.col("_metadata.file_path"), r"(?:repo_id=)?([^/]+)/[^/]+$", 1)
+
+
+def place() -> Column:
+    """Where a row stands in its file, whatever tasks read the file."""
+    return F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def whole(spark: SparkSession, path: str, repo_id: str | None) -> DataFrame:

@@ -94,16 +94,16 @@ def test_lint_and_module_reports(spark, tmp_path):
 
 
 def test_collector(spark, tmp_path):
-    made = {"app/a.rb": b"x\n\n# c\n", "spec/a_spec.rb": b"x", ".hidden/b.ts": b"1", "gen.rb": b"\n# This file is auto-generated from x\n", "src/c.tsx": b"\xff\xfe", "src/d.min.js": b"", "README.md": b"", "skip/e.js": b"1\n2", "A.RB": b""}
+    made = {"app/a.rb": b"x\n\n# c\n", "spec/a_spec.rb": b"x", ".hidden/b.ts": b"1", ".hidden/_deep/.er/x y%+.rb": b"", "app/_under.rb": b"a", "lib/.dot.js": b"b", "we [ird] {a}/c.rb": b"", "gen.rb": b"\n# This file is auto-generated from x\n", "src/c.tsx": b"\xff\xfe", "src/d.min.js": b"", "README.md": b"", "skip/e.js": b"1\n2", "A.RB": b""}
     for name, body in made.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(body)
-    kept, counts = files.collect(files.contents(files.listed(spark, str(tmp_path), "r"), str(tmp_path)), ["skip/**"])
+    kept, counts = files.collect(files.scanned(spark, str(tmp_path), "r"), ["skip/**"])
     got = {r.path: (r.language, r.lang_group, r["loc"]) for r in kept.collect()}
-    assert got == {"app/a.rb": ("ruby", "ruby", 2), ".hidden/b.ts": ("typescript", "javascript", 1), "src/c.tsx": ("typescript", "javascript", 0)}
+    assert got == {"app/a.rb": ("ruby", "ruby", 2), ".hidden/b.ts": ("typescript", "javascript", 1), "src/c.tsx": ("typescript", "javascript", 0), ".hidden/_deep/.er/x y%+.rb": ("ruby", "ruby", 0), "app/_under.rb": ("ruby", "ruby", 1), "lib/.dot.js": ("javascript", "javascript", 1), "we [ird] {a}/c.rb": ("ruby", "ruby", 0)}
     assert tuple(counts.select("default_excluded", "custom_excluded").first()) == (2, 1)
     with pytest.raises(files.PopulationError):
-        files.require_population(kept)
+        files.require_population(kept.limit(4))
 
 
 SOURCE = b'''
