@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.numbers import ratio
 
@@ -27,6 +28,21 @@ def degrees(files: DataFrame, graph: DataFrame, repo: str = "repo_id") -> DataFr
     return files.join(counted, [repo, "path"], "left").fillna(0, ["fan_in", "fan_out"])
 
 
+def edge_lists(graph: DataFrame, most: int = 50, repo: str = "repo_id") -> DataFrame:
+    """Per file: dependents and dependencies (the first `most` of each, by path) and how many there are.
+
+    Each task passes on no more than `most` edges of a side of a file, so a file that all others need is no large group.
+    """
+    side = lambda name, path, other: F.struct(F.lit(name).alias("side"), F.col(path).alias("path"), F.col(other).alias("other"))
+    ends = graph.select(repo, F.explode(F.array(side("in", "dst", "src"), side("out", "src", "dst"))).alias("e")).select(repo, "e.*")
+    nth = F.row_number().over(W.partitionBy(repo, "path", "side").orderBy("other"))
+    first = ends.withColumn("_nth", nth).filter(F.col("_nth") <= most)
+    listed = lambda name: F.sort_array(F.collect_list(F.when(F.col("side") == name, F.col("other"))))
+    lists = first.groupBy(repo, "path").agg(listed("in").alias("dependents"), listed("out").alias("dependencies"))
+    counted = ends.groupBy(repo, "path").agg(F.count_if(F.col("side") == "in").alias("n_dependents"), F.count_if(F.col("side") == "out").alias("n_dependencies"))
+    return lists.join(counted, [repo, "path"])
+
+
 def instability(fan_in: Column, fan_out: Column) -> Column:
     return ratio(fan_out, fan_in + fan_out)
 

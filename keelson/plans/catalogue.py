@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import percentile, rounded
+from ..functions.numbers import percentile, rounded, with_percentile
 from ..operators import churn, coupling, graph, history, quality, reports, scoring
 from . import tables as t
 from . import twins as q
@@ -40,6 +40,14 @@ def pct_rank_signal(spark, sf_dir):
     return t.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", percentile("p_size", "p_brand").alias("size_pct"))
 
 
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, percent_rank() OVER (ORDER BY l_extendedprice) AS price_pct, percent_rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS quantity_pct FROM lineitem")
+def pct_rank_large_groups(spark, sf_dir):
+    """All lines of orders as one group, and as three."""
+    lines = t.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag")
+    ranked = with_percentile(with_percentile(lines, "l_extendedprice", "price_pct"), "l_quantity", "quantity_pct", "l_returnflag")
+    return ranked.select("l_orderkey", "l_linenumber", "l_extendedprice", "price_pct", "quantity_pct")
+
+
 @query(f"WITH {q.changes(180)} SELECT path, churn_commits, churn_lines FROM churned")
 def churn_counts(spark, sf_dir):
     return churn.counts(t.parts(spark, sf_dir), t.part_changes(spark, sf_dir), ["repo_id", "path"]).select("path", "churn_commits", "churn_lines")
@@ -103,9 +111,24 @@ def coupling_top_partner(spark, sf_dir):
     return coupling.top_partner(_supplier_pairs(spark, sf_dir)).drop("repo_id")
 
 
+@query(f"""WITH {SUPPLIER_SQL} SELECT path, string_agg(partner || ':' || co_changes || ':' || own_changes, ' ' ORDER BY coupling DESC, co_changes DESC, partner) AS partners FROM pairs GROUP BY path""")
+def coupling_partners(spark, sf_dir):
+    entry = lambda x: F.concat_ws(":", *[x[c].cast("string") for c in ("path", "co_changes", "own_changes")])
+    return coupling.partners_of(_supplier_pairs(spark, sf_dir)).select("path", F.array_join(F.transform("partners", entry), " ").alias("partners"))
+
+
 # ---- graph
 
 
+@query(f"""WITH {q.EDGES}, ends AS (SELECT dst AS path, 'in' AS side, src AS other FROM edges UNION ALL SELECT src, 'out', dst FROM edges), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY path, side ORDER BY other) AS nth FROM ends
+) SELECT path, coalesce(string_agg(other, ' ' ORDER BY other) FILTER (side = 'in' AND nth <= 10), '') AS dependents, coalesce(string_agg(other, ' ' ORDER BY other) FILTER (side = 'out' AND nth <= 10), '') AS dependencies,
+  count(*) FILTER (side = 'in') AS n_dependents, count(*) FILTER (side = 'out') AS n_dependencies FROM numbered GROUP BY path""")
+def edge_lists(spark, sf_dir):
+    lists = graph.edge_lists(t.part_edges(spark, sf_dir), 10)
+    return lists.select("path", F.array_join("dependents", " ").alias("dependents"), F.array_join("dependencies", " ").alias("dependencies"), "n_dependents", "n_dependencies")
+
+
 @query(f"WITH {q.EDGES} SELECT src, dst FROM edges")
 def dep_edges(spark, sf_dir):
     return t.part_edges(spark, sf_dir).drop("repo_id")

@@ -80,6 +80,15 @@ def name_only_log(spark, sf_dir):
     return gitlog.name_only(_orders(spark, sf_dir, F.concat(F.lit("part/"), "l_partkey"), sha)).select("commit", "path")
 
 
+@query("SELECT 'r' || l_orderkey // 5000 AS repo_id, md5(l_orderkey::VARCHAR) || '00000000' AS commit, 'part/' || l_partkey AS path FROM lineitem")
+def carry_forward_log(spark, sf_dir):
+    """Logs without separators, of a repository for each 5,000 keys of orders; each begins with a path of no commit."""
+    logged = _orders(spark, sf_dir, F.concat(F.lit("part/"), "l_partkey"), F.concat(F.md5(F.col("l_orderkey").cast("string")), F.lit("00000000")))
+    logged = logged.select(F.concat(F.lit("r"), F.floor(F.col("seq") / 5000).cast("long")).alias("repo_id"), "seq", "value")
+    whole = logged.groupBy("repo_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("seq", "value")))["value"], "\n").alias("value"))
+    return gitlog.name_only_lines(texts.lines(spark, _written(whole.withColumn("value", F.concat(F.lit("stray\n"), "value"))), None))
+
+
 @query("""SELECT l_orderkey::BIGINT AS seq, l_orderkey::BIGINT * 100 AS epoch, CASE l_linenumber % 5 WHEN 0 THEN 'R090' WHEN 1 THEN 'A' WHEN 2 THEN 'D' ELSE 'M' END AS status,
   CASE WHEN l_linenumber % 5 = 0 THEN 'old/' || l_suppkey END AS old_path, 'part/' || l_partkey AS path FROM lineitem WHERE l_linenumber % 5 <> 4""")
 def name_status_log(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import renamed
-from .texts import lines, numbered
+from .texts import carried, lines, numbered
 
 #: Commands whose output the readers take; days limits the window.
 NUMSTAT = "git log --no-merges --since='{days} days ago' --numstat --format= --diff-filter=ACDMR -M"
@@ -36,6 +36,16 @@ def name_only(records: DataFrame) -> DataFrame:
     return each.filter("trim(value) <> ''").select("repo_id", "commit", renamed(F.col("value")).alias("path"))
 
 
+def name_only_lines(lines: DataFrame) -> DataFrame:
+    """lines: repo_id, value, of a log without record separators, as it is read (--format=%H). Rows: repo_id, commit, path.
+
+    A path is of the commit above it; paths above the first commit are nobody's.
+    """
+    own = lines.withColumn("sha", F.when(F.trim("value").rlike("^[0-9a-f]{40}$"), F.trim("value")))
+    under = carried(own, "sha", "commit").filter("sha IS NULL AND commit IS NOT NULL AND trim(value) <> ''")
+    return under.select("repo_id", "commit", renamed(F.col("value")).alias("path"))
+
+
 def name_status(records: DataFrame) -> DataFrame:
     """records: repo_id, seq (0 for the newest), value (a record: the epoch, then lines of status and paths).
 

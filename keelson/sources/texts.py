@@ -40,3 +40,16 @@ def numbered(rows: DataFrame) -> DataFrame:
     before = W.partitionBy("repo_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("repo_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     return inside.join(offsets, ["repo_id", "part"]).withColumn("seq", F.col("nth") + F.col("offset")).drop("at", "part", "nth", "offset")
+
+
+def carried(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """rows (repo_id, value and more, as they are read) with the last value of the column that isn't null, at or above each row.
+
+    A scan by segments: down the rows of each task's part of the text, then from part to part, by one row for each part.
+    """
+    at = rows.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
+    inside = at.withColumn("here", F.last(column, ignorenulls=True).over(W.partitionBy("repo_id", "part").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
+    ends = at.groupBy("repo_id", "part").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col("at"))).alias("end"))
+    before = W.partitionBy("repo_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    above = ends.select("repo_id", "part", F.last("end", ignorenulls=True).over(before).alias("above"))
+    return inside.join(above, ["repo_id", "part"]).withColumn(out, F.coalesce("here", "above")).drop("at", "part", "here", "above")

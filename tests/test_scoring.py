@@ -111,3 +111,23 @@ def test_coverage_of_merged_arrays(spark):
 
 def test_result_columns(spark):
     assert len(analysis.RESULT_COLUMNS) == 27
+
+
+def test_percentiles_of_large_groups(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pyspark.sql import Window as W
+
+    from keelson.functions.numbers import percentile, with_percentile
+
+    rng = random.Random(4)
+    rows = [(k, "a" if k % 3 else "b", rng.choice([None, 1.0, rng.randint(0, 300) / 7])) for k in range(3000)] + [(5000, "alone", 2.0), (5001, "none", None)]
+    frame = spark.createDataFrame(rows, "k int, g string, x double")
+    for group in (("g",), ()):
+        want = frame.filter("x IS NOT NULL").withColumn("p", percentile("x", *group) if group else F.percent_rank().over(W.orderBy("x")))
+        got = with_percentile(frame, "x", "p", *group, stretches=8)
+        assert got.count() == len(rows)
+        assert {(r.k, r.p) for r in got.filter("x IS NOT NULL").collect()} == {(r.k, r.p) for r in want.select("k", "p").collect()}
+        assert got.filter("x IS NULL AND p IS NOT NULL").isEmpty()

@@ -220,3 +220,21 @@ def test_records_of_many_repositories_keep_their_order(spark, tmp_path):
         (tmp_path / repo / "log").write_text("".join(f"\x1e{1000 - i}\n\nM\tf{i}\nT\tlink\n" for i in range(n)))
     rows = gitlog.name_status(gitlog.read_records(spark, str(tmp_path / "*" / "log"), None)).collect()
     assert sorted((r.repo_id, r.seq, r.epoch, r.path) for r in rows) == [(repo, i, 1000 - i, f"f{i}") for repo, n in (("one", 300), ("two", 7)) for i in range(n)]
+
+
+def test_commits_are_carried_down_over_splits(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    want, text = [], "stray\n"
+    for k in range(400):
+        sha = f"{k:040x}"
+        text += sha + "\n\n" + "".join(f"f{k}_{i}\n" for i in range(k % 4 * 9))
+        want += [(sha, f"f{k}_{i}") for i in range(k % 4 * 9)]
+    (tmp_path / "r" / "log").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        lines = texts.lines(spark, str(tmp_path / "*" / "log"), None)
+        assert lines.rdd.getNumPartitions() > 20
+        assert sorted((r.commit, r.path) for r in gitlog.name_only_lines(lines).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
