@@ -71,7 +71,9 @@ def mix(docs: DataFrame, *, seed: int = 7, most: int = 3, carry: bool = False) -
     turn = unit_hash(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
     lined = sized.withColumn("turn", turn).withColumn("band", band("size")).withColumn("block", (F.col("turn") % SPREAD).cast("int"))
     right = blocks(lined).join(per_source, F.col("b_source").eqNullSafe(per_source["source"])).drop("source")
-    inside = W.partitionBy("source", "band", "block").orderBy("turn", "size", F.col("doc_id").isNull(), "doc_id")
+    # rows carried along differ in more than their ids, so that reruns give the same ones they need an order, too
+    rest = [F.xxhash64("row"), F.xxhash64("row", F.lit(1))] if carry else []
+    inside = W.partitionBy("source", "band", "block").orderBy("turn", "size", F.col("doc_id").isNull(), "doc_id", *rest)
     ranked = lined.withColumn("nth", F.row_number().over(inside))
     here = ranked["source"].eqNullSafe(right["b_source"]) & (ranked["band"] == right["b_band"]) & (ranked["block"] == right["b_block"])
     # whole copies up to the end of the document's stretch, less those up to its start
