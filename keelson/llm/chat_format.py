@@ -93,8 +93,8 @@ def lined(turns: DataFrame) -> DataFrame:
     clean = turns.select(
         F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("cost", tokens(F.col("text")).cast("long"))
-    # two levels: runs of turns by their number, then the turns of a run
-    clean = clean.withColumn("run", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / RUN))
+    # two levels: runs of turns by their number, then the turns of a run; turns without a number come first
+    clean = clean.withColumn("run", F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-1 << 62)))
     runs = clean.groupBy("conv", "run").agg(F.sum("cost").alias("run_cost"), F.count(F.lit(1)).alias("run_turns"))
     before = W.partitionBy("conv").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
     runs = runs.select(
