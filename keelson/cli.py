@@ -165,8 +165,8 @@ def edges(spark: SparkSession, args: argparse.Namespace) -> int:
         return 1
     partners = []
     if logged is not None:
-        kept, _ = coupling.bulk_filter(coupling.commits(logged, inputs.files), options.coupling_max_commit_files)
-        found = coupling.partners_of(coupling.pairs(kept, threshold=options.coupling_threshold, min_commits=options.coupling_min_commits))
+        pairs, _ = coupling.coupled(logged, inputs.files, options.coupling_max_commit_files, threshold=options.coupling_threshold, min_commits=options.coupling_min_commits)
+        found = coupling.partners_of(pairs)
         partners = [p.asDict() for r in found.filter(F.col("path") == args.file).collect() for p in r["partners"]]
     print(writers.edges_text(args.file, header, reports.edges_of(args.file, report.edges, report.rows), partners, churn_days=options.churn_days, min_commits=options.coupling_min_commits, threshold=options.coupling_threshold))
     return 0

@@ -53,8 +53,7 @@ def coupled_pairs(inputs: Inputs, options: Options) -> tuple[DataFrame | None, D
     """Over all languages at once: (pairs, commits over the cap)."""
     if inputs.commits is None:
         return None, None
-    kept, bulk = coupling.bulk_filter(coupling.commits(inputs.commits, inputs.files), options.coupling_max_commit_files)
-    return coupling.pairs(kept, threshold=options.coupling_threshold, min_commits=options.coupling_min_commits), bulk
+    return coupling.coupled(inputs.commits, inputs.files, options.coupling_max_commit_files, threshold=options.coupling_threshold, min_commits=options.coupling_min_commits)
 
 
 def dependencies(inputs: Inputs, group: str) -> tuple[DataFrame, DataFrame]:

@@ -98,6 +98,11 @@ def coupling_bulk_filter(spark, sf_dir):
     return coupling.pairs(kept, threshold=0.1, min_commits=5).drop("repo_id")
 
 
+@query(f"WITH {q.coupled('SELECT date_trunc(' + chr(39) + 'hour' + chr(39) + ', ts) AS commit, user_id AS path FROM events', 1 << 30, 5, 0.1)} SELECT path, partner, coupling, co_changes, own_changes FROM pairs")
+def coupling_without_cap(spark, sf_dir):
+    return coupling.pruned_pairs(t.user_hours(spark, sf_dir), threshold=0.1, min_commits=5).drop("repo_id")
+
+
 @query(f"WITH {HOURS_SQL} SELECT count(DISTINCT commit) FILTER (n <= 13) AS kept, count(DISTINCT commit) FILTER (n > 13) AS skipped FROM sized")
 def coupling_bulk_skipped(spark, sf_dir):
     grouped = coupling.commits(t.user_hours(spark, sf_dir))
