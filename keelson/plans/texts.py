@@ -28,8 +28,9 @@ OWN = 500
 REPO_SQL = f"'r' || p_partkey // {OWN}"
 
 
-def repo(number=F.col("p_partkey")):
-    return F.concat(F.lit("r"), F.floor(number / OWN).cast("long"))
+def repo(number=None):
+    """Of a part, or of another number."""
+    return F.concat(F.lit("r"), F.floor((key() if number is None else number) / OWN).cast("long"))
 
 
 def _parts(spark, sf_dir):
