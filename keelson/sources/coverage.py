@@ -27,13 +27,18 @@ def _matched(found: DataFrame, files: DataFrame, root: str) -> DataFrame:
     return named.join(suffix_match(named, files), ["repo_id", "reported"])
 
 
+def _entries(rows: DataFrame) -> DataFrame:
+    """rows: repo_id, body (a variant). repo_id, key, value of each entry of the objects; what isn't an object has none."""
+    objects = rows.filter(F.schema_of_variant("body").startswith("OBJECT"))
+    return objects.lateralJoin(objects.sparkSession.tvf.variant_explode(F.col("body").outer())).select("repo_id", "key", "value")
+
+
 def resultset(texts: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
     """JSON with suites of `coverage`, or `coverage` at the top; a file's lines are an array, or an object with `lines`."""
-    top = texts.select("repo_id", F.explode(F.from_json("value", "map<string,string>")).alias("suite", "body"))
-    inner = top.select("repo_id", F.when(F.col("suite") == "coverage", F.col("body")).otherwise(F.get_json_object("body", "$.coverage")).alias("coverage")).filter("coverage IS NOT NULL")
-    each = inner.select("repo_id", F.explode(F.from_json("coverage", "map<string,string>")).alias("reported", "body"))
-    hits = F.coalesce(F.from_json(F.get_json_object("body", "$.lines"), "array<int>"), F.from_json("body", "array<int>"))
-    found = each.select("repo_id", "reported", hits.alias("hits")).filter("hits IS NOT NULL")
+    top = _entries(texts.select("repo_id", F.try_parse_json("value").alias("body")))
+    inner = top.select("repo_id", F.when(F.col("key") == "coverage", F.col("value")).otherwise(F.try_variant_get("value", "$.coverage", "variant")).alias("body"))
+    lines = F.coalesce(F.try_variant_get("value", "$.lines", "array<int>"), F.try_variant_get("value", "$", "array<int>"))
+    found = _entries(inner).select("repo_id", F.col("key").alias("reported"), lines.alias("hits")).filter("hits IS NOT NULL")
     return max_merge(_matched(found, files, root).select("repo_id", "path", "hits"), ["repo_id", "path"]).select("repo_id", "path", "line_rate")
 
 
