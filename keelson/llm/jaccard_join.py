@@ -13,16 +13,18 @@ n - ceil(n * NUM / DEN) + k tokens hold k of the shared ones.
   counted from the histogram of sizes and the mean length of a list.
 - A set whose prefix reaches into the heavy tokens consists of them by about three quarters: near copies of a text that
   many documents hold. Light lists have fewer than `heavy` entries at any corpus size, those of heavy tokens any number,
-  so these sets leave the lists. They are gathered into families (components over shared prefix tokens). A family is cut
-  into bands of size, each 4/3 of the one before, as sets further apart can't link, and compared within a band and with
-  the next one, block by block through the token incidence matrix; a task emits a spanning forest of its links, not all
-  pairs.
+  so these sets leave the lists. They are gathered into families (components over shared prefix tokens). All sets of a
+  family are first compared with PIVOTS of it, chosen by hash; sets that link with the same pivot are connected already
+  and never compared with each other. What remains is cut into bands of size, each 4/3 of the one before, as sets further
+  apart can't link, and compared within a band and with its neighbours, block by block through the token incidence
+  matrix; a task emits a spanning forest of its links, not all pairs.
 
 Candidates are verified on their whole sets, so every link is real, and none between different sets is lost.
 
-Which tokens are heavy is broadcast while they are HEAVY_MOST or fewer. Beyond that the documents' tokens are dealt out by
-bucket, meet the bucket's heavy ones there, and the answer is joined back to the documents; order, lists and result are
-the same. Also broadcast: a bitmap of fixed size that spares most documents the shuffle of their sets.
+Of the heavy tokens the most frequent are broadcast, HEAVY_MOST at most. If there are more, the documents' other tokens
+are dealt out by bucket, meet the bucket's heavy ones there, and the answer is joined back to the documents; a token dealt
+out stands in at most one HEAVY_MOST-th of all that documents hold, so no bucket grows with the most frequent ones. Order,
+lists and result are the same. Also broadcast: a bitmap of fixed size that spares most documents the shuffle of their sets.
 
 Defined results: null and empty texts have no shingles and link with nothing; null ids count as larger than all others;
 equal rows are in one component; other columns never matter.
@@ -36,7 +38,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -53,6 +56,8 @@ BUCKET, GATHER, SLOT_BITS = 1 << 22, 1 << 20, 24
 MARK_BITS = 26
 #: Sets of a block.
 BLOCK = 1024
+#: Sets of a family that all others of it are compared with, and groups in which each task's counts of sizes are summed.
+PIVOTS, SUMS = 8, 1024
 
 
 def tokens_of(text: bytes | None) -> np.ndarray:
@@ -92,6 +97,11 @@ def _codes(tokens: np.ndarray, bits: int) -> np.ndarray:
     return tokens >> np.uint64(64 - SLOT_BITS - bits)
 
 
+def _among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which codes are in known, which is sorted."""
+    return known[np.searchsorted(known, codes).clip(max=len(known) - 1)] == codes if len(known) else np.zeros(len(codes), bool)
+
+
 def _planes(values: np.ndarray, n: int) -> bytes:
     """n bytes of each value, highest first, byte by byte: sorted values compress well so."""
     return b"".join((values >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(n - 1, -1, -1))
@@ -111,18 +121,21 @@ def _cuts(bucket: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _count_rows(bits: int):
-    """Tokens of many documents, counted and dealt into buckets: planes of sorted slots and their counts. Bucket -1: sizes of sets."""
+    """Tokens of many documents, counted and dealt into buckets: planes of sorted slots and their counts. Buckets below 0: a task's sizes of sets."""
 
-    def deal(held: list[np.ndarray], sizes: np.ndarray) -> pa.RecordBatch:
+    def batch_of(buckets: list[int], packed: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+
+    def deal(held: list[np.ndarray]) -> pa.RecordBatch:
         # a token in a third of all documents is one entry for each GATHER tokens
         codes, times = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
         times = times.astype(np.uint64)
         bucket = (codes >> np.uint64(SLOT_BITS)).astype(np.int64)
-        buckets, packed = [-1], [sizes.tobytes()]
+        buckets, packed = [], []
         for s, e in _cuts(bucket):
             buckets.append(int(bucket[s]))
             packed.append(_planes(codes[s:e] & np.uint64((1 << SLOT_BITS) - 1), 3) + _planes(times[s:e], 3))
-        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+        return batch_of(buckets, packed)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, sizes = [], 0, np.zeros(128, np.int64)
@@ -134,17 +147,18 @@ def _count_rows(bits: int):
                 sizes[min(len(tokens), 126)] += 1
                 sizes[127] += len(tokens)
                 if size >= GATHER:
-                    yield deal(held, sizes)
-                    held, size, sizes = [], 0, np.zeros(128, np.int64)
-        yield deal(held, sizes)
+                    yield deal(held)
+                    held, size = [], 0
+        yield deal(held)
+        yield batch_of([-1 - TaskContext.get().partitionId() % SUMS], [sizes.tobytes()])
 
     return work
 
 
 def _count_bucket(table: pa.Table) -> pa.Table:
-    """Codes in HEAVY documents or more; for bucket -1 the sums of its arrays, under negative codes."""
+    """Codes in HEAVY documents or more; for buckets below 0 the sums of their arrays, under negative codes."""
     bucket, packed = table.column("bucket")[0].as_py(), table.column("packed").to_pylist()
-    if bucket == -1:
+    if bucket < 0:
         sizes = sum(np.frombuffer(b, np.int64) for b in packed)
         return pa.table({"code": pa.array(-1 - np.arange(128), pa.int64()), "docs": pa.array(sizes, pa.int64())})
     parts = [_unplaned(b, 6) for b in packed]
@@ -159,8 +173,8 @@ def _count_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"code": pa.array(codes, pa.int64()), "docs": pa.array(np.concatenate([count[hot], [int((count[~hot] ** 2).sum())]]), pa.int64())})
 
 
-def _ask_rows(bits: int):
-    """Tokens of many documents, dealt into buckets with the documents' places in their chunk; bucket null: the keys of a chunk."""
+def _ask_rows(bits: int, heavy):
+    """Tokens of many documents but for those in the broadcast, dealt into buckets with the documents' places in their chunk; bucket null: the keys of a chunk."""
 
     def deal(keys: list[bytes], held: list[np.ndarray]) -> pa.RecordBatch:
         chunk = hashlib.md5(b"".join(keys)).digest()
@@ -180,10 +194,12 @@ def _ask_rows(bits: int):
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 tokens = tokens_of(text)
-                if len(tokens):
+                codes = _codes(tokens, bits)
+                codes = codes[~_among(codes, heavy.value)]
+                if len(codes):
                     keys.append(key)
-                    held.append(_codes(tokens, bits))
-                    size += len(tokens)
+                    held.append(codes)
+                    size += len(codes)
                 if size >= GATHER:
                     yield deal(keys, held)
                     keys, held, size = [], [], 0
@@ -199,7 +215,7 @@ def _answer(asked: pa.Table, hot: pa.Table) -> pa.Table:
     for chunk, bucket, data in zip(*(asked.column(c).to_pylist() for c in ("chunk", "bucket", "packed")), strict=True):
         both = _unplaned(data, 6)
         codes = (both >> 24) + (bucket << SLOT_BITS)
-        found = known[np.searchsorted(known, codes).clip(max=len(known) - 1)] == codes if len(known) else np.zeros(len(codes), bool)
+        found = _among(codes, known)
         if found.any():
             chunks.append(chunk)
             packed.append(np.stack([both[found] & 0xFFFFFF, codes[found]]).tobytes())
@@ -218,9 +234,21 @@ def _flags(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array([names[16 * int(place[s]) :][:16] for s, _ in cuts], pa.binary()), "hot": pa.array([code[s:e] for s, e in cuts], pa.list_(pa.int64()))})
 
 
-def flagged(texts: DataFrame, hot: DataFrame, bits: int, home: str) -> DataFrame:
-    """texts with the column hot, the sorted codes of a document's heavy tokens: nothing is broadcast."""
-    asked = common.keep(texts.select("key", "text").mapInArrow(_ask_rows(bits), "chunk binary, bucket long, packed binary"), f"{home}/asked")
+def most_frequent(hot: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """hot: code, docs. (codes to broadcast, the others): the former are those of the highest levels that hold `most` codes or fewer together."""
+    level = F.floor(F.log2("docs") * 8).cast("int")
+    held, cut = 0, 1 << 20
+    for r in hot.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 512 levels
+        held += r["count"]
+        if held > most:
+            break
+        cut = r["level"]
+    return hot.filter(level >= cut).select("code"), hot.filter(level < cut).select("code")
+
+
+def flagged(texts: DataFrame, hot: DataFrame, heavy, bits: int, home: str) -> DataFrame:
+    """texts with the column hot, the sorted codes of a document's heavy tokens that aren't in the broadcast."""
+    asked = common.keep(texts.select("key", "text").mapInArrow(_ask_rows(bits, heavy), "chunk binary, bucket long, packed binary"), f"{home}/asked")
     named = asked.filter("bucket IS NULL").select("chunk", F.lit(True).alias("keyed"), "packed")
     in_bucket = hot.withColumn("bucket", F.shiftright("code", SLOT_BITS))
     found = asked.filter("bucket IS NOT NULL").groupBy("bucket").cogroup(in_bucket.groupBy("bucket")).applyInArrow(_answer, "chunk binary, keyed boolean, packed binary")
@@ -243,7 +271,7 @@ def boundary(sizes: list[int], total: int, list_length: float) -> int:
 
 
 def _prefix_rows(bits: int, heavy, limit: int, kind: pa.DataType):
-    """A row for each document (bucket null), and rows of packed list entries. heavy: a broadcast, or None if the rows have their own column hot."""
+    """A row for each document (bucket null), and rows of packed list entries. heavy: a broadcast; rows may have a column hot of further heavy codes."""
 
     def deal(keys: list[np.ndarray], owners: list[tuple[int, int, int]]) -> list[tuple]:
         if not owners:
@@ -269,7 +297,7 @@ def _prefix_rows(bits: int, heavy, limit: int, kind: pa.DataType):
         keys, owners, size = [], [], 0
         for batch in batches:
             rows = []
-            each = [heavy.value] * batch.num_rows if heavy else (np.array(h or [], np.uint64) for h in batch.column("hot").to_pylist())
+            each = [np.array(h or [], np.uint64) for h in batch.column("hot").to_pylist()] if "hot" in batch.schema.names else [np.zeros(0, np.uint64)] * batch.num_rows
             for row_key, doc_id, text, hot in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), each, strict=True):
                 tokens = tokens_of(text)
                 n = len(tokens)
@@ -277,7 +305,7 @@ def _prefix_rows(bits: int, heavy, limit: int, kind: pa.DataType):
                 family = None
                 if n:
                     codes = _codes(tokens, bits)
-                    is_hot = hot[np.searchsorted(hot, codes).clip(max=len(hot) - 1)] == codes if len(hot) else np.zeros(n, bool)
+                    is_hot = _among(codes, heavy.value) | _among(codes, hot)
                     light = tokens[~is_hot]
                     first = n - needed(n) + 1
                     if len(light) < min(n, first - 1 + max(shared_lists(n), 2)):
@@ -396,21 +424,39 @@ def _compare_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def family_members(labels: DataFrame, sets: DataFrame, home: str) -> DataFrame:
-    """labels: set, label. A row for each set and pair of blocks to compare that its own block is in: set, label, low, high (bands), i, j, side."""
+def similar(x: str, y: str) -> Column:
+    """Whether two arrays of tokens link; sizes are compared first."""
+    n, m = F.size(x), F.size(y)
+    both = F.size(F.array_intersect(x, y))
+    return (NUM * F.greatest(n, m) <= DEN * F.least(n, m)) & ((DEN + NUM) * both >= NUM * (n + m))
+
+
+def with_pivots(labels: DataFrame, sets: DataFrame, home: str) -> tuple[DataFrame, DataFrame]:
+    """labels: set, label. ((set, label, band, pivot), links with pivots); pivot: number of the first one that the set links with, or -1."""
     band = F.floor(F.log(F.size("tokens")) / F.log(F.lit(DEN / NUM))).cast("int")
-    sized = common.keep(labels.join(sets.select("set", band.alias("band")), "set"), f"{home}/sized")
-    blocks = sized.groupBy("label", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    spread = common.keep(blocks.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("spread")), f"{home}/spread")
-    at = sized.join(spread, "label").withColumn("own", F.pmod(F.xxhash64("set"), F.try_element_at("spread", F.col("band"))).cast("int"))
-    others = lambda b: F.filter(F.sequence(F.lit(-1), F.coalesce(F.try_element_at(F.col("spread"), b), F.lit(0)) - 1), lambda x: x >= 0)
-    pair = lambda low, high, i, j: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
-    band, own = F.col("band"), F.col("own")
-    with_own = F.transform(others(band), lambda x: pair(band, band, F.least(own, x), F.greatest(own, x)))
-    with_next = F.transform(others(band + 1), lambda x: pair(band, band + 1, own, x))
-    with_last = F.transform(others(band - 1), lambda x: pair(band - 1, band, x, own))
-    side = (band.cast("long") * (1 << 32) + own).alias("side")
-    return at.select("set", "label", side, F.explode(F.concat(with_own, with_next, with_last)).alias("p")).select("set", "label", "side", "p.*")
+    held = common.keep(labels.join(sets, "set").select("set", "label", band.alias("band"), "tokens"), f"{home}/held")
+    chosen = held.groupBy("label").agg(F.array_distinct(F.array(*[F.min_by("set", F.xxhash64("set", F.lit(k))) for k in range(PIVOTS)])).alias("chosen"))
+    chosen = chosen.select("label", F.posexplode("chosen").alias("pivot", "a"))
+    pivots = common.keep(chosen.join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("other")), "a"), f"{home}/pivots")
+    met = common.keep(held.join(pivots, "label").filter(similar("tokens", "other")).select("set", "pivot", "a"), f"{home}/met")
+    first = met.groupBy("set").agg(F.min("pivot").alias("pivot"))
+    return held.drop("tokens").join(first, "set", "left").fillna(-1, ["pivot"]), met.filter("a != set").select("a", F.col("set").alias("b"))
+
+
+def family_members(sized: DataFrame, home: str) -> DataFrame:
+    """sized: set, label, band, pivot. A row for each set and pair of blocks to compare that its own block is in: set, label, side, low and high (blocks)."""
+    sized = common.keep(sized, f"{home}/sized")
+    blocks = sized.groupBy("label", "band", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    # a label has PIVOTS + 1 groups in each of its bands
+    spread = common.keep(blocks.groupBy("label").agg(F.collect_list(F.struct("band", "pivot", "n")).alias("spread")), f"{home}/spread")
+    number = lambda band, pivot, i: band.cast("long") * (1 << 40) + (pivot + 1).cast("long") * (1 << 34) + i.cast("long")
+    band, pivot = F.col("band"), F.col("pivot")
+    mine = F.filter("spread", lambda x: (x["band"] == band) & (x["pivot"] == pivot))[0]["n"]
+    at = sized.join(spread, "label").withColumn("side", number(band, pivot, F.pmod(F.xxhash64("set"), mine)))
+    near = F.filter("spread", lambda x: (F.abs(x["band"] - band) <= 1) & ((x["pivot"] != pivot) | (pivot == -1)))
+    others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: number(x["band"], x["pivot"], i))))
+    side = F.col("side")
+    return at.select("set", "label", "side", F.explode(others).alias("x")).select("set", "label", "side", F.least(side, F.col("x")).alias("low"), F.greatest(side, F.col("x")).alias("high"))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -425,12 +471,9 @@ def join(docs: DataFrame) -> DataFrame:
     stats = {r["code"]: r["docs"] for r in counted.filter("code < 0").groupBy("code").agg(F.sum("docs").alias("docs")).collect()}
     sizes, total = [stats.get(-1 - n, 0) for n in range(126)], stats.get(-128, 0)
     limit = boundary(sizes, total, 1 + stats.get(-200, 0) / max(1, total))
-    hot = counted.filter((F.col("code") >= 0) & (F.col("docs") >= HEAVY)).select("code")
-    heavy, asked = None, texts
-    if hot.count() <= HEAVY_MOST:
-        heavy = spark.sparkContext.broadcast(np.sort(hot.toPandas()["code"].to_numpy(np.uint64)))
-    else:
-        asked = flagged(texts, hot, bits, home)
+    frequent, others = most_frequent(counted.filter((F.col("code") >= 0) & (F.col("docs") >= HEAVY)), HEAVY_MOST)
+    heavy = spark.sparkContext.broadcast(np.sort(frequent.toPandas()["code"].to_numpy(np.uint64)))
+    asked = texts if others.isEmpty() else flagged(texts, others, heavy, bits, home)
 
     id_type = docs.schema["doc_id"].dataType
     entries = common.keep(
@@ -461,13 +504,13 @@ def join(docs: DataFrame) -> DataFrame:
 
     left = candidates.join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("x")), "a")
     pairs = left.join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    light_links = pairs.filter(DEN * both >= NUM * (F.size("x") + F.size("y") - both)).select("a", "b")
+    light_links = pairs.filter(similar("x", "y")).select("a", "b")
 
-    heavy_links = family_members(labels.withColumnRenamed("node", "set"), sets, home).join(sets, "set")
-    heavy_links = heavy_links.groupBy("label", "low", "high", "i", "j").applyInArrow(_compare_blocks, "a long, b long")
+    sized, pivot_links = with_pivots(labels.select(F.col("node").alias("set"), "label"), sets, home)
+    heavy_links = family_members(sized, home).join(sets, "set")
+    heavy_links = heavy_links.groupBy("label", "low", "high").applyInArrow(_compare_blocks, "a long, b long")
 
-    groups = components(light_links.unionByName(heavy_links), f"{home}/groups")
+    groups = components(light_links.unionByName(pivot_links).unionByName(heavy_links), f"{home}/groups")
     labelled = rows.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     smallest = common.keep(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), f"{home}/smallest")
     joined = labelled.join(smallest, "label")

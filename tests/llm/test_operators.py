@@ -417,6 +417,24 @@ def test_jaccard_join(spark, awkward, empty, monkeypatch, most):
         assert rows(named.select("doc_id", "component_id")) == [("a", "a"), ("b", "a"), (None, None)]
 
 
+def test_jaccard_join_with_a_token_in_every_document(spark, monkeypatch):
+    """Some heavy tokens broadcast, the others dealt out; chains of near copies, of which few link with a pivot."""
+    for name, value in {"HEAVY": 8, "HEAVY_MOST": 20, "PIVOTS": 2, "BLOCK": 7}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    r = random.Random(9)
+    head, text, texts = prose(5, "head"), prose(60, "chain").split(), []
+    for _ in range(110):  # each a little further from the first
+        text = [*text]
+        text[r.randrange(len(text))] = r.choice(VOCABULARY)
+        texts.append(head + " " + " ".join(text))
+    texts += [head + " " + prose(r.choice([3, 30]), f"own{i}") for i in range(30)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    r.shuffle(docs)
+    got = rows(jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id"))
+    assert got == brute_components(docs)
+    assert len({c for _, _, c in got}) > 20
+
+
 def test_boundary_is_where_costs_meet():
     assert jaccard_join.boundary([0] * 126, 0, 1.0) == 2
     small = [0] * 126
