@@ -14,8 +14,8 @@ n - ceil(n * NUM / DEN) + k tokens hold k of the shared ones.
 - A set whose prefix reaches into the heavy tokens consists of them by about three quarters: near copies of a text that
   many documents hold. Light lists have fewer than `heavy` entries at any corpus size, those of heavy tokens any number,
   so these sets leave the lists. They are gathered into families (components over shared prefix tokens). All sets of a
-  family are first compared with PIVOTS of it, chosen by hash; sets that link with the same pivot are connected already
-  and never compared with each other. What remains is cut into bands of size, each 4/3 of the one before, as sets further
+  family are first compared with PIVOTS of it, chosen by hash; sets that link with the same pivot, or with pivots that
+  sets between them connect, are in one component already and never compared with each other. What remains is cut into bands of size, each 4/3 of the one before, as sets further
   apart can't link, and compared within a band and with its neighbours, block by block through the token incidence
   matrix; a task emits a spanning forest of its links, not all pairs.
 
@@ -432,28 +432,33 @@ def similar(x: str, y: str) -> Column:
 
 
 def with_pivots(labels: DataFrame, sets: DataFrame, home: str) -> tuple[DataFrame, DataFrame]:
-    """labels: set, label. ((set, label, band, pivot), links with pivots); pivot: number of the first one that the set links with, or -1."""
+    """labels: set, label. ((set, label, band, pivot), links with pivots); pivot: the pivots, as bits, that the set is connected with, 0 for none."""
     band = F.floor(F.log(F.size("tokens")) / F.log(F.lit(DEN / NUM))).cast("int")
     held = common.keep(labels.join(sets, "set").select("set", "label", band.alias("band"), "tokens"), f"{home}/held")
     chosen = held.groupBy("label").agg(F.array_distinct(F.array(*[F.min_by("set", F.xxhash64("set", F.lit(k))) for k in range(PIVOTS)])).alias("chosen"))
-    chosen = chosen.select("label", F.posexplode("chosen").alias("pivot", "a"))
+    chosen = chosen.select("label", F.posexplode("chosen").alias("place", "a")).withColumn("pivot", F.expr("shiftleft(1, place)"))
     pivots = common.keep(chosen.join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("other")), "a"), f"{home}/pivots")
-    met = common.keep(held.join(pivots, "label").filter(similar("tokens", "other")).select("set", "pivot", "a"), f"{home}/met")
-    first = met.groupBy("set").agg(F.min("pivot").alias("pivot"))
-    return held.drop("tokens").join(first, "set", "left").fillna(-1, ["pivot"]), met.filter("a != set").select("a", F.col("set").alias("b"))
+    met = common.keep(held.join(pivots, "label").filter(similar("tokens", "other")).select("set", "label", "pivot", "a"), f"{home}/met")
+    reached = common.keep(met.groupBy("set", "label").agg(F.bit_or("pivot").alias("pivot")), f"{home}/reached")
+    # at most 2 ** PIVOTS of a label; sets that share a pivot are joined until nothing is added
+    every = common.keep(reached.groupBy("label").agg(F.sort_array(F.collect_set("pivot")).alias("every")), f"{home}/every")
+    joined = F.aggregate(F.flatten(F.array_repeat("every", PIVOTS)), F.col("pivot"), lambda own, x: F.when(own.bitwiseAND(x) != 0, own.bitwiseOR(x)).otherwise(own))
+    groups = every.select("label", "every", F.explode("every").alias("pivot")).select("label", "pivot", joined.alias("group"))
+    grouped = reached.join(groups, ["label", "pivot"]).select("set", F.col("group").alias("pivot"))
+    return held.drop("tokens").join(grouped, "set", "left").fillna(0, ["pivot"]), met.filter("a != set").select("a", F.col("set").alias("b"))
 
 
 def family_members(sized: DataFrame, home: str) -> DataFrame:
     """sized: set, label, band, pivot. A row for each set and pair of blocks to compare that its own block is in: set, label, side, low and high (blocks)."""
     sized = common.keep(sized, f"{home}/sized")
     blocks = sized.groupBy("label", "band", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    # a label has PIVOTS + 1 groups in each of its bands
+    # a label has at most PIVOTS + 1 groups in each of its bands
     spread = common.keep(blocks.groupBy("label").agg(F.collect_list(F.struct("band", "pivot", "n")).alias("spread")), f"{home}/spread")
-    number = lambda band, pivot, i: band.cast("long") * (1 << 40) + (pivot + 1).cast("long") * (1 << 34) + i.cast("long")
+    number = lambda band, pivot, i: band.cast("long") * (1 << 44) + pivot.cast("long") * (1 << 34) + i.cast("long")
     band, pivot = F.col("band"), F.col("pivot")
     mine = F.filter("spread", lambda x: (x["band"] == band) & (x["pivot"] == pivot))[0]["n"]
     at = sized.join(spread, "label").withColumn("side", number(band, pivot, F.pmod(F.xxhash64("set"), mine)))
-    near = F.filter("spread", lambda x: (F.abs(x["band"] - band) <= 1) & ((x["pivot"] != pivot) | (pivot == -1)))
+    near = F.filter("spread", lambda x: (F.abs(x["band"] - band) <= 1) & ((x["pivot"] != pivot) | (pivot == 0)))
     others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: number(x["band"], x["pivot"], i))))
     side = F.col("side")
     return at.select("set", "label", "side", F.explode(others).alias("x")).select("set", "label", "side", F.least(side, F.col("x")).alias("low"), F.greatest(side, F.col("x")).alias("high"))
