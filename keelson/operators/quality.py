@@ -10,6 +10,11 @@ from ..functions.numbers import percentile
 RUBY_MESSAGE, JS_MESSAGE = r"\[(\d+)/0\]", r"complexity of (\d+)"
 
 
+def readable(files: DataFrame, messages: DataFrame, keys: list[str]) -> DataFrame:
+    """files without those that the linter couldn't read."""
+    return files.join(messages.filter("skipped").select(*keys).distinct(), keys, "left_anti")
+
+
 def max_complexity(files: DataFrame, messages: DataFrame, pattern: str, keys: list[str]) -> DataFrame:
     """files with complexity: the greatest number that the pattern finds in a file's messages, 0 if none."""
     found = messages.groupBy(*keys).agg(F.max(F.expr(f"try_cast(regexp_extract(message, r'{pattern}', 1) AS INT)")).alias("complexity"))

@@ -77,7 +77,7 @@ def analyse_group(inputs: Inputs, options: Options, group: str, top: DataFrame |
     lint = inputs.lint.get(group)
     if lint is not None:
         if group == "ruby":
-            files = files.join(lint.filter("skipped").select(*KEYS).distinct(), KEYS, "left_anti")
+            files = quality.readable(files, lint, KEYS)
         files = quality.max_complexity(files, lint, quality.RUBY_MESSAGE if group == "ruby" else quality.JS_MESSAGE, KEYS)
     else:
         files = files.withColumn("complexity", F.lit(0))

@@ -135,15 +135,27 @@ def lcov_report(spark, sf_dir):
 
 @query("""SELECT 'part/' || p_partkey AS path, CASE WHEN p_partkey % 13 = 0 THEN 0 ELSE greatest(p_size, p_partkey % 30) END::INT AS complexity, p_partkey % 11 = 0 AS skipped FROM part""")
 def ruby_lint_report(spark, sf_dir):
+    messages, known = _ruby_messages(spark, sf_dir)
+    scored = quality.max_complexity(known, messages, quality.RUBY_MESSAGE, ["repo_id", "path"])
+    skipped = messages.groupBy("repo_id", "path").agg(F.bool_or("skipped").alias("skipped"))
+    return scored.join(skipped, ["repo_id", "path"]).select("path", F.col("complexity").cast("int").alias("complexity"), "skipped")
+
+
+@query(f"SELECT {REPO_SQL} AS repo_id, 'part/' || p_partkey AS path FROM part WHERE p_partkey % 11 <> 0")
+def files_readable(spark, sf_dir):
+    """Files whose lint report has no fatal offense."""
+    messages, known = _ruby_messages(spark, sf_dir)
+    return quality.readable(known, messages, ["repo_id", "path"])
+
+
+def _ruby_messages(spark, sf_dir):
+    """A lint report for each repository, read back, and the files it is about."""
     offense = lambda n: F.concat(F.lit('{"cop_name": "Metrics/CyclomaticComplexity", "severity": "convention", "message": "Cyclomatic complexity is too high. ['), n, F.lit('/0]"}'))
     fatal = F.when(key() % 11 == 0, '{"cop_name": "Lint/Syntax", "severity": "fatal", "message": "unexpected token"}')
     found = F.when(key() % 13 == 0, F.concat_ws(", ", fatal)).otherwise(F.concat_ws(", ", fatal, offense(F.col("p_size")), offense(key() % 30)))
     line = F.concat(F.lit('{"path": "/w/part/'), key(), F.lit('", "offenses": ['), found, F.lit("]}"))
     texts = _joined(_parts(spark, sf_dir), line, ", ").withColumn("value", F.concat(F.lit('{"files": ['), "value", F.lit("]}")))
-    messages, known = tools.ruby_lint(texts, "/w"), _files(spark, sf_dir)
-    scored = quality.max_complexity(known, messages, quality.RUBY_MESSAGE, ["repo_id", "path"])
-    skipped = messages.groupBy("repo_id", "path").agg(F.bool_or("skipped").alias("skipped"))
-    return scored.join(skipped, ["repo_id", "path"]).select("path", F.col("complexity").cast("int").alias("complexity"), "skipped")
+    return tools.ruby_lint(texts, "/w"), _files(spark, sf_dir)
 
 
 @query("SELECT 'part/' || p_partkey AS path, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_size END::INT AS complexity FROM part")
