@@ -176,13 +176,38 @@ def brute_verdicts(texts):
     held = {}
     for t in texts:
         if not brute_quality(t)[-1]:
-            for b in {t.encode()} | set() if len(t.encode()) <= 1024 else [t.encode(), *cut(t.encode())]:
-                held.setdefault(group(b), []).append((math.floor(log(b) * 200) + 0.5) / 200)
+            data = t.encode()
+            for b, weight in [(data, 1 << 20), *[(b, (1 << 20) // len(cut(data))) for b in cut(data) if len(data) > 1024]]:
+                held.setdefault(group(b), []).append(((math.floor(log(b) * 200) + 0.5) / 200, weight))
+
+    def at(share, rows):
+        """The least value up to which this share of the weight lies."""
+        return next(v for v in sorted({v for v, _ in rows}) if sum(n for x, n in rows if x <= v) >= share * sum(n for _, n in rows) - 1e-9)
+
+    def narrowest(rows):
+        values = sorted({v for v, _ in rows})
+        inside = lambda a, b: [(v, n) for v, n in rows if a <= v <= b]
+        a, b = min(((b - a, a, b) for a in values for b in values if a <= b and sum(n for _, n in inside(a, b)) >= sum(n for _, n in rows) / 2 - 1e-9))[1:]
+        return inside(a, b)
+
+    def usual(rows):
+        middle = [v for v, _ in narrowest(narrowest(rows))]
+        a, b = min(middle), max(middle)
+        return [(v, n) for v, n in rows if abs(v - (a + b) / 2) <= 5 * max((b - a) / 2 / 0.319, 0.015)]
+
+    sizes = {g: sum(n for _, n in v) for g, v in held.items()}
+    counted = {g: min(n, 400 << 20) for g, n in sizes.items()}
+    middles = {g: at(0.5, usual(v)) for g, v in held.items()}
     limits = {}
-    for g, v in held.items():
-        at = lambda q, v=sorted(v): v[max(0, math.ceil(q * len(v)) - 1)]
-        limits[g] = (at(0.5) - 4 * max(at(0.5) - at(0.16), 0.015), at(0.5) + 3 * max(at(0.5) - at(0.16), 0.015))
-    fits = lambda b: group(b) not in limits or limits[group(b)][0] <= log(b) <= limits[group(b)][1]
+    for g in held:
+        reach = next(r for r in range(200) if sum(counted[h] for h in held if abs(h - g) <= r) >= 400 << 20 or all(abs(h - g) <= r for h in held))
+        near = [h for h in held if abs(h - g) <= reach]
+        slopes = [((middles[b] - middles[a]) / (b - a), counted[a] * counted[b]) for a in near for b in near if a < b]
+        rise = min(max(at(0.5, slopes), 0), 0.08) if slopes else 0
+        rows = usual([(v - rise * (h - g), n * counted[h] / sizes[h]) for h in near for v, n in held[h]])
+        middle, spread = at(0.5, rows), max(at(0.5, rows) - at(0.16, rows), 0.015)
+        limits[g] = (middle - 4.5 * spread, middle + 3.5 * spread)
+    fits = lambda b: len(compress(b)) <= 0.72 * len(b) + 40 and (group(b) not in limits or limits[group(b)][0] <= log(b) <= limits[group(b)][1])
     return [not t or (fits(t.encode()) and 4 * sum(len(b) for b in cut(t.encode()) if not fits(b)) <= len(t.encode())) for t in texts]
 
 
@@ -202,6 +227,30 @@ def test_quality_rules(spark, awkward, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["base64", "sentence"])
+@pytest.mark.parametrize("n", [1, 2, 10, 20, 45, 80])
+@pytest.mark.parametrize("alone", [False, True])
+def test_quality_limits_hold_against_junk(kind, n, alone):
+    """Up to 80 junk texts beside 100 of prose, of their length or, alone, of lengths that the junk doesn't have. Learnt and judged as in a task."""
+    import zstandard
+
+    compress, r = zstandard.ZstdCompressor(level=3).compress, random.Random(f"{kind}{n}")
+
+    def junk(size):
+        word = {"base64": lambda: base64.b64encode(r.randbytes(9)).decode(), "hex": lambda: r.randbytes(6).hex()}.get(kind)
+        words = [word() for _ in range(size // 12)] if word else prose(25, size).split() * (size // 100)
+        return " ".join(words).encode()[:size]
+
+    good = [prose(600 + 2 * i, i).encode() for i in range(100)]
+    bad = [junk(9_000 if alone else len(good[i % 100])) for i in range(n)]
+    seen = Counter()
+    for data in good + bad:
+        seen.update(quality_rules.weighed(data, compress))
+    limits = quality_rules.limits_of(seen)
+    passed = lambda texts: sum(quality_rules.verdict(d, compress, limits)[0] for d in texts)
+    assert passed(bad) == 0 and passed(good) >= 98
+
+
 def test_quality_verdict_rejects_junk_and_keeps_prose(spark):
     """At sf0.01, of the labelled documents that pass the base."""
     where = "/root/testdata/sf0.01"
