@@ -121,12 +121,30 @@ _N = "('0x' || substr(d, {}, {}))::INT"
 OP2_SQL = rf"""
 WITH seen AS (
   SELECT page_id, (DATE '{FIRST_DAY}' + (page_id * 37 % 730)::INT)::DATE AS fetch_day,
-    regexp_extract(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*:', ''), '^//([^/?#\\]*)', 1) AS authority
+    replace(replace(replace(trim(url, array_to_string([chr(i::INT) FOR i IN range(1, 33)], '')), chr(9), ''), chr(10), ''), chr(13), '') AS bare
   FROM pages
-), bare AS (
-  SELECT *, string_split(authority, '@')[-1] AS place FROM seen
+), cut AS (
+  SELECT *, split_part(split_part(bare, '?', 1), '#', 1) AS front FROM seen
+), schemed AS (
+  SELECT *, CASE WHEN contains(front, ':') AND regexp_full_match(split_part(front, ':', 1), '[A-Za-z][A-Za-z0-9+.-]*') THEN lower(split_part(front, ':', 1)) END AS scheme FROM cut
+), rested AS (
+  SELECT *, CASE WHEN scheme IS NULL THEN front ELSE front[length(scheme) + 2:] END AS raw, replace(raw, '\', '/') AS rest FROM schemed
+), bared AS (
+  SELECT *, string_split(split_part(CASE WHEN scheme IN ('http', 'https', 'ws', 'wss', 'ftp') THEN ltrim(rest, '/') WHEN coalesce(scheme, 'file') = 'file' AND starts_with(rest, '//') THEN rest[3:]
+    WHEN scheme <> 'file' AND starts_with(raw, '//') THEN replace(raw[3:], '\', '\\') ELSE '' END, '/', 1), '@')[-1] AS place FROM rested
+), mapped AS (
+  SELECT *, rtrim(lower(translate(translate(url_decode(split_part(place, ':', 1)), '{url_filter.WIDE.replace("'", "''")}', '{url_filter.PLAIN.replace("'", "''")}'), '{url_filter.INVISIBLE}', '')), '.') AS named,
+    string_split(named, '.') AS parts, starts_with(place, '[') AS six FROM bared
+), numbered AS (
+  SELECT *, [CASE WHEN regexp_full_match(p, '0x[0-9a-f]*') THEN try_cast('0x0' || p[3:] AS BIGINT) WHEN regexp_full_match(p, '0[0-7]*') THEN list_sum([p[-i]::BIGINT * 8 ** (i - 1) FOR i IN range(1, length(p) + 1)])::BIGINT
+    WHEN regexp_full_match(p, '[1-9][0-9]*') THEN try_cast(p AS BIGINT) END FOR p IN parts] AS n FROM mapped
+), summed AS (
+  SELECT *, len(n) <= 4 AND len(list_filter(n, lambda x: x IS NULL)) = 0 AND coalesce(list_max(n[:-2]), 0) <= 255 AND n[-1] < 256 ** (5 - len(n)) AS fits,
+    CASE WHEN fits THEN (coalesce(list_sum([n[i] * 256 ** (4 - i) FOR i IN range(1, len(n))]), 0) + n[-1])::BIGINT END AS v FROM numbered
 ), hosted AS (
-  SELECT page_id, fetch_day, nullif(lower(rtrim(CASE WHEN starts_with(place, '[') THEN split_part(place, ']', 1) || ']' ELSE split_part(place, ':', 1) END, '.')), '') AS host FROM bare
+  SELECT page_id, fetch_day, CASE WHEN six THEN CASE WHEN contains(place, ']') THEN lower(split_part(place, ']', 1)) || ']' END
+    WHEN regexp_full_match(parts[-1], '[0-9]+|0x[0-9a-f]*') THEN CASE WHEN fits THEN concat_ws('.', v >> 24, (v >> 16) & 255, (v >> 8) & 255, v & 255) END
+    WHEN named <> '' AND len(list_filter(string_split(named, ''), lambda c: ascii(c) <= 32 OR ascii(c) = 127 OR contains('#/:<>?@[\]^|%', c))) = 0 THEN named END AS host FROM summed
 ), labels AS (
   SELECT DISTINCT host, string_split(host, '.') AS l, regexp_matches(host, '^([0-9.]+|\[.*)$') AS address FROM hosted WHERE host IS NOT NULL
 ), known AS (

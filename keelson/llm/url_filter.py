@@ -9,12 +9,19 @@ A host with a third of all captures is no hot key: captures are first reduced to
 which a host has one for each day at most; these meet the intervals by domain and month, and only the verdicts are joined
 back to the captures.
 
-Hosts are read as browsers read them: user and password end at the last `@` before the path, an IPv6 address stands in
-brackets, a backslash ends the host like a slash. Addresses have no parent domains.
+Hosts are read as browsers read them (the URL standard): control characters and blanks around a URL, and tabs and line
+breaks in it, are dropped; after `http:`, `https:`, `ws:`, `wss:` and `ftp:` any number of slashes follows, none included,
+and a backslash is a slash; `file:` needs two, other schemes two forward ones, and `//` stands for the scheme of the page.
+User and password end at the last `@`; an IPv6 address stands in brackets. What is left is percent-decoded, full-width
+characters become plain ones and ideographic full stops dots, invisible characters go, letters become small, final dots go.
+A host whose last label is a number is an IPv4 address in any of its spellings and becomes dotted decimal. A host with a
+character that none may have, or a number that is no address, is no host. Ports aren't judged. Not done: Punycode (a
+Unicode host and its `xn--` form stay two), other compatibility characters, short forms of IPv6. Addresses have no parent
+domains.
 
 Defined results: a null URL or one without a host is never blocked; a null fetch day matches no interval; entries with a
 null host or day are ignored; of entries of one host and day the removal wins; equal captures get equal verdicts; other
-columns never matter; an empty list blocks nothing.
+columns never matter; an empty list blocks nothing; no captures give no rows. URLs of any length are read whole.
 """
 
 from __future__ import annotations
@@ -28,11 +35,52 @@ from . import common
 FOREVER = "9999-12-31"
 
 
+# Fixed values of the URL standard: schemes whose URLs have a host at once, characters that no host has, invisible ones.
+SPECIAL = "https?|wss?|ftp"
+FORBIDDEN = r"[\x00-\x20\x7f#/:<>?@\[\\\]^|%]"
+INVISIBLE = "\u00ad\u034f\u180b\u180c\u180d\u200b\u2060\u2064\ufeff" + "".join(map(chr, range(0xFE00, 0xFE10)))
+#: Full-width forms and the plain characters they stand for, and two more full stops.
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3002\uff61"
+PLAIN = "".join(map(chr, range(0x21, 0x7F))) + ".."
+
+
+def number(label: Column) -> Column:
+    """The value of a label of an IPv4 address: hexadecimal, octal or decimal; null if it is none or far too large."""
+    digits = (
+        F.when(label.rlike(r"^0x[0-9a-f]*\z"), F.conv(F.concat(F.lit("0"), F.substr(label, F.lit(3))), 16, 10))
+        .when(label.rlike(r"^0[0-7]*\z"), F.conv(label, 8, 10))
+        .when(label.rlike(r"^[1-9][0-9]*\z"), label)
+    )
+    return digits.try_cast("long")
+
+
+def dotted(host: Column) -> Column:
+    """An IPv4 address in its usual form, or null if the labels give none."""
+    values = F.transform(F.split(host, r"\."), number)
+
+    def joined(n: Column) -> Column:
+        last = F.element_at(n, -1)
+        head = F.slice(n, F.lit(1), F.size(n) - 1)
+        fits = (F.size(n) <= 4) & F.forall(head, lambda x: x.between(0, 255)) & (last >= 0) & (last < F.pow(F.lit(256), 5 - F.size(n)))
+        byte = lambda i: F.when(i < F.size(n) - 1, F.get(n, i)).otherwise(F.pmod(F.floor(last / F.pow(F.lit(256), 3 - i)), F.lit(256)))
+        return F.when(fits, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: byte(i).cast("string")), "."))
+
+    return F.get(F.transform(F.array(values), joined), F.lit(0))
+
+
 def host_of(url: Column) -> Column:
-    """Lower-case host, without user, port and final dots; null if there is none."""
-    found = F.regexp_extract(F.trim(url), r"^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#\\]*@)?(\[[^\]/?#\\@]*\]|[^/?#\\:@\[\]]+)(?::[^/?#\\@]*)?(?:[/?#\\]|$)", 1)
-    host = F.lower(F.regexp_replace(found, r"\.+$", ""))
-    return F.when(host != "", host)
+    """The host, as the module's docstring says; null if there is none."""
+    bare = F.translate(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), "\t\n\r", "")
+    special = rf"^(?i:(?:{SPECIAL}):[/\\]*|(?:file:)?[/\\]{{2}})([^/\\?#]*)"
+    other = rf"^(?!(?i:{SPECIAL}|file):)[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+    authority = F.concat(F.regexp_extract(bare, special, 1), F.regexp_extract(bare, other, 1))
+    place = F.regexp_extract(F.regexp_replace(authority, r"(?s)^.*@", ""), r"^(\[[^\]]*\]|[^:\[]*)(?::|\z)", 1)
+    # `+` is no blank here, and a `%` without two digits stays
+    decoded = F.try_url_decode(F.regexp_replace(F.regexp_replace(place, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B"))
+    plain = F.translate(F.translate(decoded, WIDE, PLAIN), INVISIBLE, "")
+    name = F.regexp_replace(F.lower(plain), r"\.+\z", "")
+    judged = F.get(F.transform(F.array(name), lambda h: F.when(h.rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\z"), dotted(h)).when((h != "") & ~h.rlike(FORBIDDEN), h)), F.lit(0))
+    return F.when(place.startswith("["), F.lower(place)).otherwise(judged)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
