@@ -113,7 +113,7 @@ def wanted_paths(spark: SparkSession, args: argparse.Namespace, options: Options
         named = spark.createDataFrame([(p,) for p in options.only_paths], "path string")
     else:
         return None
-    return named.select(history.rebased(F.col("path"), args.log_prefix or "").alias("path")).filter("path <> ''").distinct()
+    return history.inside(named, args.log_prefix or "")
 
 
 def scan(spark: SparkSession, args: argparse.Namespace) -> int:

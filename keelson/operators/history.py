@@ -27,6 +27,11 @@ def rebased(path: Column, prefix: str) -> Column:
     return F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1)))
 
 
+def inside(named: DataFrame, prefix: str) -> DataFrame:
+    """named: path. The distinct paths within the analysed folder, relative to it."""
+    return named.select(rebased(F.col("path"), prefix).alias("path")).filter("path <> ''").distinct()
+
+
 def _spans(renames: DataFrame) -> DataFrame:
     """renames: repo_id, key, pos, value. From each rename to the next one (back in time) of the same old name, the name stands for the value."""
     line = W.partitionBy("repo_id", "key").orderBy("pos")

@@ -62,6 +62,11 @@ def with_percentiles(files: DataFrame, *group: str) -> DataFrame:
     return out.withColumn("coverage_risk_pct", percentile(risk(F.col("coverage")), *group))
 
 
+def with_interaction(files: DataFrame, *group: str) -> DataFrame:
+    """Adds interaction_raw, of fan-in and lack of coverage, and its percentile; only a warning reads it."""
+    return files.withColumn("interaction_raw", F.col("fan_in_pct") * F.col("coverage_risk_pct")).withColumn("interaction_pct", percentile("interaction_raw", *group))
+
+
 def with_score(files: DataFrame, weights: dict[str, float], *group: str, coverage: bool) -> DataFrame:
     """Adds raw_score. Coupling counts in groups in which any file is coupled, so both sets of weights are in the plan."""
     apart = score(active_weights(weights, coverage=coverage, coupling=False))

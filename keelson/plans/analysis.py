@@ -85,10 +85,7 @@ def analyse_group(inputs: Inputs, options: Options, group: str, top: DataFrame |
         files = churn.counts(files, inputs.changes, KEYS)
     else:
         files = files.withColumns({c: F.lit(0).cast("long") for c in ("churn_commits", "churn_lines")})
-    if top is not None:
-        files = files.join(top, KEYS, "left").fillna(0, ["max_coupling", "coupling_partners"]).fillna("", ["max_coupling_partner"])
-    else:
-        files = files.withColumns({"max_coupling": F.lit(0.0), "max_coupling_partner": F.lit(""), "coupling_partners": F.lit(0).cast("long")})
+    files = coupling.with_top(files, top, KEYS)
     report = inputs.coverage.get(group)
     files = quality.with_coverage(files, report, KEYS)
     files = scoring.with_percentiles(files, *GROUP).withColumn("loc_pct", percentile("loc", "repo_id", "language"))
@@ -150,8 +147,7 @@ def found_warnings(rows: DataFrame, bulk: DataFrame | None, skipped: DataFrame |
         "fan_in": (F.col("fan_in"), "fan_in_pct"), "fan_out": (F.col("fan_out"), "fan_out_pct"), "complexity": (F.col("complexity"), "complexity_pct"),
         "churn": (F.col("churn_commits") + F.col("churn_lines"), "churn_pct"), "coupling": (F.col("max_coupling"), "coupling_pct"),
     }
-    measured = rows.filter("coverage_status <> 'unavailable'").withColumn("interaction_raw", F.col("fan_in_pct") * F.col("coverage_risk_pct"))
-    measured = measured.withColumn("interaction_pct", percentile("interaction_raw", *GROUP))
+    measured = scoring.with_interaction(rows.filter("coverage_status <> 'unavailable'"), *GROUP)
     covered = {"coverage": (quality.risk(F.col("coverage")), "coverage_risk_pct"), "interaction": (F.col("interaction_raw"), "interaction_pct")}
     flat = scoring.dispersion(rows, signals, "lang_group").unionByName(scoring.dispersion(measured, covered, "lang_group"))
     out += sorted({r["code"] for r in flat.select("code").collect()})

@@ -116,6 +116,15 @@ def coupling_top_partner(spark, sf_dir):
     return coupling.top_partner(_supplier_pairs(spark, sf_dir)).drop("repo_id")
 
 
+@query(f"""WITH {SUPPLIER_SQL}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY coupling DESC, co_changes DESC, partner) AS place, count(*) OVER (PARTITION BY path) AS n FROM pairs
+) SELECT s_suppkey AS path, coalesce(coupling, 0::DOUBLE) AS max_coupling, coalesce(partner::VARCHAR, '') AS max_coupling_partner, coalesce(n, 0) AS coupling_partners FROM supplier LEFT JOIN placed ON path = s_suppkey AND place = 1""")
+def coupling_aggregate(spark, sf_dir):
+    files = t.table(spark, sf_dir, "supplier").select(F.lit(t.REPO).alias("repo_id"), F.col("s_suppkey").alias("path"))
+    top = coupling.top_partner(_supplier_pairs(spark, sf_dir)).withColumn("max_coupling_partner", F.col("max_coupling_partner").cast("string"))
+    return coupling.with_top(files, top, ["repo_id", "path"]).drop("repo_id")
+
+
 @query(f"""WITH {SUPPLIER_SQL} SELECT path, string_agg(partner || ':' || co_changes || ':' || own_changes, ' ' ORDER BY coupling DESC, co_changes DESC, partner) AS partners FROM pairs GROUP BY path""")
 def coupling_partners(spark, sf_dir):
     entry = lambda x: F.concat_ws(":", *[x[c].cast("string") for c in ("path", "co_changes", "own_changes")])
@@ -253,6 +262,12 @@ def _formula(name: str, coverage: bool, coupled: bool):
     query(f"WITH {q.PERCENTILES} SELECT path, lang_group, {q.r4(q.score(coverage, coupled))} AS score FROM pcts")(run)
 
 
+@query(f"WITH {q.PERCENTILES}, raw AS (SELECT path, lang_group, fan_in_pct * coverage_risk_pct AS interaction_raw FROM pcts) SELECT *, {q.pct('interaction_raw', 'lang_group')} AS interaction_pct FROM raw")
+def interaction_pct(spark, sf_dir):
+    files = scoring.with_percentiles(t.part_signals(spark, sf_dir), *GROUP)
+    return scoring.with_interaction(files, *GROUP).select("path", "lang_group", "interaction_raw", "interaction_pct")
+
+
 _formula("weighted_score_4f", False, False)
 _formula("weighted_score_4f_coupling", False, True)
 _formula("weighted_score_5f", True, False)

@@ -210,6 +210,21 @@ def ruby_references(spark, sf_dir):
     return shown.withColumn("n", F.lit(1).cast("long"))
 
 
+@query(f"""WITH {q.EDGES}, numbered AS (SELECT src, split_part(src, '/', 2) AS s, split_part(dst, '/', 2)::BIGINT AS d FROM edges)
+SELECT src AS path, 'P' || d AS name, CASE WHEN d % 5 = 2 THEN 'P' || s ELSE '' END AS namespace, d % 5 <> 2 AS absolute, count(*) AS n FROM numbered WHERE d % 5 < 3 GROUP BY ALL
+UNION ALL SELECT DISTINCT src, 'P' || s, '', false, 1 FROM numbered""")
+def ruby_constantized(spark, sf_dir):
+    """Names in strings that become constants; those with an interpolation or another call hold no reference."""
+    number = lambda x: F.split_part(x, F.lit("/"), F.lit(2))
+    calls = ('  x = "P@".constantize\n', "  y ||= 'P@'.safe_constantize&.new\n", '  "P@".const_get(:q)\n', '  "#{z}P@".constantize\n', "  'P@'.constantized\n")
+    pick = F.array(*map(F.lit, calls))
+    line = lambda d: F.replace(F.get(pick, (d.cast("long") % len(calls)).cast("int")), F.lit("@"), d)
+    source = F.concat(F.lit("class P"), number(F.col("src")), F.lit("\n"), F.array_join(F.transform("dsts", lambda d: line(number(d))), ""), F.lit("end\n"))
+    read = ruby.references(_dependencies(spark, sf_dir).select(F.lit(t.REPO).alias("repo_id"), F.col("src").alias("path"), F.encode(source, "UTF-8").alias("content")))
+    shown = read.filter("parsed AND name IS NOT NULL").select("path", "name", F.when(F.col("absolute"), F.lit("")).otherwise(F.array_join("namespace", "::")).alias("namespace"), "absolute")
+    return shown.withColumn("n", F.lit(1).cast("long"))
+
+
 @query(f"""WITH {q.EDGES}, numbered AS (SELECT src, dst, split_part(src, '/', 2)::BIGINT AS s, split_part(dst, '/', 2)::BIGINT AS d FROM edges)
 SELECT src AS path, 'M' || d % 10 || '::P' || d AS constant FROM numbered WHERE d % 3 = 1 OR (d % 3 = 0 AND d % 10 = s % 10)""")
 def const_resolution(spark, sf_dir):
@@ -325,6 +340,20 @@ PATH_SQL = f"""placed AS (SELECT p_partkey, [{', '.join(f"'{x}'" for x in FOLDER
   SELECT *, path = 'db/schema.rb' OR regexp_matches(path, '^(db/migrate|vendor|tmp|log|coverage|spec|test)/') OR regexp_matches(path, '(^|/)(node_modules|__tests__)/') OR regexp_matches(path, '[.]min[.]js$|[.](test|spec)[.][jt]sx?$') AS excluded FROM placed)"""
 
 
+@query("""SELECT DISTINCT substr(path, 5) AS path FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'src/' WHEN 1 THEN 'src/' || p_partkey // 8 || '.rb' WHEN 2 THEN 'srcs/' || p_partkey ELSE 'src/src/' || p_partkey END AS path FROM part)
+  WHERE starts_with(path, 'src/') AND length(path) > 4""")
+def rebased_paths(spark, sf_dir):
+    """Names of a diff within one folder: the folder itself, names that more than one part has, a folder that begins alike, and one of the same name inside."""
+    name = F.when(key() % 4 == 0, F.lit("src/")).when(key() % 4 == 1, F.concat(F.lit("src/"), F.floor(key() / 8).cast("long"), F.lit(".rb"))).when(key() % 4 == 2, F.concat(F.lit("srcs/"), key())).otherwise(F.concat(F.lit("src/src/"), key()))
+    return history.inside(t.table(spark, sf_dir, "part").select(name.alias("path")), "src/")
+
+
+@query("""SELECT s_nationkey AS repo_id, count(*) AS n_files, CASE WHEN count(*) < 5 THEN 'error' WHEN count(*) < 20 THEN 'small_repo' ELSE 'enough' END AS verdict FROM supplier GROUP BY s_nationkey""")
+def population(spark, sf_dir):
+    """Suppliers as files, nations as repositories."""
+    return files.population(t.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("repo_id")))
+
+
 def _placed(spark, sf_dir):
     pick = lambda items: F.element_at(F.array(*[F.lit(x) for x in items]), (key() % len(items) + 1).cast("int"))
     made = _parts(spark, sf_dir).select("p_partkey", F.concat(pick(FOLDERS), F.lit("/f"), key(), pick(ENDINGS)).alias("path"))

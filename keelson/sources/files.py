@@ -80,8 +80,15 @@ def collect(files: DataFrame, excludes: list[str] | tuple[str, ...] = ()) -> tup
     return kept.withColumn("ordinal", ordinal).drop("excluded"), counts
 
 
+def population(files: DataFrame, min_files: int = 20) -> DataFrame:
+    """Per repository how many files are scored, and whether these are too few to score (error) or to trust (small_repo)."""
+    counted = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_files"))
+    return counted.withColumn("verdict", F.when(F.col("n_files") < LEAST_FILES, "error").when(F.col("n_files") < min_files, "small_repo").otherwise("enough"))
+
+
 def require_population(files: DataFrame, min_files: int = 20) -> list[str]:
-    n = files.count()
-    if n < LEAST_FILES:
-        raise PopulationError(f"Error: at least {LEAST_FILES} scored files are needed; found {n}.")
-    return ["small_repo"] if n < min_files else []
+    """By the smallest repository."""
+    least = population(files, min_files).orderBy("n_files").first()
+    if least is None or least["verdict"] == "error":
+        raise PopulationError(f"Error: at least {LEAST_FILES} scored files are needed; found {least['n_files'] if least else 0}.")
+    return ["small_repo"] if least["verdict"] == "small_repo" else []
