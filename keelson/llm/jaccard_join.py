@@ -114,6 +114,13 @@ def _unplaned(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few MB of text, so that what a task makes of a batch at once is bounded, too."""
+    for batch in batches:
+        for start, end in common.slices(batch, "text"):
+            yield batch.slice(start, end - start)
+
+
 def _cuts(bucket: np.ndarray) -> list[tuple[int, int]]:
     """(start, end) of each run of equal values."""
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(bucket) else []
@@ -139,7 +146,7 @@ def _count_rows(bits: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, sizes = [], 0, np.zeros(128, np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             for text in batch.column("text").to_pylist():
                 tokens = tokens_of(text)
                 held.append(_codes(tokens, bits))
@@ -191,7 +198,7 @@ def _ask_rows(bits: int, heavy):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held, size = [], [], 0
-        for batch in batches:
+        for batch in _parts(batches):
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 tokens = tokens_of(text)
                 codes = _codes(tokens, bits)
@@ -295,7 +302,7 @@ def _prefix_rows(bits: int, heavy, limit: int, kind: pa.DataType):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, size = [], [], 0
-        for batch in batches:
+        for batch in _parts(batches):
             rows = []
             each = [np.array(h or [], np.uint64) for h in batch.column("hot").to_pylist()] if "hot" in batch.schema.names else [np.zeros(0, np.uint64)] * batch.num_rows
             for row_key, doc_id, text, hot in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text")), each, strict=True):
@@ -372,7 +379,7 @@ def _fetch(marks, bits: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.frombuffer(marks.value, np.uint8)
-        for batch in batches:
+        for batch in _parts(batches):
             sets, held = [], []
             for text in batch.column("text").to_pylist():
                 tokens = tokens_of(text)
