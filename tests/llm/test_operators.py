@@ -376,6 +376,44 @@ def test_gradients_match_differences():
             assert abs((up - down) / (2 * step) - grads[group][name][at]) < 2e-3
 
 
+def plain_language(net, text):
+    """The network read byte by byte in plain floats: chunks of their own, states from nothing at both ends, probabilities summed over all bytes."""
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    k, data = net.ahead.h, text.encode()
+
+    def states(layer, part):
+        h, out = [0.0] * k, []
+        for byte in part:
+            x, u = [float(v) for v in layer.w["byte"][byte]], [sum(float(w) * v for w, v in zip(row, h, strict=True)) for row in layer.w["state"]]
+            z, r = [sig(x[i] + u[i]) for i in range(k)], [sig(x[k + i] + u[k + i]) for i in range(k)]
+            n = [math.tanh(x[2 * k + i] + r[i] * u[2 * k + i]) for i in range(k)]
+            h = [z[i] * h[i] + (1 - z[i]) * n[i] for i in range(k)]
+            out.append(h)
+        return out
+
+    total = [0.0] * len(net.langs)
+    for at in range(0, len(data), language_id.CHUNK):
+        part = data[at : at + language_id.CHUNK]
+        for a, b in zip(states(net.ahead, part), states(net.behind, part[::-1])[::-1], strict=True):
+            odds = [math.exp(sum(float(w) * v for w, v in zip(row, a + b, strict=True)) + float(c[0])) for row, c in zip(net.out["w"], net.out["b"], strict=True)]
+            total = [t + o / sum(odds) for t, o in zip(total, odds, strict=True)]
+    best = max(range(len(total)), key=total.__getitem__)
+    return net.langs[best], total[best] / sum(total)
+
+
+@pytest.mark.parametrize("columns", [3, 8192])
+def test_language_of_texts_equals_plain_loops(monkeypatch, columns):
+    """Texts of one chunk and many, of exactly one, and with characters that the end of a chunk cuts in two; columns: chunks that run side by side."""
+    monkeypatch.setattr(language_id, "COLUMNS", columns)
+    net = language_id.train([(k, " ".join(random.Random(f"{k}{i}").choices(w, k=30))) for k, w in {"aa": ["kä", "lo", "mi"], "bb": ["sch", "ein", "ung"], "cc": ["中文", "字"]}.items() for i in range(20)], steps=15)
+    texts = ["x", "a" * 64, "b" * 65, "é" + "a" * 62 + "é" * 40, "a中" * 90, "lo mi kä " * 50, "ein sch ung " * 41, prose(300, 1), "中文字" * 200, "mi" + "\x00" * 100, "🙂a" * 60]
+    found = list(language_id.read(net, [*texts, None, "", "12 . 34"]))
+    assert found[len(texts) :] == [("und", 0.0)] * 3
+    for text, (lang, score) in zip(texts, found, strict=False):
+        want, at = plain_language(net, text)
+        assert lang == want and abs(score - at) < 1e-4, text[:20]
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
