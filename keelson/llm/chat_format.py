@@ -17,7 +17,8 @@ doubled, and a `#` or `<` that begins `###` or `</turn>` gets a backslash before
 the same way. So no text can look like the end of a turn, and the output is read back without loss.
 
 Defined results: null texts and roles count as empty ones; turns are ordered by turn (null first), role and text; equal
-rows are turns of their own; rows with a null conversation form one conversation; other columns never matter.
+rows are turns of their own; rows with a null conversation form one conversation; other columns never matter;
+an empty table gives an empty result; texts of any length go through whole.
 """
 
 from __future__ import annotations

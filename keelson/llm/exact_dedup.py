@@ -9,7 +9,8 @@ ends with more than one copy is a hit, and every hit is compared byte by byte wi
 that differ from it although their digests agree are grouped again by their text.
 
 Defined results: a null text counts as an empty one; null ids are allowed and sort last; of rows that are equal in all
-of id and text, one stays; columns of the input other than id and text never matter, whatever their names.
+of id and text, one stays; columns of the input other than id and text never matter, whatever their names; an empty table gives an empty
+result; texts of any length are compared whole.
 """
 
 from __future__ import annotations

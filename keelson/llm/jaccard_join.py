@@ -19,7 +19,8 @@ n - ceil(n * NUM / DEN) + k tokens hold k of the shared ones.
   apart can't link, and compared within a band and with its neighbours, block by block through the token incidence
   matrix; a task emits a spanning forest of its links, not all pairs.
 
-Candidates are verified on their whole sets, so every link is real, and none between different sets is lost.
+Candidates are verified on their whole sets, and no link between different sets is lost. Shingles and sets go by 64-bit
+hashes: different ones that clash count as one, of which a few are to be expected from some 4 billion different sets on.
 
 Of the heavy tokens the most frequent are broadcast, HEAVY_MOST at most. If there are more, the documents' other tokens
 are dealt out by bucket, meet the bucket's heavy ones there, and the answer is joined back to the documents; a token dealt
@@ -27,7 +28,8 @@ out stands in at most one HEAVY_MOST-th of all that documents hold, so no bucket
 lists and result are the same. Also broadcast: a bitmap of fixed size that spares most documents the shuffle of their sets.
 
 Defined results: null and empty texts have no shingles and link with nothing; null ids count as larger than all others;
-equal rows are in one component; other columns never matter.
+equal rows are in one component; other columns never matter; an empty table gives an empty result; texts of any length are
+read whole.
 """
 
 from __future__ import annotations

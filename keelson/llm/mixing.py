@@ -12,7 +12,7 @@ target. Prefix sums have two levels (blocks of a source, rows of a block), so th
 spread over many tasks, and they are integers (units of 2**-24), so that the order of addition doesn't matter.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; rows equal in id, source and
-size are interchangeable; an empty table gives an empty result.
+size are interchangeable; null ids are allowed and count as one id; texts are only counted, whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ Patterns are tables, of any length, and are joined to what is counted and found.
 size, is broadcast; it spares most words the join.
 
 Defined results: a null text counts as an empty one and has no spans; equal rows get equal spans, and count twice in the
-graph; offsets are code points; other columns never matter. All searches are linear in the length of a text.
+graph; offsets are code points; other columns never matter; an empty table gives an empty result. All searches
+are linear in the length of a text, which is read whole.
 """
 
 from __future__ import annotations

@@ -458,6 +458,14 @@ def test_mixing(spark, awkward, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_null_ids_and_empty_tables(spark, awkward, empty):
+    """Rows with null ids are mixed like others, by their source's target, and nothing comes of nothing."""
+    mixed = mixing.mix(awkward).collect()
+    assert len(mixed) == len(AWKWARD) and sum(r.doc_id is None for r in mixed) == sum(d is None for d, *_ in AWKWARD)
+    assert all(0 <= r.copies <= 3 for r in mixed) and exact_dedup.dedup(empty).count() == 0
+    assert Counter(r.doc_id for r in exact_dedup.dedup(awkward).collect()) == Counter(d for d, *_ in AWKWARD)
+
+
 # ---- 7
 
 
