@@ -37,6 +37,11 @@ def fixed4(c: str) -> Column:
     return F.when(F.col(c).isNotNull(), F.format_string("%.4f", c))
 
 
+def plain(c: str) -> Column:
+    """A fraction of four places without an exponent, which casts give below 0.001."""
+    return F.when((F.col(c) > 0) & (F.col(c) < 0.001), fixed4(c)).otherwise(F.col(c).cast("string"))
+
+
 def shown_coverage() -> Column:
     """Whole percent; a dash for a file that the report lacks, n/a without a report."""
     percent = F.concat(F.floor(F.col("coverage") * F.lit(100.0) + F.lit(0.5)).cast("string"), F.lit("%"))
@@ -53,7 +58,7 @@ def cell(c: str) -> Column:
 def csv_cells() -> list[Column]:
     """Missing evidence is bare, missing coverage is quoted and empty."""
     own = {c: fixed4(c) for c in (*D4, "evidence")}
-    own["coverage"] = F.when(F.col("coverage_status") == "missing", "—").when(F.col("coverage").isNull(), "").otherwise(F.col("coverage").cast("string"))
+    own["coverage"] = F.when(F.col("coverage_status") == "missing", "—").when(F.col("coverage").isNull(), "").otherwise(plain("coverage"))
     return [own.get(c, F.col(c).cast("string")).alias(c) for c in RESULT_COLUMNS]
 
 
@@ -67,9 +72,11 @@ def markdown_line() -> Column:
 
 def json_line() -> Column:
     """All columns, nulls too; a file that the coverage report lacks has a dash."""
-    plain = F.to_json(F.struct(*[F.col(c).alias("path" if c == "file" else c) for c in RESULT_COLUMNS]), {"ignoreNullFields": "false"})
-    dashed = F.regexp_replace(plain, '"coverage":null\\}$', '"coverage":"—"}')
-    return F.when(F.col("coverage_status") == "missing", dashed).otherwise(plain)
+    written = F.to_json(F.struct(*[F.col(c).alias("path" if c == "file" else c) for c in RESULT_COLUMNS]), {"ignoreNullFields": "false"})
+    # 0.0001 to 0.0009 come with an exponent; within strings a quote never follows a brace or a comma, but a backslash
+    written = F.regexp_replace(written, r'(?<key>[{,]"[a-z_]+":)(?<digit>\d)\.0E-4', "${key}0.000${digit}")
+    dashed = F.regexp_replace(written, '"coverage":null\\}$', '"coverage":"—"}')
+    return F.when(F.col("coverage_status") == "missing", dashed).otherwise(written)
 
 
 def table_line() -> Column:

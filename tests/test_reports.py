@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from keelson import cli
 from keelson.config import OptionError, Options, formula, parse_weights
@@ -115,3 +116,13 @@ def test_analysis_without_logs(spark):
     rows = results(report.rows).collect()
     assert len(rows) == 6 and all(r["fan_in"] == 1 and r["fan_out"] == 1 and r["evidence"] is None and not r["new_file"] for r in rows)
     assert "insufficient_dispersion_fan_in" in {w["code"] for w in report.warnings}
+
+
+def test_fractions_have_no_exponent(spark):
+    """0.0003 is 3.0E-4 where Spark writes it; what a name holds stays as it is."""
+    odd, x = 'a,"loc":3.0E-4', F.col("id") / 10000
+    values = {c: F.lit(0.0) for c in writers.RESULT_COLUMNS} | {"file": F.lit(odd), "max_coupling_partner": F.lit(""), "churn_pct": x, "coverage": x, "coverage_status": F.lit("present")}
+    for row in spark.range(10_001).select("id", *[v.alias(c) for c, v in values.items()]).select("id", writers.json_line().alias("json"), writers.csv_line().alias("csv")).collect():
+        want = repr(row.id / 10000) if row.id >= 10 or not row.id else f"0.000{row.id}"
+        assert f'"churn_pct":{want},' in row.json and row.json.endswith(f'"coverage":{want}}}') and row.csv.endswith(f",{want}")
+        assert json.loads(row.json)["path"] == odd
