@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from keelson import cli
 from keelson.config import OptionError, Options, formula, parse_weights
 from keelson.operators import reports
-from keelson.plans import writers
+from keelson.plans import catalogue, texts, writers
 from keelson.plans.analysis import Inputs, analyse, results
 from keelson.sources import ruby
 
@@ -126,3 +127,10 @@ def test_fractions_have_no_exponent(spark):
         want = repr(row.id / 10000) if row.id >= 10 or not row.id else f"0.000{row.id}"
         assert f'"churn_pct":{want},' in row.json and row.json.endswith(f'"coverage":{want}}}') and row.csv.endswith(f",{want}")
         assert json.loads(row.json)["path"] == odd
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_module_report_has_every_edge(spark):
+    """Those between packages, too."""
+    got, want = (catalogue.QUERIES[n](spark, "/root/testdata/sf0.001").select("src", "dst").collect() for n in ("module_report", "dep_edges"))
+    assert sorted(got) == sorted(want) and any(int(r.src[5:]) // texts.OWN != int(r.dst[5:]) // texts.OWN for r in catalogue.QUERIES["module_report"](spark, "/root/testdata/sf0.01").limit(1000).collect())
