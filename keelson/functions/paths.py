@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,22 +110,33 @@ def singularized(word: Column) -> Column:
     )
 
 
+def _given(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def path_constant(path: Column) -> Column:
     """The constant that autoloading expects in a file, or null.
 
     Folders count from behind the first app, lib or test; app has one more level, its kinds of classes. Folders up to
     `concerns` don't count.
     """
-    parts = F.split(path, "/")
+    return _given(F.split(path, "/"), _constant_of)
+
+
+def _constant_of(parts: Column) -> Column:
     roots = F.filter(F.transform(F.array(F.lit("app"), F.lit("lib"), F.lit("test")), lambda r: F.array_position(parts, r)), lambda i: i > 0)
-    at = F.array_min(roots)
-    root = F.try_element_at(parts, at.cast("int"))
-    size = F.size(parts)
-    skip = (at + F.when(root == "app", 1).otherwise(0)).cast("int")
-    rest = F.slice(parts, skip + 1, F.greatest(size - skip, F.lit(0)))
-    concerns = F.array_position(rest, "concerns").cast("int")
-    rest = F.when(concerns > 0, F.slice(rest, concerns + 1, F.size(rest))).otherwise(rest)
-    rest = F.filter(rest, lambda p: p != "concerns")
-    names = F.transform(rest, lambda p, i: camelized(F.when(i == F.size(rest) - 1, F.regexp_replace(p, r"\.rb$", "")).otherwise(p)))
-    constant = F.array_join(names, "::")
-    return F.when(at.isNotNull() & constant.rlike(r"^[A-Z]\w*(::[A-Z]\w*)*$"), constant)
+
+    def below(at: Column) -> Column:
+        skip = (at + F.when(F.try_element_at(parts, at.cast("int")) == "app", 1).otherwise(0)).cast("int")
+        return F.when(at.isNotNull(), _given(F.slice(parts, skip + 1, F.greatest(F.size(parts) - skip, F.lit(0))), under))
+
+    def under(rest: Column) -> Column:
+        own = _given(F.array_position(rest, "concerns").cast("int"), lambda c: F.when(c > 0, F.slice(rest, c + 1, F.size(rest))).otherwise(rest))
+        return _given(F.filter(own, lambda p: p != "concerns"), named)
+
+    def named(rest: Column) -> Column:
+        names = F.transform(rest, lambda p, i: camelized(F.when(i == F.size(rest) - 1, F.regexp_replace(p, r"\.rb$", "")).otherwise(p)))
+        return _given(F.array_join(names, "::"), lambda constant: F.when(constant.rlike(r"^[A-Z]\w*(::[A-Z]\w*)*$"), constant))
+
+    return _given(F.array_min(roots), below)

@@ -238,3 +238,30 @@ def test_commits_are_carried_down_over_splits(spark, tmp_path):
         assert sorted((r.commit, r.path) for r in gitlog.name_only_lines(lines).collect()) == sorted(want)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_constants_of_paths_equal_plain_code(spark):
+    """Random folders in any order; and the path is split once, however deep the expression is."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from keelson.functions import paths
+
+    def constant(path):
+        parts = path.split("/")
+        found = [parts.index(r) for r in ("app", "lib", "test") if r in parts]
+        if not found:
+            return None
+        rest = parts[min(found) + (2 if parts[min(found)] == "app" else 1) :]
+        rest = [p for p in rest[rest.index("concerns") + 1 if "concerns" in rest else 0 :] if p != "concerns"]
+        rest[-1:] = [re.sub(r"\.rb$", "", p) for p in rest[-1:]]
+        name = "::".join("".join(w[:1].upper() + w[1:].lower() for w in p.split("_")) for p in rest)
+        return name if re.fullmatch(r"[A-Z]\w*(::[A-Z]\w*)*", name, re.A) else None
+
+    rng = random.Random(3)
+    made = ["/".join(rng.choice(["app", "lib", "test", "models", "concerns", "a_b", "x.rb", "1a", "", "tEST_q"]) for _ in range(rng.randint(1, 6))) + rng.choice(["", ".rb"]) for _ in range(3000)]
+    rows = spark.createDataFrame([(p,) for p in made], "path string").select("path", paths.path_constant(F.col("path")).alias("constant")).collect()
+    assert {r.path: r.constant for r in rows} == {p: constant(p) for p in made} and sum(r.constant is not None for r in rows) > 300
+    assert str(paths.path_constant(F.col("path"))).count("split(path") == 1
