@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from keelson.operators import churn, coupling, quality
 from keelson.sources import coverage, files, gitlog, reports, ruby, texts
@@ -245,8 +246,6 @@ def test_constants_of_paths_equal_plain_code(spark):
     import random
     import re
 
-    from pyspark.sql import functions as F
-
     from keelson.functions import paths
 
     def constant(path):
@@ -265,3 +264,11 @@ def test_constants_of_paths_equal_plain_code(spark):
     rows = spark.createDataFrame([(p,) for p in made], "path string").select("path", paths.path_constant(F.col("path")).alias("constant")).collect()
     assert {r.path: r.constant for r in rows} == {p: constant(p) for p in made} and sum(r.constant is not None for r in rows) > 300
     assert str(paths.path_constant(F.col("path"))).count("split(path") == 1
+
+
+def test_folders_of_files(spark):
+    """The same as by one expression, which searched from each place of a path, for each line of a file."""
+    made = ["file:/a/repo_id=r1/part.txt", "file:///tmp/x/r 2/log", "s3://b/repo_id=/log", "file:/x.txt", "/a/repo_id=repo_id=q/f"]
+    old = F.regexp_extract("path", r"(?:repo_id=)?([^/]+)/[^/]+$", 1)
+    rows = spark.createDataFrame([(p,) for p in made], "path string").select("path", texts.folder(F.col("path")).alias("got"), old.alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and len(rows) == 5
