@@ -83,3 +83,37 @@ def test_refs_that_are_nowhere_and_no_common_ancestor(spark):
         commits.changed_paths(graph, changes, "gone")
     assert commits.changed_paths(graph, changes, "main").collect() == []
     assert [r.sha[0] for r in commits.Graph(graph).named("bbbb").collect()] == ["b"]
+
+
+def test_a_long_line_is_written_a_few_times_only(spark, monkeypatch):
+    """Runs in blocks, whatever the times: equals a walk commit by commit, and rows written grow with the commits, not with their doublings."""
+    import pyspark.sql.functions as F
+    from keelson.sources.kept import keeper
+
+    monkeypatch.setattr(commits, "BLOCK", 64)
+    rng, n = random.Random(5), 1500
+    parents = {0: []}
+    for k in range(1, n):
+        first = max(0, k - 1 - (rng.random() < 0.03) * rng.choice((1, 2)))
+        parents[k] = [first, *({rng.randrange(k)} - {first} if rng.random() < 0.02 else ())]
+    for times in ("order", "random"):
+        epoch = {"order": lambda k: k, "random": lambda k: rng.randrange(10)}[times]
+        rows = [("r", f"{k:040x}", [f"{p:040x}" for p in up], epoch(k), ["HEAD"] if k == n - 1 else ["main"] if k == n - 2 else []) for k, up in parents.items()]
+        made = spark.createDataFrame(rows, "repo_id string, sha string, parents array<string>, epoch long, refs array<string>")
+        write, written = keeper(spark), []
+        graph = commits.Graph(made, lambda rows: (written.append((out := write(rows)).count()), out)[1])
+        if times == "order":
+            assert sum(written) < 4 * n  # a table of all commits in each doubling: 12 * n
+        seen, todo = set(), [n - 1]
+        while todo:
+            if (k := todo.pop()) not in seen:
+                seen.add(k)
+                todo += parents[k]
+        start = graph.placed(graph.named("HEAD").withColumn("side", F.lit("head")))
+        inside = graph.ancestors(start).withColumnRenamed("pos", "most").join(graph.commits, ["repo_id", "run"]).filter("pos <= most")
+        assert {int(r.sha, 16) for r in inside.select("sha").collect()} == seen
+        depth = {0: 0}
+        for k in range(1, n):
+            depth[k] = depth[parents[k][0]] + 1
+        told = graph.commits.join(graph.depth, ["repo_id", "run"]).select("sha", (F.col("depth") + F.col("pos")).alias("d")).collect()
+        assert {int(r.sha, 16): r.d for r in told} == depth
