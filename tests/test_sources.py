@@ -272,3 +272,16 @@ def test_folders_of_files(spark):
     old = F.regexp_extract("path", r"(?:repo_id=)?([^/]+)/[^/]+$", 1)
     rows = spark.createDataFrame([(p,) for p in made], "path string").select("path", texts.folder(F.col("path")).alias("got"), old.alias("want")).collect()
     assert [r.got for r in rows] == [r.want for r in rows] and len(rows) == 5
+
+
+def test_ruby_source_takes_time_by_its_length():
+    """Long lines, macros without end and interpolations in one heredoc: no search or copy from each place of the file."""
+    import time
+
+    n = 30_000
+    texts = ["X = [" + "A::B, " * n + "]\n", "class A\n" + "belongs_to :b\n" * n + "end\n", "x = <<~T\n" + "#{A}\n" * n + "T\n"]
+    start = time.process_time()
+    found = [ruby.extract(text.encode()) for text in texts]
+    assert time.process_time() - start < 15  # the first alone takes minutes if each constant looks for the beginning of its line
+    assert [parsed for _, _, parsed in found] == [True] * 3
+    assert found[0][1] == [([], "A::B", False)] and (["A"], "B", False) in found[1][1] and found[2][1] == [([], "A", False)]
