@@ -134,3 +134,15 @@ def test_module_report_has_every_edge(spark):
     """Those between packages, too."""
     got, want = (catalogue.QUERIES[n](spark, "/root/testdata/sf0.001").select("src", "dst").collect() for n in ("module_report", "dep_edges"))
     assert sorted(got) == sorted(want) and any(int(r.src[5:]) // texts.OWN != int(r.dst[5:]) // texts.OWN for r in catalogue.QUERIES["module_report"](spark, "/root/testdata/sf0.01").limit(1000).collect())
+
+
+def test_tasks_of_large_shuffles_hold_inside_only(spark):
+    """As many tasks as are asked for, although few are set; afterwards the settings are what they were."""
+    from keelson.sources.kept import dealt
+
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(name) for name in names]
+    rows = spark.range(2_000_000).selectExpr("id % 900000 AS k", "uuid() AS v").groupBy("k").agg({"v": "max"})
+    with dealt(spark, 40) as keep:
+        assert len(keep(rows).inputFiles()) > 4
+    assert [spark.conf.get(name) for name in names] == before
