@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -49,34 +51,36 @@ def _chased(asked: DataFrame, spans: DataFrame, keep: Keep) -> DataFrame:
     """asked: repo_id, name, pos and more, with `cur`, what the name stands for at pos, and `met`, whether any span says so.
 
     A span leads to a name that stood for itself then, and on to what that has come to stand for since, so the spans' beginnings
-    rise along the way and it ends.
+    rise along the way and it ends. Rows that stay are written once.
     """
-    now = asked.withColumns({"cur": F.col("name"), "last": F.lit(-1).cast("long")})
+    now, done = asked.withColumns({"cur": F.col("name"), "last": F.lit(-1).cast("long")}), []
     while True:
         on = F.coalesce(F.col("since") > F.col("last"), F.lit(False))
         moved = _at(now, spans).withColumns({"moved": on & (F.col("value") != F.col("cur")), "cur": F.when(on, F.col("value")).otherwise(F.col("cur")), "last": F.when(on, F.col("since")).otherwise(F.col("last"))})
         now = keep(moved.drop("since", "value"))
+        done.append(now.filter("NOT moved"))
         if now.filter("moved").isEmpty():
-            return now.withColumn("met", F.col("last") >= 0).drop("last", "moved")
-        now = now.drop("moved")
+            return functools.reduce(DataFrame.unionByName, done).withColumn("met", F.col("last") >= 0).drop("last", "moved")
+        now = now.filter("moved").drop("moved")
 
 
 def _tops(moves: DataFrame, keep: Keep) -> DataFrame:
     """moves with `guess`, the name at the end of its chain of valid renames: pointer doubling over the renames.
 
     Each move points to the rename that its own name was the old one of at that time, if there is one. In each round it takes over
-    what the one that it points to points at, so a chain of n renames takes log n rounds.
+    what the one that it points to points at, so a chain of n renames takes log n rounds. A move that has come to its end is in no further one.
     """
     spans = _spans(moves.filter("valid").select("repo_id", "key", "pos", F.col("pos").alias("value")))
     up = keep(_at(moves.select("repo_id", F.col("name").alias("cur"), "pos"), spans).select("repo_id", "pos", F.col("value").alias("up")))
-    while True:
-        above = up.select("repo_id", F.col("pos").alias("up"), F.col("up").alias("above"))
-        higher = keep(up.join(above, ["repo_id", "up"], "left").select("repo_id", "pos", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")))
-        up = higher.drop("moved")
-        if higher.filter("moved").isEmpty():
-            break
+    rising, done = up.filter("up IS NOT NULL"), []
+    while not rising.isEmpty():
+        above = functools.reduce(DataFrame.unionByName, [rising, *done]).select("repo_id", F.col("pos").alias("up"), F.col("up").alias("above"))
+        higher = keep(rising.join(above, ["repo_id", "up"], "left").select("repo_id", "pos", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")))
+        done.append(higher.filter("NOT moved").drop("moved"))
+        rising = higher.filter("moved").drop("moved")
+    up = functools.reduce(DataFrame.unionByName, [rising, *done])
     names = moves.select("repo_id", F.col("pos").alias("up"), F.col("name").alias("top"))
-    out = moves.join(up, ["repo_id", "pos"]).join(names, ["repo_id", "up"], "left")
+    out = moves.join(up, ["repo_id", "pos"], "left").join(names, ["repo_id", "up"], "left")
     return keep(out.withColumn("guess", F.coalesce("top", "name")).drop("up", "top"))
 
 

@@ -120,3 +120,17 @@ def test_lineage_equals_reading_line_by_line(spark, prefix):
     frame = spark.createDataFrame(rows, "repo_id string, seq long, line_no int, epoch long, status string, old_path string, path string").repartition(3)
     got = history.lineage(frame, spark.createDataFrame(files, "repo_id string, path string"), prefix).collect()
     assert {(r.repo_id, r.path): (r.first_epoch, r.total_commits) for r in got} == want and len(want) > 60
+
+
+def test_rows_that_have_come_to_their_end_are_not_written_again(spark):
+    """One long chain of renames beside many short ones: its rounds write its own rows only."""
+    from keelson.sources.kept import keeper
+
+    rows = [("r", k, 0, k, "R100", f"a/{k + 1}", f"a/{k}") for k in range(64)]
+    rows += [("r", 1000 + k, 0, k, "R100", f"b/{k}/1", f"b/{k}/0") for k in range(2000)]
+    log = spark.createDataFrame(rows, "repo_id string, seq long, line_no int, epoch long, status string, old_path string, path string")
+    files = spark.createDataFrame([("r", "a/0")] + [("r", f"b/{k}/0") for k in range(2000)], "repo_id string, path string")
+    write, written = keeper(spark), []
+    got = history.lineage(log, files, keep=lambda rows: (written.append((out := write(rows)).count()), out)[1])
+    assert {r.path: r.total_commits for r in got.collect()} == {"a/0": 64} | {f"b/{k}/0": 1 for k in range(2000)}
+    assert sum(written) < 14 * len(rows), sum(written) / len(rows)
