@@ -65,13 +65,14 @@ def name_status(records: DataFrame) -> DataFrame:
 def graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """records: repo_id, value (a line about the commit, then one for each path). (commits, changes).
 
+    Paths of a commit may come in more records, with nothing but its id in the first line, so that no record has to hold them all.
     commits: repo_id, sha, parents, epoch, refs. changes: repo_id, sha, path, old, new; old and new are mode and blob.
     """
     held = records.select("repo_id", F.split("value", "\n").alias("lines")).withColumn("head", F.split(F.col("lines")[0], "\x1f"))
-    held = held.filter((F.size("head") == 4) & F.trim(F.col("head")[0]).rlike("^[0-9a-f]{40}$")).withColumn("sha", F.trim(F.col("head")[0]))
+    held = held.filter(F.size("head").isin(1, 4) & F.trim(F.col("head")[0]).rlike("^[0-9a-f]{40}$")).withColumn("sha", F.trim(F.col("head")[0]))
     words = lambda c, by: F.filter(F.split(c, by), lambda x: x != "")
     refs = F.flatten(F.transform(words(F.col("head")[3], ", "), lambda r: F.split(F.regexp_replace(r, "^tag: ", ""), " -> ")))
-    commits = held.select("repo_id", "sha", words(F.col("head")[1], " ").alias("parents"), F.expr("try_cast(head[2] AS BIGINT)").alias("epoch"), refs.alias("refs"))
+    commits = held.filter(F.size("head") == 4).select("repo_id", "sha", words(F.col("head")[1], " ").alias("parents"), F.expr("try_cast(head[2] AS BIGINT)").alias("epoch"), refs.alias("refs"))
     each = held.select("repo_id", "sha", F.explode("lines").alias("value")).filter("value LIKE ':%\t%'")
     parts, path = F.split(F.split_part("value", F.lit("\t"), F.lit(1)), " "), F.expr("substr(value, instr(value, '\t') + 1)")
     whole = lambda mode, blob: F.concat(mode, F.lit(" "), blob)

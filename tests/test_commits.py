@@ -1,5 +1,6 @@
 """Commit graphs against git itself."""
 
+import os
 import random
 import shutil
 import subprocess
@@ -7,6 +8,7 @@ import subprocess
 import pytest
 
 from keelson.operators import commits
+from keelson.plans import texts
 from keelson.sources import gitlog
 
 
@@ -117,3 +119,24 @@ def test_a_long_line_is_written_a_few_times_only(spark, monkeypatch):
             depth[k] = depth[parents[k][0]] + 1
         told = graph.commits.join(graph.depth, ["repo_id", "run"]).select("sha", (F.col("depth") + F.col("pos")).alias("d")).collect()
         assert {int(r.sha, 16): r.d for r in told} == depth
+
+
+def test_paths_of_a_commit_in_several_records(spark):
+    """They are the same changes, and the commit stays one."""
+    a, b, c = "a" * 40, "b" * 40, "c" * 40
+    paths = [f":100644 100644 {'0' * 39}{k} {'1' * 39}{k} M\tx {k}" for k in range(6)]
+    head, last = f"{a}\x1f{b} {c}\x1f5\x1fHEAD -> main", f"{b}\x1f\x1f4\x1f\n\n{paths[0]}\n"
+    whole = [("r", "\n".join([head, "", *paths, ""])), ("r", last)]
+    pieces = [("r", f"{a}\n\n{paths[0]}\n{paths[1]}\n"), ("r", f"{head}\n\n\n"), ("r", last), ("r", f"{a}\n\n" + "\n".join(paths[2:])), ("r", f"nothing\n\n{paths[0]}\n")]
+    one, more = ([sorted(map(tuple, x.collect())) for x in gitlog.graph(spark.createDataFrame(rows, "repo_id string, value string"))] for rows in (whole, pieces))
+    assert one == more and [len(x) for x in one] == [2, 7]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_no_record_holds_all_paths_of_the_merge(spark):
+    """They grow with the table of parts."""
+    records = [r.value for r in texts._branches(spark, "/root/testdata/sf0.01").collect()]
+    merge, = {x.split("\x1f")[0] for x in records if x.count("\x1f") == 3 and " " in x.split("\x1f")[1]}
+    own = [x for x in records if x.startswith(merge)]
+    assert sum(x.count("\tpart/") for x in own) > 1000 and len(own) > 10 and max(x.count("\tpart/") for x in own) <= texts.LINES
+    assert sum(x.count("\x1f") == 3 for x in records) == spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
